@@ -14,8 +14,9 @@ from saddle.functions.vectors import (
     ColumnLike,
     _c,
     clip_by_norm,
+    combine,
     euclidean_sq,
-    vec_add,
+    let,
     vec_dot,
     vec_norm,
     vec_norm_sq,
@@ -77,55 +78,55 @@ def cartesian_to_polar(x: ColumnLike, y: ColumnLike) -> Column:
     return F.array(F.sqrt(x * x + y * y), F.atan2(y, x))
 
 
-def poincare_to_hyperboloid(p: ColumnLike, d: int | None = None) -> Column:
-    p = _c(p)
-    s = vec_norm_sq(p, d)
-    rest = F.transform(p, lambda a: F.try_divide(F.lit(2.0) * a, F.lit(1.0) - s))
-    return F.concat(F.array(F.try_divide(F.lit(1.0) + s, F.lit(1.0) - s)), rest)
+def poincare_to_hyperboloid(p: ColumnLike) -> Column:
+    return let([p], lambda p: let([vec_norm_sq(p)], lambda s: F.concat(
+        F.array(F.try_divide(F.lit(1.0) + s, F.lit(1.0) - s)),
+        F.transform(p, lambda a: F.try_divide(F.lit(2.0) * a, F.lit(1.0) - s)))))
 
 
 def hyperboloid_to_poincare(u: ColumnLike) -> Column:
-    u = _c(u)
-    return F.transform(F.slice(u, F.lit(2), F.size(u) - 1), lambda a: a / (u[0] + F.lit(1.0)))
+    return let([u], lambda u: let(
+        [u[0] + F.lit(1.0)], lambda k: F.transform(_space(u), lambda a: a / k)))
 
 
-def project_to_hyperboloid(u: ColumnLike) -> Column:
-    """Keep the spatial part and recompute the time coordinate."""
-    u = _c(u)
-    space = F.slice(u, F.lit(2), F.size(u) - 1)
-    return F.concat(F.array(F.sqrt(F.lit(1.0) + vec_norm_sq(space))), space)
+def _space(u: Column) -> Column:
+    return F.slice(u, F.lit(2), F.size(u) - 1)
+
+
+def lift_to_hyperboloid(space: ColumnLike) -> Column:
+    """Prepend the time coordinate that puts the point on the hyperboloid."""
+    return let([space], lambda s: F.concat(F.array(F.sqrt(F.lit(1.0) + vec_norm_sq(s))), s))
 
 
-def lift_to_hyperboloid(space: ColumnLike, d: int | None = None) -> Column:
-    space = _c(space)
-    return F.concat(F.array(F.sqrt(F.lit(1.0) + vec_norm_sq(space, d))), space)
+def project_to_hyperboloid(u: ColumnLike) -> Column:
+    """Keep the spatial part and recompute the time coordinate."""
+    return let([u], lambda u: lift_to_hyperboloid(_space(u)))
 
 
-def project_to_ball(x: ColumnLike, eps: float = 1e-5, d: int | None = None) -> Column:
+def project_to_ball(x: ColumnLike, eps: float = 1e-5) -> Column:
     """Pull points on or past the boundary to norm ``1 - eps``."""
-    x = _c(x)
-    norm = vec_norm(x, d)
-    return F.when(norm >= 1.0, F.transform(x, lambda a: a * F.lit(1.0 - eps) / norm)).otherwise(x)
+    return let([x], lambda x: let(
+        [vec_norm(x)], lambda n: F.when(n >= 1.0, F.transform(x, lambda a: a * F.lit(1.0 - eps) / n)).otherwise(x)))
 
 
-def tangent_projection(x: ColumnLike, g: ColumnLike, d: int | None = None) -> Column:
-    return vec_add(_c(g), vec_scale(x, minkowski_dot(x, g, d)))
+def tangent_projection(x: ColumnLike, g: ColumnLike) -> Column:
+    return let([x, g], lambda x, g: combine(g, x, F.lit(1.0), minkowski_dot(x, g)))
 
 
 def _finite(v: Column) -> Column:
     return ~(F.isnan(v) | (F.abs(v) == F.lit(INF)))
 
 
-def exp_map(x: ColumnLike, v: ColumnLike, d: int | None = None) -> Column:
+def exp_map(x: ColumnLike, v: ColumnLike) -> Column:
     """Follow the tangent ``v`` from ``x``; stays put for null or unusable steps, then reprojects."""
-    x, v = _c(x), _c(v)
-    norm = F.sqrt(F.greatest(minkowski_dot(v, v, d), F.lit(0.0)))
-    moved = F.zip_with(
-        x, v,
-        lambda a, b: F.cosh(norm) * a + F.sinh(norm) * F.coalesce(F.try_divide(b, norm), F.lit(0.0)),
-    )
-    safe = F.zip_with(moved, x, lambda m, a: F.when(_finite(m), m).otherwise(a))
-    return F.when(norm > 0, project_to_hyperboloid(safe)).otherwise(x)
+
+    def move(x, v, norm):
+        step = F.zip_with(x, v, lambda a, b: F.cosh(norm) * a + F.sinh(norm) * F.try_divide(b, norm))
+        safe = let([step], lambda m: F.zip_with(m, x, lambda p, a: F.when(_finite(p), p).otherwise(a)))
+        return F.when(norm > 0, project_to_hyperboloid(safe)).otherwise(x)
+
+    return let([x, v], lambda x, v: let(
+        [F.sqrt(F.greatest(minkowski_dot(v, v), F.lit(0.0)))], lambda norm: move(x, v, norm)))
 
 
 def metric_transform(g: ColumnLike) -> Column:
@@ -133,9 +134,10 @@ def metric_transform(g: ColumnLike) -> Column:
     return F.transform(_c(g), lambda v, i: F.when(i == 0, -v).otherwise(v))
 
 
-def poincare_grad_scale(x: ColumnLike, g: ColumnLike, d: int | None = None) -> Column:
-    factor = F.pow(F.lit(1.0) - vec_norm_sq(x, d), F.lit(2.0)) / F.lit(4.0)
-    return vec_scale(g, factor)
+def poincare_grad_scale(x: ColumnLike, g: ColumnLike) -> Column:
+    """The Riemannian gradient of the ball: ``(1 - |x|^2)^2 / 4`` times the Euclidean one."""
+    room = F.lit(1.0) - vec_norm_sq(x)
+    return let([g, room], lambda g, room: F.transform(g, lambda a: a * room * room / F.lit(4.0)))
 
 
 def polar_theta_grad_scale(g: ColumnLike, r: ColumnLike, hyperbolic: bool = False) -> Column:

@@ -1,11 +1,12 @@
 """Vector algebra on ``array<double>`` columns.
 
-With a known width ``d`` the sum is unrolled, which keeps it inside generated code; without
-it the expression falls back to higher-order functions.
+With a known width ``d`` a sum is unrolled, which keeps it inside generated code; use that on
+plain columns. Functions that return vectors bind their arguments and norms once per row with
+``let``, so nothing is worked out again for every coordinate.
 """
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +18,12 @@ def _c(x: ColumnLike) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(values: list[ColumnLike], body: Callable[..., Column]) -> Column:
+    """``body`` over ``values``, each evaluated once per row."""
+    packed = F.struct(*[_c(v).alias(f"v{i}") for i, v in enumerate(values)])
+    return F.transform(F.array(packed), lambda s: body(*[s[f"v{i}"] for i in range(len(values))]))[0]
+
+
 def total(terms: list[Column]) -> Column:
     """A balanced sum, so wide vectors do not build deep expression trees."""
     if len(terms) == 1:
@@ -47,31 +54,28 @@ def vec_add(x: ColumnLike, y: ColumnLike) -> Column:
     return F.zip_with(_c(x), _c(y), lambda a, b: a + b)
 
 
-def vec_sub(x: ColumnLike, y: ColumnLike) -> Column:
-    return F.zip_with(_c(x), _c(y), lambda a, b: a - b)
-
-
 def vec_scale(x: ColumnLike, k: ColumnLike | float) -> Column:
-    k = F.lit(k) if isinstance(k, (int, float)) else _c(k)
-    return F.transform(_c(x), lambda a: a * k)
+    if isinstance(k, (int, float)):
+        return F.transform(_c(x), lambda a: a * F.lit(float(k)))
+    return let([x, k], lambda x, k: F.transform(x, lambda a: a * k))
 
 
-def safe_ratio(num: Column, den: Column) -> Column:
-    """``num / den`` and null where the divisor is zero (ANSI division would raise)."""
-    return F.try_divide(num, den)
+def combine(x: ColumnLike, y: ColumnLike, a: ColumnLike, b: ColumnLike) -> Column:
+    """``a x + b y``."""
+    return let([x, y, a, b], lambda x, y, a, b: F.zip_with(x, y, lambda p, q: a * p + b * q))
 
 
-def l2_normalize(x: ColumnLike, d: int | None = None) -> Column:
+def l2_normalize(x: ColumnLike) -> Column:
     """Unit vector; a zero vector stays as it is."""
-    x = _c(x)
-    norm = vec_norm(x, d)
-    return F.when(norm > 0, F.transform(x, lambda a: F.try_divide(a, norm))).otherwise(x)
+    return let([x], lambda x: let(
+        [vec_norm(x)], lambda n: F.when(n > 0, F.transform(x, lambda a: a / n)).otherwise(x)))
 
 
-def clip_by_norm(x: ColumnLike, max_norm: float = 1.0, d: int | None = None) -> Column:
-    x = _c(x)
-    norm = vec_norm(x, d)
-    return F.when(norm > max_norm, F.transform(x, lambda a: a * F.lit(max_norm) / norm)).otherwise(x)
+def clip_by_norm(x: ColumnLike, max_norm: float = 1.0) -> Column:
+    """Scale down to ``max_norm`` when longer."""
+    return let([x], lambda x: let(
+        [vec_norm(x)],
+        lambda n: F.when(n > max_norm, F.transform(x, lambda a: a * F.lit(max_norm) / n)).otherwise(x)))
 
 
 def euclidean_sq(x: ColumnLike, y: ColumnLike, d: int | None = None) -> Column:
@@ -88,7 +92,3 @@ def euclidean_sq_expanded(x2: Column, y2: Column, xy: Column) -> Column:
 
 def cosine(x: ColumnLike, y: ColumnLike, d: int | None = None) -> Column:
     return F.try_divide(vec_dot(x, y, d), vec_norm(x, d) * vec_norm(y, d))
-
-
-def sum_columns(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)

@@ -1,5 +1,12 @@
 """All registered queries."""
-from saddle.plans import queries_cleaning, queries_corpus, queries_graph, queries_sources  # noqa: F401
+from saddle.plans import (  # noqa: F401
+    queries_analytics,
+    queries_cleaning,
+    queries_corpus,
+    queries_geometry,
+    queries_graph,
+    queries_sources,
+)
 from saddle.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
