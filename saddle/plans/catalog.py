@@ -6,6 +6,7 @@ from saddle.plans import (  # noqa: F401
     queries_geometry,
     queries_graph,
     queries_sources,
+    queries_streaming,
     queries_training,
 )
 from saddle.plans.registry import ORACLES, QUERIES

@@ -44,11 +44,13 @@ def lookup_join(big: DataFrame, small: DataFrame, on: str, how: str = "inner",
     never shuffle; all other rows join as Spark plans it. Semi and anti joins work the same.
     """
     hot = hot_keys(big, on) if hot is None else hot
+    extra = [] if how in ("left_semi", "left_anti") else [c for c in small.columns if c != on]
+    columns = [*big.columns, *extra]
     if not hot:
-        return big.join(small, on, how)
+        return big.join(small, on, how).select(*columns)
     heavy = is_hot(on, hot)
     head = big.where(heavy).join(F.broadcast(small.where(F.col(on).isin(hot))), on, how)
-    return head.unionByName(big.where(~heavy).join(small, on, how))
+    return head.unionByName(big.where(~heavy).join(small, on, how)).select(*columns)
 
 
 def grouped_rank(df: DataFrame, keys: list[str], order: list, name: str = "rank", start: int = 0,
