@@ -8,17 +8,20 @@ from pyspark.sql import functions as F
 
 from saddle.functions.uniform import uniform
 from saddle.ordering import global_index, running_total
-from saddle.skew import grouped_rank, lookup_join
+from saddle.skew import grouped_rank, hot_from_counts, lookup_join
+from saddle.storage import materialise
 
 CHUNK = 4096
+# fixed values: the characters between words
+BLANKS = " \t\n\x0b\f\r"
 
 
 def document_tokens(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Whole texts as lower-case words: ``(sentence_id, pos, token)``."""
-    words = F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != "")
-    return documents.select(F.col(id_col).alias("sentence_id"), F.posexplode(words).alias("pos", "token")).withColumn(
-        "pos", F.col("pos").cast("bigint")
-    )
+    # trimmed first, so only a blank text yields an empty word
+    words = F.split(F.btrim(F.lower(F.col(text)), F.lit(BLANKS)), f"[{BLANKS}]+")
+    exploded = documents.select(F.col(id_col).alias("sentence_id"), F.posexplode(words).alias("pos", "token"))
+    return exploded.where("token <> ''").withColumn("pos", F.col("pos").cast("bigint"))
 
 
 # -- vocabulary ----------------------------------------------------------------------------
@@ -35,7 +38,7 @@ def vocabulary(tokens: DataFrame, min_count: int = 0) -> DataFrame:
 
 def vocabulary_unk(tokens: DataFrame, min_count: int = 5, unknown: str = "UNK") -> DataFrame:
     """As ``vocabulary`` from index 1; index 0 stands for all dropped tokens."""
-    counts = token_counts(tokens)
+    counts = materialise(token_counts(tokens))
     known = global_index(counts.where(F.col("freq") >= min_count),
                          [F.col("freq").desc(), F.col("token")], "idx", 1)
     dropped = counts.agg(
@@ -46,8 +49,12 @@ def vocabulary_unk(tokens: DataFrame, min_count: int = 5, unknown: str = "UNK")
 
 def encode_corpus(tokens: DataFrame, vocab: DataFrame, unknown: int | None = None,
                   hot: list | None = None) -> DataFrame:
-    """Tokens become indices; unknown ones take ``unknown`` or leave."""
+    """Tokens become indices; unknown ones take ``unknown`` or leave.
+
+    The vocabulary already tells which tokens are frequent enough to need a broadcast.
+    """
     how = "inner" if unknown is None else "left"
+    hot = hot_from_counts(vocab, "token", "freq") if hot is None else hot
     coded = lookup_join(tokens, vocab.select("token", "idx"), "token", how, hot)
     idx = F.col("idx") if unknown is None else F.coalesce("idx", F.lit(unknown).cast("bigint"))
     return coded.select("sentence_id", "pos", idx.alias("idx"))
@@ -130,7 +137,7 @@ def subsample_tokens(tokens: DataFrame, counts: DataFrame, sample: float, seed:
                      hot: list | None = None) -> DataFrame:
     """Thin out frequent tokens: keep with probability ``(sqrt(f/(sN)) + 1) sN/f``."""
     size = counts.select(F.sum("freq")).scalar()
-    # rare tokens are always kept, so only tokens that can be dropped need a frequency
+    hot = hot_from_counts(counts, "token", "freq") if hot is None else hot
     budget = F.lit(sample) * size.cast("double")
     prob = (F.sqrt(F.col("freq") / budget) + 1) * budget / F.col("freq")
     joined = lookup_join(tokens, counts.select("token", "freq"), "token", "inner", hot)

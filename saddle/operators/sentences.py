@@ -150,7 +150,7 @@ def random_walks(edges: DataFrame, num_walks: int, walk_length: int, seed: str =
     Steps run in blocks; after each block the walks are written and only their current vertex
     goes on, so rows stay narrow and lineage short.
     """
-    table = materialise(walk_table(edges.select("src", "dst").distinct()))
+    table = materialise(walk_table(materialise(edges.select("src", "dst").distinct())))
     if not table.where("dst_deg is null").isEmpty():
         raise ValueError("every vertex needs an out-edge; prune_disconnected first")
     state = degree(table).select(

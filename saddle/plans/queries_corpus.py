@@ -15,6 +15,7 @@ from saddle.plans.tables import (
     product_sentences, product_vocab, table, view_edges, view_graph, views,
 )
 from saddle.plans.walks_sql import walks_sql
+from saddle.storage import materialise
 
 # -- sentences -----------------------------------------------------------------------------
 
@@ -155,7 +156,7 @@ _BUDGET = "(0.001 * (SELECT sum(freq) FROM wcounts)::DOUBLE)"
        f"WHERE {uniform_sql('keep', 'sentence_id', 'pos')} <= (sqrt(freq / {_BUDGET}) + 1) * {_BUDGET} / freq")
 def _subsample(spark, sf):
     tokens = c.document_tokens(table(spark, sf, "documents"))
-    return c.subsample_tokens(tokens, c.token_counts(tokens), 1e-3)
+    return c.subsample_tokens(tokens, materialise(c.token_counts(tokens)), 1e-3)
 
 
 @query("edge_pairs", f"WITH {VIEWS}, {EDGES}, {OFFSET}, {GRAPH} SELECT src AS x, dst AS y, CAST(e AS INTEGER) AS epoch FROM graph, range(3) t(e)")

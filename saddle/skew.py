@@ -9,15 +9,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from saddle.ordering import exclusive_prefix, global_index, ordered
+from saddle.ordering import global_index
 
 SHARE = 0.001
 MIN_ROWS = 1_000_000
+# below this much input every key fits one task, so nobody looks for hot ones
+MIN_BYTES = 256 << 20
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Size of the files and tables a plan reads, as Spark's own statistics give it."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def hot_keys(df: DataFrame, key: str | Column, share: float | None = None,
              min_rows: int | None = None) -> list:
     """Keys holding at least ``share`` of the rows and at least ``min_rows`` rows."""
+    if input_bytes(df) < MIN_BYTES:
+        return []
     share = SHARE if share is None else share
     min_rows = MIN_ROWS if min_rows is None else min_rows
     column = F.col(key) if isinstance(key, str) else key
@@ -31,6 +41,14 @@ def hot_keys(df: DataFrame, key: str | Column, share: float | None = None,
     return [t["item"] for t in (found["top"] or []) if t["item"] is not None and t["count"] >= floor]
 
 
+def hot_from_counts(counts: DataFrame, key: str, n: str) -> list:
+    """Hot keys read off a table of counts per key that exists anyway."""
+    top = counts.orderBy(F.col(n).desc()).limit(int(1 / SHARE)).select(key, n).collect()
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    floor = max(MIN_ROWS, SHARE * total)
+    return [r[0] for r in top if r[0] is not None and r[1] >= floor]
+
+
 def is_hot(key: str | Column, hot: list) -> Column:
     column = F.col(key) if isinstance(key, str) else key
     return F.coalesce(column.isin(hot), F.lit(False))
@@ -82,6 +100,3 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     packed = F.struct(*order, *rest)
     best = df.groupBy(*keys).agg(F.min_by(packed, F.struct(*order)).alias("_row"))
     return best.select(*keys, "_row.*").select(*df.columns)
-
-
-__all__ = ["hot_keys", "is_hot", "lookup_join", "grouped_rank", "first_per_key", "ordered", "exclusive_prefix"]

@@ -26,6 +26,7 @@ def views(spark):
 @pytest.fixture
 def small_floor(monkeypatch):
     monkeypatch.setattr(skew, "MIN_ROWS", 100)
+    monkeypatch.setattr(skew, "MIN_BYTES", 0)
 
 
 def same(a, b):
@@ -35,6 +36,13 @@ def same(a, b):
 
 def test_hot_keys_found(spark, views, small_floor):
     assert skew.hot_keys(views, "customer_id") == [0] and skew.hot_keys(views, "product_id") == [7]
+    counts = views.groupBy("customer_id").count()
+    assert skew.hot_from_counts(counts, "customer_id", "count") == [0]
+
+
+def test_small_input_is_not_searched(spark, small):
+    lines = spark.read.parquet(f"{small}/lineitem.parquet")
+    assert 0 < skew.input_bytes(lines.join(lines, "l_orderkey")) < skew.MIN_BYTES and skew.hot_keys(lines, "l_partkey") == []
 
 
 def test_lookup_join(spark, views, small_floor):

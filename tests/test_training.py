@@ -79,6 +79,8 @@ def test_partitioning_and_joins_do_not_change_the_result(spark, pairs, monkeypat
     a = tr.train(pairs, params).state
     monkeypatch.setattr(tr, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(skew, "MIN_ROWS", 1)
+    monkeypatch.setattr(skew, "MIN_BYTES", 0)
+    monkeypatch.setattr(skew, "SHARE", 0.01)
     spark.conf.set("spark.sql.shuffle.partitions", "7")
     b = tr.train(pairs.repartition(5), params).state
     spark.conf.set("spark.sql.shuffle.partitions", "4")
