@@ -181,15 +181,9 @@ def mixed_schedule(first: DataFrame, second: DataFrame, batch_size: int, steps:
     parts = []
     for pairs, low, count, name in ((first, 0, half, "edge"), (second, half, steps - half, "walk")):
         placed = global_index(pairs.withColumn("_u", uniform(seed, *keys)), ["_u", *keys], "_at")
-        need = count * batch_size
         size = placed.select(F.count(F.lit(1))).scalar()
-        # row i serves places i, i + size, i + 2 size, ... below the need
-        turns = F.expr(f"sequence(_at, greatest({need} - 1, _at), _size)")
-        spread = (
-            placed.withColumn("_size", size).where(F.col("_at") < need)
-            .select("x", "y", F.explode(turns).alias("_place"))
-            .where(F.col("_place") < need)
-        )
+        places = pairs.sparkSession.range(count * batch_size).withColumnRenamed("id", "_place")
+        spread = places.withColumn("_at", F.col("_place") % size).join(placed, "_at")
         parts.append(spread.select(
             "x", "y", (F.expr(f"_place div {batch_size}") + low).alias("batch_id"), F.lit(name).alias("source")))
     return reduce(lambda a, b: a.unionByName(b), parts)

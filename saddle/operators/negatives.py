@@ -14,6 +14,7 @@ from saddle.ordering import running_total
 from saddle.storage import materialise
 
 UNIT = 1_000_000
+FAN = 1024
 
 
 def noise_distribution(vocab: DataFrame, power: float = 0.75, id_col: str = "idx") -> DataFrame:
@@ -30,18 +31,28 @@ def noise_distribution(vocab: DataFrame, power: float = 0.75, id_col: str = "idx
 def locate_draws(draws: DataFrame, noise: DataFrame, total: int, size: int) -> DataFrame:
     """Attach to each draw ``at`` in [0, total) the id whose ``[lo, hi)`` holds it.
 
-    The line is cut into about as many slices as there are ids, so a slice meets two ids on
-    average, and an id of any weight spreads over its share of the slices.
+    The line is cut into about as many slices as there are ids. An id that would cover more than
+    ``FAN`` slices moves to a grid ``FAN`` times coarser, and so on, so no id is copied more often
+    and a slice of any grid meets two ids on average. A draw looks into each grid in use.
     """
     width = max(1, total // max(1, size))
-    spans = noise.where("weight > 0").select(
-        "id", "lo", "hi",
-        F.explode(F.sequence(F.expr(f"lo div {width}"), F.expr(f"(hi - 1) div {width}"))).alias("_slice"))
+    heaviest = noise.agg(F.max("weight")).first()[0]
+    grids = [width]
+    while heaviest > grids[-1] * FAN:
+        grids.append(grids[-1] * FAN)
+    grid = F.lit(len(grids) - 1)
+    for level in reversed(range(len(grids) - 1)):
+        grid = F.when(F.col("weight") <= grids[level] * FAN, F.lit(level)).otherwise(grid)
+    step = F.array(*[F.lit(w).cast("bigint") for w in grids])
+    spans = (
+        noise.where("weight > 0").withColumn("_grid", grid).withColumn("_step", step[F.col("_grid")])
+        .select("id", "lo", "hi", "_grid", F.explode(F.expr("sequence(lo div _step, (hi - 1) div _step)")).alias("_slice"))
+    )
+    looks = draws.select("*", F.posexplode(step).alias("_grid", "_step")).withColumn("_slice", F.expr("at div _step"))
     return (
-        draws.withColumn("_slice", F.expr(f"at div {width}"))
-        .join(spans, "_slice")
+        looks.drop("_step").join(spans, ["_grid", "_slice"])
         .where((F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")))
-        .drop("_slice", "lo", "hi")
+        .drop("_grid", "_slice", "lo", "hi")
     )
 
 

@@ -66,8 +66,8 @@ COSTS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
 def nearest(emb: DataFrame, query_ids: list, k: int = 10, metric: str = "cosine") -> DataFrame:
     """``(query, id, score, rank)``: the ``k`` nearest other rows of ``emb(id, v)``.
 
-    Score is the cosine, or the curved distance. Each Arrow batch keeps its best ``k`` per query
-    before anything shuffles. Queries go in blocks of fixed size, one pass over the table each,
+    Score is the cosine, or the curved distance. Each task keeps its best ``k`` per query and hands
+    on only those. Queries go in blocks of fixed size, one pass over the table each,
     so what a task holds does not depend on how many there are.
     """
     parts = [_nearest_block(emb, query_ids[i:i + QUERY_BLOCK], k, metric)
@@ -85,20 +85,22 @@ def _nearest_block(emb: DataFrame, ids: list, k: int, metric: str) -> DataFrame:
     cost = COSTS[metric]
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # the task's best so far: k per query, merged with every batch
+        top_id = np.zeros((len(qid), 0), dtype=np.int64)
+        top_cost = np.zeros((len(qid), 0))
         for pdf in batches:
             if not len(pdf) or not len(qid):
                 continue
             ids_ = pdf["id"].to_numpy()
             c = cost(q, np.stack(pdf["v"].to_numpy()).astype(np.float64))
             c[qid[:, None] == ids_[None, :]] = np.inf
-            # ties by id, so the cut inside a batch agrees with the final one
-            order = np.argsort(ids_, kind="stable")
-            ids_, c = ids_[order], c[:, order]
-            top = np.argsort(c, axis=1, kind="stable")[:, :k]
-            take = np.repeat(np.arange(len(qid)), top.shape[1])
-            cols = top.ravel()
-            own = qid[take] == ids_[cols]
-            yield pd.DataFrame({"query": qid[take], "id": ids_[cols], "cost": c[take, cols]})[~own]
+            all_id = np.concatenate([top_id, np.broadcast_to(ids_, c.shape)], axis=1)
+            all_cost = np.concatenate([top_cost, c], axis=1)
+            order = np.lexsort((all_id, all_cost), axis=1)[:, :k + 1]  # one more: the query itself may be among them
+            top_id = np.take_along_axis(all_id, order, 1)
+            top_cost = np.take_along_axis(all_cost, order, 1)
+        out = pd.DataFrame({"query": np.repeat(qid, top_id.shape[1]), "id": top_id.ravel(), "cost": top_cost.ravel()})
+        yield out[out["query"] != out["id"]]
 
     partial = emb.select("id", "v").mapInPandas(best, "query long, id long, cost double")
     window = Window.partitionBy("query").orderBy("cost", "id")

@@ -9,6 +9,7 @@ from saddle.functions.uniform import uniform_sql
 from saddle.operators.corpus import skipgram_pairs, vocabulary
 from saddle.operators.graph import both_directions, edges_bipartite, edges_bipartite_offset
 from saddle.operators.sentences import coview_sentences, customer_sentences
+from saddle.skew import hot_keys, lookup_join
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -19,10 +20,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def views(spark: SparkSession, sf: str) -> DataFrame:
     """Line items as product views: who, what, when."""
-    orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("customer_id"))
-    lines = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("product_id"),
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("order"), F.col("o_custkey").alias("customer_id"))
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("order"), F.col("l_partkey").alias("product_id"),
                                                 F.col("l_shipdate").alias("date_viewed"))
-    return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select("customer_id", "product_id", "date_viewed")
+    return lookup_join(lines, orders, "order").select("customer_id", "product_id", "date_viewed")
 
 
 VIEWS = ("views AS (SELECT o_custkey AS customer_id, l_partkey AS product_id, l_shipdate AS date_viewed "
@@ -44,7 +45,7 @@ def product_sentences(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def coviews(spark: SparkSession, sf: str) -> DataFrame:
-    return coview_sentences(views(spark, sf))
+    return coview_sentences(views(spark, sf), hot_keys(table(spark, sf, "lineitem"), "l_partkey"))
 
 
 # -- graphs --------------------------------------------------------------------------------

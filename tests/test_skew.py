@@ -135,6 +135,21 @@ def test_negatives_return_all_when_too_few(spark):
         assert sorted(r["id"] for r in got if r["batch_id"] == b) == [0, 1, 2, 3]
 
 
+@pytest.mark.parametrize("fan", [2, 3, 1024])
+def test_draws_find_their_id_on_every_grid(spark, monkeypatch, fan):
+    """One id owns most of the line; coarser grids hold the heavy ids."""
+    monkeypatch.setattr(negatives, "FAN", fan)
+    weights = [500, 1, 1, 40, 0, 3, 90, 1, 7, 1, 1, 1]
+    rows, at = [], 0
+    for i, w in enumerate(weights):
+        rows.append((i, w, at, at + w))
+        at += w
+    noise = spark.createDataFrame(rows, "id bigint, weight bigint, lo bigint, hi bigint")
+    draws = spark.range(at).withColumnRenamed("id", "at")
+    got = {r["at"]: r["id"] for r in negatives.locate_draws(draws, noise, at, len(weights)).collect()}
+    assert got == {p: i for i, w, lo, hi in rows for p in range(lo, hi)}
+
+
 def test_negatives_follow_the_noise(spark):
     vocab = spark.createDataFrame([(0, 1_000_000), (1, 10_000), (2, 10_000), (3, 1)], "idx bigint, freq bigint")
     noise = negatives.noise_distribution(vocab)
