@@ -14,6 +14,7 @@ from saddle.plans.tables import (
     CUSTOMER_LABELS, FEATURES, VIEWS, WIDTH, customer_features, customer_labels, start_sql, start_vectors, table, vectors,
     vectors_sql, views,
 )
+from saddle.skew import lookup_join
 
 # -- neighbours ----------------------------------------------------------------------------
 # fixed values: the items whose neighbours are asked for
@@ -146,13 +147,13 @@ def _balance(spark, sf):
     return f.balance_classes(rows, "cat", "id", {2: 23, 9: 10})
 
 
-@query("stratified_sample_n", f"SELECT doc_id AS id, quality AS cat, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY quality "
-       f"ORDER BY {uniform_sql('sample', 'doc_id')}, doc_id) AS k FROM labels) JOIN documents USING (doc_id) WHERE k <= 20")
+@query("stratified_sample_n", f"SELECT o_orderkey, c_custkey AS id, c_mktsegment AS cat FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment "
+       f"ORDER BY {uniform_sql('sample', 'c_custkey')}, c_custkey) AS k FROM customer) JOIN orders ON o_custkey = c_custkey WHERE k <= 10")
 def _stratified_n(spark, sf):
-    rows = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("cat"))
-    chosen = f.stratified_sample_n(rows, "cat", "id", 20)
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "n_chars")
-    return docs.join(chosen, "id").select("id", "cat", "n_chars")
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("cat"))
+    chosen = f.stratified_sample_n(rows, "cat", "id", 10)
+    data = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("id"))
+    return lookup_join(data, chosen, "id").select("o_orderkey", "id", "cat")
 
 
 # -- splits --------------------------------------------------------------------------------
