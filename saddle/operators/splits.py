@@ -32,14 +32,15 @@ def train_test_split_stratified(df: DataFrame, y: str, id_col: str, train: float
     counts = df.groupBy(y).agg(F.count(F.lit(1)).alias("_n"))
     facts = counts.agg(F.sum("_n").alias("n"), F.min("_n").alias("least"), F.count(F.lit(1)).alias("classes")).first()
     share = train / facts["n"] if isinstance(train, int) else train
-    n_train = round(share * facts["n"])
+    # halves go up, and 0.7 * 45 counts as 31.5 whatever its last bit says
+    n_train = int(round(share * facts["n"], 9) + 0.5)
     keyed = df.withColumn("_u", uniform(seed, id_col))
     if facts["least"] < 2 or min(n_train, facts["n"] - n_train) < facts["classes"]:
         placed = global_index(keyed, ["_u", id_col], "_r")
         return placed.withColumn("is_train", F.col("_r") < n_train).drop("_u", "_r")
     ranked = grouped_rank(keyed, [y], [F.col("_u"), F.col(id_col)], "_r", 0)
     # one row per class: a class count is bounded by the label domain
-    quota = counts.select(y, F.round(F.col("_n") * F.lit(share)).cast("bigint").alias("_q"))
+    quota = counts.select(y, F.round(F.round(F.col("_n") * F.lit(share), 9)).cast("bigint").alias("_q"))
     return lookup_join(ranked, quota, y).withColumn("is_train", F.col("_r") < F.col("_q")).drop("_u", "_r", "_q")
 
 
