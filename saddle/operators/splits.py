@@ -32,8 +32,8 @@ def train_test_split_stratified(df: DataFrame, y: str, id_col: str, train: float
     counts = df.groupBy(y).agg(F.count(F.lit(1)).alias("_n"))
     facts = counts.agg(F.sum("_n").alias("n"), F.min("_n").alias("least"), F.count(F.lit(1)).alias("classes")).first()
     share = train / facts["n"] if isinstance(train, int) else train
-    # halves go up, and 0.7 * 45 counts as 31.5 whatever its last bit says
-    n_train = int(round(share * facts["n"], 9) + 0.5)
+    # a training share of all rows is cut down to whole rows; last-bit noise of the product is dropped
+    n_train = int(round(share * facts["n"], 9))
     keyed = df.withColumn("_u", uniform(seed, id_col))
     if facts["least"] < 2 or min(n_train, facts["n"] - n_train) < facts["classes"]:
         placed = global_index(keyed, ["_u", id_col], "_r")
