@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saddle.llm.registry import query, table
-from saddle.llm.secrets import ACCESS, ASSIGN, BLANK, ENDPOINT, KINDS, LONG_HEX, MIXED, NAMED, REACH, secret_spans
+from saddle.llm.credentials import ACCESS, ASSIGN, BLANK, ENDPOINT, KINDS, LONG_HEX, MIXED, NAMED, REACH, secret_spans
 from saddle.llm.shards import byte_shards
 from saddle.llm.urlfilter import judge_urls, url_host
 

@@ -6,9 +6,16 @@ from pyspark.sql import functions as F
 
 from saddle.llm.registry import query, table
 from saddle.llm.simhash import near_groups
+from saddle.llm.tiling import contaminated
 
 
 @query("op8_simhash_groups")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     groups = near_groups(table(spark, sf, "documents"), size=3, radius=3)
     return groups.select("doc_id", F.lower(F.lpad(F.hex(F.get("fp", F.lit(0))), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op1_string_tiling")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold at least half of a benchmark item, in whatever order."""
+    return contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("key_1", "key_2")

@@ -38,12 +38,26 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, ends - ends[0]
 
 
+_BASE = 0x9E3779B97F4A7C15 | 1
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base and of its inverse modulo 2^64, kept between batches."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, 1 << 16)
+        base, turned = np.full(size, _BASE, dtype=np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
+        base[0] = turned[0] = 1
+        _POWERS[:] = [np.multiply.accumulate(base), np.multiply.accumulate(turned)]
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
 class Words:
     """Lower-cased words of a batch: ``buf`` holds every word and one space, ``start``/``end`` its bytes, ``doc`` its row."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, gaps: np.ndarray = _SPACE):
         data, ends = raw(texts)
-        space = _SPACE[data]
+        space = gaps[data]
         # a text's end closes its last word
         opens = ~space
         opens[1:] &= space[:-1]
@@ -67,6 +81,14 @@ class Words:
         self.buf[place] = _LOWER[data[keep]]
         self.rows = len(ends) - 1
 
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of every word, by Karp-Rabin prefix sums over all bytes."""
+        power, inverse = _powers(len(self.buf) + 1)
+        with np.errstate(over="ignore"):
+            prefix = np.zeros(len(self.buf) + 1, dtype=np.uint64)
+            np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * power[:len(self.buf)], out=prefix[1:])
+            return remix((prefix[self.end] - prefix[self.start]) * inverse[self.start], 1)
+
     def shingles(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(doc, start, end) of each shingle of ``size`` words; a shorter text has its whole sequence."""
         n = len(self.doc)
