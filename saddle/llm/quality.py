@@ -162,10 +162,10 @@ def train(texts: list[str], labels: np.ndarray, share: float, seed: int = 7) ->
                 picked.append(c)
         for lo in range(0, len(picked), STEP):
             c = np.array(picked[lo:lo + STEP])
-            # a part of the chunks is shifted and cut, as if the text were shorter
+            # of some chunks only a piece is taken, as if the text were shorter
             cut = rng.random(len(c)) < 0.4
-            kept = np.where(cut, np.minimum(held[c], rng.integers(192, CHUNK * BYTES, len(c))), held[c])
-            shift = np.where(cut, rng.integers(0, 64, len(c)), 0) * (held[c] > kept + 64)
+            kept = np.where(cut, np.minimum(held[c], rng.integers(24, CHUNK * BYTES, len(c))), held[c])
+            shift = (rng.random(len(c)) * (held[c] - kept + 1)).astype(np.int64)
             own = np.stack([tail[s:s + CHUNK * BYTES] for s in (start[c] * BYTES + shift).tolist()])
             own = np.where(np.arange(CHUNK * BYTES)[None] < kept[:, None], own, 0)
             left = np.minimum((kept // BYTES + 1) * BLOCK, steps)
