@@ -93,7 +93,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 1000, id_col: str
             for page, url, digest, size, first, body in zip(*[batch[c].to_pylist() for c in batch.schema.names]):
                 if out is None:
                     name, at, n = f"{uuid.uuid4().hex}.warc.gz", 0, 0
-                    out = fs.open_output_stream(f"{base}/{name}")
+                    out = fs.open_output_stream(f"{base}/{name}", compression=None)
                 data = member(record(page, url, body, digest, size, first), at)
                 out.write(data)
                 at, n = at + len(data), n + 1
