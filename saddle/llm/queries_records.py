@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from saddle.llm import chat, warc
+from saddle.llm.crosspoly import near_vectors
 from saddle.llm.registry import query, table
 
 # -- op4 -----------------------------------------------------------------------------------
@@ -51,3 +52,10 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 A
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     files = warc.write_archives(table(spark, sf, "pages"), warc.archive_folder(spark))
     return warc.read_archives(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# -- op6 -----------------------------------------------------------------------------------
+
+@query("op6_cross_polytope")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return near_vectors(table(spark, sf, "embeddings"))
