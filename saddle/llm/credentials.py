@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from saddle.llm.rows import attach, key_columns
 from saddle.storage import materialise
 
 #: Kinds in the order that breaks ties at one start.
@@ -65,8 +66,8 @@ def _hits(text: Column, kind: str, pattern: str, found: Column) -> Column:
 
 
 def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One written row per document: ``row, doc_id, text_hash, hits``."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"),
+    """One written row per document: ``row, key_1, key_2, doc_id, hits``."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), *key_columns(id_col, text_col), F.col(id_col).alias("doc_id"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = rows.select("*", *[F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(f"m_{k}") for k, p in PATTERNS])
     weak = (F.size("m_id") > 0) | (F.size("m_mixed") > 0) | (F.size("m_url") > 0) | (F.size("m_assign") > 0)
@@ -74,7 +75,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     lists = [_hits(F.col("text"), k, p, F.col(f"m_{k}")) for k, p in (*PATTERNS, ("blank", BLANK))]
     none = F.array().cast("array<struct<scan:string,nth:int,gap:int,len:int,kind:string>>")
     hits = F.concat(*[F.coalesce(x.cast("array<struct<scan:string,nth:int,gap:int,len:int,kind:string>>"), none) for x in lists])
-    return materialise(found.select("row", "doc_id", F.xxhash64("text").alias("text_hash"), hits.alias("hits")))
+    return materialise(found.select("row", "key_1", "key_2", "doc_id", hits.alias("hits")))
 
 
 def _parts(scan: DataFrame) -> DataFrame:
@@ -113,7 +114,7 @@ def _linked(parts: DataFrame) -> DataFrame:
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``row, doc_id, text_hash, spans``, spans sorted ``(start, rank, kind, end)``.
+    """One row per document: ``key_1, key_2, doc_id, spans``, spans sorted ``(start, rank, kind, end)``.
 
     Positions are code points, ends exclusive; ``rank`` is the kind's place in ``KINDS``.
     """
@@ -124,7 +125,8 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
     spans = spans.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", rank.alias("rank"), "kind", "end"))).alias("spans"))
     none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
-    return scan.select("row", "doc_id", "text_hash").join(spans, "row", "left").withColumn("spans", F.coalesce("spans", none))
+    found = scan.select("row", "key_1", "key_2", "doc_id").join(spans, "row", "left")
+    return found.select("key_1", "key_2", "doc_id", F.coalesce("spans", none).alias("spans"))
 
 
 def redact(docs: DataFrame, mark: str = "<SECRET>", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,8 +134,11 @@ def redact(docs: DataFrame, mark: str = "<SECRET>", id_col: str = "doc_id", text
 
     Null texts stay null.
     """
+    name = "secret_spans"
+    while name in docs.columns:
+        name += "_"
     found = secret_spans(docs, id_col, text_col).where(F.size("spans") > 0)
-    found = found.groupBy(F.col("doc_id").alias("_rid"), F.col("text_hash").alias("_rhash")).agg(F.first("spans").alias("_rspans"))
+    found = found.groupBy("key_1", "key_2").agg(F.first("spans").alias(name))
     begin = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("pos"))
 
     def cut(done: Column, span: Column) -> Column:
@@ -141,9 +146,7 @@ def redact(docs: DataFrame, mark: str = "<SECRET>", id_col: str = "doc_id", text
         fresh = F.when((span["start"] >= done["pos"]) | (done["pos"] == 0), F.concat(done["out"], gap, F.lit(mark))).otherwise(done["out"])
         return F.struct(fresh.alias("out"), F.greatest(done["pos"], span["end"]).alias("pos"))
 
-    cleaned = F.aggregate("_rspans", begin, cut,
-                          lambda done: F.concat(done["out"], F.substring(F.col(text_col), (done["pos"] + 1).cast("int"), F.lit(2**31 - 1))))
-    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col("_rid")) & (key == F.col("_rhash")), "left")
-    new = F.when(F.col("_rspans").isNotNull(), cleaned).otherwise(F.col(text_col))
-    return joined.select(*[new.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    cleaned = F.aggregate(name, begin, cut, lambda done: F.concat(
+        done["out"], F.substring(F.col(text_col), (done["pos"] + 1).cast("int"), F.lit(2**31 - 1))))
+    new = F.when(F.col(name).isNotNull(), cleaned).otherwise(F.col(text_col))
+    return attach(docs, found, id_col, text_col).select(*[new.alias(c) if c == text_col else F.col(c) for c in docs.columns])

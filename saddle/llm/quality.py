@@ -247,3 +247,21 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([*[part[n] for n in names], pa.array(scores(model, texts))], [*names, "score"])
 
     return rows.mapInArrow(work, f"key_1 bigint, key_2 int, doc_id {kind}, held_out boolean, score double")
+
+
+#: Scores below it are rejected.
+THRESHOLD = 0.3
+
+
+def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text scores at least ``threshold``, in one pass without a shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            for at, texts in slices(batch.column(place), 1 << 20):
+                yield batch.slice(at, len(texts)).filter(pa.array(scores(model, texts) >= threshold))
+
+    return docs.mapInArrow(work, docs.schema)

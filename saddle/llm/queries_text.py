@@ -33,7 +33,7 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def token_digests(encoded: DataFrame, config: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of encoded rows; the digest of the text is of the decoded ids."""
+    """``doc_id, n_tokens, ids, ids_sha256, decoded_sha256`` of encoded rows; the digest of the text is of the decoded ids."""
     kind = encoded.schema["doc_id"].dataType.simpleString()
     shared = encoded.sparkSession.sparkContext.broadcast(config)
 
@@ -46,21 +46,21 @@ def token_digests(encoded: DataFrame, config: str) -> DataFrame:
                 n.append(len(own))
                 ids.append(sha256(own.astype("<u4").tobytes()).hexdigest())
                 texts.append(sha256(tokenizer.decode(own.tolist()).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.array(n, dtype=np.int64)), pa.array(ids, pa.string()),
-                                              pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.array(n, dtype=np.int64)), batch["ids"], pa.array(ids, pa.string()),
+                                              pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
     return encoded.select("doc_id", "ids").mapInArrow(
-        work, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+        work, f"doc_id {kind}, n_tokens bigint, ids array<int>, ids_sha256 string, decoded_sha256 string")
 
 
 @query("op9_bpe_automaton")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     config = bpe.read_config(spark, VOCABULARY)
-    return token_digests(bpe.encode(table(spark, sf, "documents"), config), config)
+    return token_digests(bpe.encode(table(spark, sf, "documents"), config), config).drop("ids")
 
 
 @query("op10_byte_convolution")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     scored = quality.score(docs, quality.fit(docs, table(spark, sf, "labels")))
-    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))

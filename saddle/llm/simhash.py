@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from saddle.llm.buckets import by_runs, forest, run_pairs
 from saddle.llm.components import connected_components
-from saddle.llm.rows import key_columns
+from saddle.llm.rows import keep_once, key_columns
 from saddle.llm.textbytes import Words, remix, slices, xxh64
 from saddle.storage import materialise
 
@@ -281,17 +281,32 @@ def links(classes: DataFrame, index: Index, words: int, verify: int) -> DataFram
 
 def near_groups(docs: DataFrame, size: int, radius: int, words: int = 1, verify: int | None = None,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``key_1, key_2, doc_id, fp, component_id``.
+    """One row per document: ``key_1, key_2, doc_id, fp, group, component_id``.
 
     Classes are linked when they differ in at most ``verify`` bits (``radius`` if not given). All
     pairs within ``radius`` are found; of pairs between ``radius`` and ``verify`` those that some
-    partition brings together. ``component_id`` is the smallest doc_id of all linked documents.
+    partition brings together. ``component_id`` is the smallest doc_id of all linked documents,
+    ``group`` a number of theirs that also tells groups without any id apart.
     """
     rows = materialise(fingerprints(docs, size, words, id_col, text_col))
     classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("low")).withColumn("node", F.monotonically_increasing_id()))
     found = links(classes, build_index(classes, words, radius), words, radius if verify is None else verify)
     named = connected_components(found)
     lows = named.join(classes.select("node", "low"), "node").groupBy("root").agg(F.min("low").alias("least"))
-    least = named.join(lows, "root").select("node", "least")
-    groups = classes.join(least, "node", "left").select("fp", F.coalesce("least", "low").alias("component_id"))
-    return rows.join(groups, "fp").select("key_1", "key_2", "doc_id", "fp", "component_id")
+    linked = named.join(lows, "root").select("node", "root", "least")
+    groups = classes.join(linked, "node", "left").select(
+        "fp", F.coalesce("root", "node").alias("group"), F.when(F.col("root").isNull(), F.col("low")).otherwise(F.col("least")).alias("component_id"))
+    return rows.join(groups, "fp").select("key_1", "key_2", "doc_id", "fp", "group", "component_id")
+
+
+#: For whole documents: shingles of five words, 256 bits. Texts of similarity (Jaccard) 0.8 differ in
+#: about 38 of them; a pair of that similarity shares a bucket with a probability of 0.97, a pair of
+#: 0.85 with 0.99.
+SHINGLE, WORDS, RADIUS, VERIFY = 5, 4, 23, 38
+
+
+def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row of the smallest id of each group of near copies, with the columns of ``docs``; repeated rows stay once."""
+    groups = near_groups(docs, SHINGLE, RADIUS, WORDS, VERIFY, id_col, text_col)
+    first = groups.groupBy("group").agg(F.min(F.struct("doc_id", "key_1", "key_2")).alias("first"))
+    return keep_once(docs, first.select("first.key_1", "first.key_2"), id_col, text_col)
