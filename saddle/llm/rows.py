@@ -10,33 +10,35 @@ def key_columns(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     return [F.xxhash64(id_col, text_col).alias("key_1"), F.hash(text_col, id_col).alias("key_2")]
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
-    names = []
-    for base, column in zip(("row_key_1", "row_key_2"), key_columns(id_col, text_col)):
-        while base in docs.columns:
-            base += "_"
-        docs = docs.withColumn(base, column)
-        names.append(base)
-    return docs, names
+def _free(df: DataFrame, base: str) -> str:
+    while base in df.columns:
+        base += "_"
+    return base
 
 
-def _on(names: list[str]):
-    return (F.col(names[0]) == F.col("key_1")) & (F.col(names[1]) == F.col("key_2"))
+def _keyed(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str):
+    """``docs`` with its keys, ``keys`` with its own under other names, the join's condition and all four names."""
+    mine = [_free(docs, "row_key_1"), _free(docs, "row_key_2")]
+    for name, column in zip(mine, key_columns(id_col, text_col)):
+        docs = docs.withColumn(name, column)
+    theirs = [_free(docs, "their_key_1"), _free(docs, "their_key_2")]
+    keys = keys.withColumnsRenamed(dict(zip(("key_1", "key_2"), theirs)))
+    return docs, keys, (F.col(mine[0]) == F.col(theirs[0])) & (F.col(mine[1]) == F.col(theirs[1])), [*mine, *theirs]
 
 
 def drop_rows(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows named by ``keys(key_1, key_2)``."""
-    keyed, names = _keyed(docs, id_col, text_col)
-    return keyed.join(keys.select("key_1", "key_2"), _on(names), "left_anti").select(*docs.columns)
+    keyed, names, on, _ = _keyed(docs, keys.select("key_1", "key_2"), id_col, text_col)
+    return keyed.join(names, on, "left_anti").select(*docs.columns)
 
 
 def keep_once(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each of the distinct ``keys(key_1, key_2)``."""
-    keyed, names = _keyed(docs, id_col, text_col)
-    return keyed.join(keys.select("key_1", "key_2"), _on(names), "left_semi").dropDuplicates(names).select(*docs.columns)
+    keyed, names, on, used = _keyed(docs, keys.select("key_1", "key_2"), id_col, text_col)
+    return keyed.join(names, on, "left_semi").dropDuplicates(used[:2]).select(*docs.columns)
 
 
 def attach(docs: DataFrame, values: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` beside the columns of ``values``, which has at most one row per ``(key_1, key_2)``."""
-    keyed, names = _keyed(docs, id_col, text_col)
-    return keyed.join(values, _on(names), "left").drop("key_1", "key_2", *names)
+    """``docs`` beside the other columns of ``values``, which has at most one row per ``(key_1, key_2)``."""
+    keyed, named, on, used = _keyed(docs, values, id_col, text_col)
+    return keyed.join(named, on, "left").drop(*used)

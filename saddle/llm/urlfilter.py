@@ -103,7 +103,7 @@ def mark_listed(rows: DataFrame, key: str, listed: DataFrame, name: str = "liste
     parts = [rows.where(F.col(key).isNull()).withColumn(name, F.lit(False))]
     for s in range(segments):
         cascade = build_cascade(universe.where(_segment(F.col("key"), segments) == s))
-        mine = rows.where(_segment(F.col(key), segments) == s)
+        mine = rows.where(F.col(key).isNotNull() & (_segment(F.col(key), segments) == s))
         parts.append(mine.withColumn(name, cascade.member(F.col(key))))
     return reduce(DataFrame.unionByName, parts)
 
