@@ -17,13 +17,13 @@ def dedup_ids(df: DataFrame, id_col: str, order: list[str], keep: list[str]) ->
     return first_per_key(df.select(*wanted), [id_col], order).select(id_col, *keep)
 
 
-def exclude_ids(df: DataFrame, bad: DataFrame, id_col: str, hot: list | None = None) -> DataFrame:
-    return lookup_join(df, bad.select(id_col), id_col, "left_anti", hot)
+def exclude_ids(df: DataFrame, bad: DataFrame, id_col: str) -> DataFrame:
+    return lookup_join(df, bad.select(id_col), id_col, "left_anti")
 
 
-def subtract_by_key(left: DataFrame, right: DataFrame, key: str, hot: list | None = None) -> DataFrame:
+def subtract_by_key(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Rows of ``left`` whose key is absent from ``right``; duplicates in ``left`` stay."""
-    return lookup_join(left, right.select(key), key, "left_anti", hot)
+    return lookup_join(left, right.select(key), key, "left_anti")
 
 
 def drop_single_token_sentences(tokens: DataFrame, sentence: str = "sentence_id") -> DataFrame:

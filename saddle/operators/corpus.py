@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from saddle.functions.uniform import uniform
 from saddle.ordering import global_index, running_total
-from saddle.skew import grouped_rank, hot_from_counts, lookup_join
+from saddle.skew import grouped_rank, lookup_join
 from saddle.storage import materialise
 
 CHUNK = 4096
@@ -47,15 +47,10 @@ def vocabulary_unk(tokens: DataFrame, min_count: int = 5, unknown: str = "UNK")
     return dropped.unionByName(known.select("token", "freq", "idx"))
 
 
-def encode_corpus(tokens: DataFrame, vocab: DataFrame, unknown: int | None = None,
-                  hot: list | None = None) -> DataFrame:
-    """Tokens become indices; unknown ones take ``unknown`` or leave.
-
-    The vocabulary already tells which tokens are frequent enough to need a broadcast.
-    """
+def encode_corpus(tokens: DataFrame, vocab: DataFrame, unknown: int | None = None) -> DataFrame:
+    """Tokens become indices; unknown ones take ``unknown`` or leave."""
     how = "inner" if unknown is None else "left"
-    hot = hot_from_counts(vocab, "token", "freq") if hot is None else hot
-    coded = lookup_join(tokens, vocab.select("token", "idx"), "token", how, hot)
+    coded = lookup_join(tokens, vocab.select("token", "idx"), "token", how)
     idx = F.col("idx") if unknown is None else F.coalesce("idx", F.lit(unknown).cast("bigint"))
     return coded.select("sentence_id", "pos", idx.alias("idx"))
 
@@ -99,14 +94,20 @@ def _mirror(pairs: DataFrame, *extra: str) -> DataFrame:
     return pairs.select(F.explode(ways).alias("p"), *extra).select("p.x", "p.y", *extra)
 
 
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    """Each pair as its first and as its second token sees it."""
+    back = F.struct((F.col("pos") + F.col("k")).alias("pos"), (-F.col("k")).alias("k"), F.col("y").alias("x"), F.col("x").alias("y"))
+    return pairs.select("sentence_id", F.explode(F.array(F.struct("pos", "k", "x", "y"), back)).alias("p")).select("sentence_id", "p.*")
+
+
 def skipgram_pairs(tokens: DataFrame, window: int) -> DataFrame:
-    """All ``(x, y)`` within ``window`` positions of one sentence whose tokens differ."""
-    return _mirror(_windowed(tokens, window).where("x <> y"))
+    """``(sentence_id, pos, k, x, y)``: x at ``pos`` and y ``k`` places on or back, within ``window``, where the tokens differ."""
+    return _both_ways(_windowed(tokens, window).where("x <> y"))
 
 
 def skipgram_pairs_positional(tokens: DataFrame, window: int) -> DataFrame:
     """As above, but only the same position is excluded; equal tokens may pair."""
-    return _mirror(_windowed(tokens, window))
+    return _both_ways(_windowed(tokens, window))
 
 
 def skipgram_pairs_dynamic(stream: DataFrame, window: int, seed: str = "window") -> DataFrame:
@@ -133,14 +134,12 @@ def stream_chunks(tokens: DataFrame, length: int = 1000) -> DataFrame:
     return placed.select(F.expr(f"_at div {length}").alias("sentence_id"), (F.col("_at") % length).alias("pos"), "token")
 
 
-def subsample_tokens(tokens: DataFrame, counts: DataFrame, sample: float, seed: str = "keep",
-                     hot: list | None = None) -> DataFrame:
+def subsample_tokens(tokens: DataFrame, counts: DataFrame, sample: float, seed: str = "keep") -> DataFrame:
     """Thin out frequent tokens: keep with probability ``(sqrt(f/(sN)) + 1) sN/f``."""
     size = counts.select(F.sum("freq")).scalar()
-    hot = hot_from_counts(counts, "token", "freq") if hot is None else hot
     budget = F.lit(sample) * size.cast("double")
     prob = (F.sqrt(F.col("freq") / budget) + 1) * budget / F.col("freq")
-    joined = lookup_join(tokens, counts.select("token", "freq"), "token", "inner", hot)
+    joined = lookup_join(tokens, counts.select("token", "freq"), "token", "inner")
     return joined.where(uniform(seed, "sentence_id", "pos") <= prob).select("sentence_id", "pos", "token")
 
 

@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 from saddle.functions.uniform import uniform
 from saddle.operators.cleaning import assert_unique_key
 from saddle.ordering import running_total
-from saddle.skew import grouped_rank, lookup_join
-
-MAX_CATEGORIES = 10_000
+from saddle.skew import grouped_rank, null_safe_join
 
 
 def frequent_categories(df: DataFrame, column: str, pct: float) -> list:
@@ -33,10 +31,8 @@ def dummies(df: DataFrame, columns: list[str], categories: dict[str, list] | Non
     for column in columns:
         values = (categories or {}).get(column)
         if values is None:
-            found = df.select(column).where(F.col(column).isNotNull()).distinct().limit(MAX_CATEGORIES + 1).collect()
-            if len(found) > MAX_CATEGORIES:
-                raise ValueError(f"{column} has too many categories for columns; use rare_to_other first")
-            values = sorted(r[0] for r in found)
+            # as many as the table gets columns; rare_to_other bounds them
+            values = sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
         # a null matches no category
         flags = {f"{column}_{v}": F.coalesce((F.col(column) == F.lit(v)).cast("int"), F.lit(0)) for v in values}
         out = out.withColumns(flags).drop(column)
@@ -59,12 +55,12 @@ def classification_xy(df: DataFrame, key: str, country: str, gender: str, pct: f
 
 
 def min_rank_share(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Smallest rank among equal values, over the number of rows."""
+    """Smallest rank among equal values, over the number of rows; nulls come first and share the least rank."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
     run = running_total(counts, "_n", [column], "_run")
     total = df.select(F.count(F.lit(1))).scalar()
     share = run.select(column, ((F.col("_run") - F.col("_n") + 1) / total).alias(out))
-    return lookup_join(df, share, column)
+    return null_safe_join(df, share, column)
 
 
 def regression_xy(df: DataFrame, key: str, country: str, gender: str, pct: float = 0.05) -> DataFrame:

@@ -46,12 +46,12 @@ def degree(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
 
 
-def adjacency_list(edges: DataFrame, hot: list | None = None) -> DataFrame:
+def adjacency_list(edges: DataFrame) -> DataFrame:
     """Numbered neighbours ``(src, nbr, dst)``, ascending from 0.
 
     One row per neighbour rather than one array per vertex, so a hub of any degree fits.
     """
-    return grouped_rank(edges, ["src"], [F.col("dst")], "nbr", 0, hot)
+    return grouped_rank(edges, ["src"], [F.col("dst")], "nbr", 0)
 
 
 def prune_disconnected(edges: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -65,8 +65,7 @@ def induced_subgraph(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """Edges with both ends in ``vertices(id)``."""
     ends = vertices.select("id").distinct()
     inner = lookup_join(edges, ends.withColumnRenamed("id", "src"), "src", "left_semi")
-    return lookup_join(inner, ends.withColumnRenamed("id", "dst"), "dst", "left_semi",
-                       None)
+    return lookup_join(inner, ends.withColumnRenamed("id", "dst"), "dst", "left_semi")
 
 
 def single_label_vertices(labels: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ id by an equi-join on equal slices of the weight line.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saddle.functions.uniform import uniform
@@ -29,7 +29,7 @@ def noise_distribution(vocab: DataFrame, power: float = 0.75, id_col: str = "idx
 
 
 def locate_draws(draws: DataFrame, noise: DataFrame, total: int, size: int) -> DataFrame:
-    """Attach to each draw ``at`` in [0, total) the id whose ``[lo, hi)`` holds it.
+    """Attach to each draw ``at`` in [0, total) the id whose ``[lo, hi)`` holds it, and these bounds.
 
     The line is cut into about as many slices as there are ids. An id that would cover more than
     ``FAN`` slices moves to a grid ``FAN`` times coarser, and so on, so no id is copied more often
@@ -52,7 +52,7 @@ def locate_draws(draws: DataFrame, noise: DataFrame, total: int, size: int) -> D
     return (
         looks.drop("_step").join(spans, ["_grid", "_slice"])
         .where((F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")))
-        .drop("_grid", "_slice", "lo", "hi")
+        .drop("_grid", "_slice")
     )
 
 
@@ -65,31 +65,31 @@ def _line(noise: DataFrame) -> tuple[int, int]:
     return int(row["total"]), int(row["size"])
 
 
-def negative_samples(batches: DataFrame, noise: DataFrame, n: int, seed: str = "neg",
-                     tries: int = 4) -> DataFrame:
-    """``(batch_id, rank, id)``: per batch ``n`` distinct ids, drawn one by one until distinct.
+def _shifted(at: Column, found: Column) -> Column:
+    """``at`` on the line without the intervals ``found`` (sorted), moved to its place on the whole line."""
+    return F.aggregate(found, at, lambda a, f: F.when(a >= f["lo"], a + f["hi"] - f["lo"]).otherwise(a))
 
-    Batches still short after a round draw again, continuing their own sequence, so the law is
-    that of drawing until ``n`` distinct ids appear. With fewer than ``n`` ids, all are returned.
+
+def negative_samples(batches: DataFrame, noise: DataFrame, n: int, seed: str = "neg", block: int = 8) -> DataFrame:
+    """``(batch_id, rank, id)``: per batch ``n`` distinct ids, in the order drawn.
+
+    A batch's next id is drawn from what its earlier ids leave of the line, which is the law of
+    drawing until ``n`` distinct ids have come, in exactly ``n`` draws however heavy one id is. With
+    fewer than ``n`` ids, all are returned. Draws are written every ``block`` steps.
     """
     total, size = _line(noise)
-    want = min(n, size)
-    rounds = tries * n
-    pending = batches.select("batch_id").distinct()
-    found, start = None, 0
-    first = Window.partitionBy("batch_id").orderBy("draw")
-    while True:
-        draws = pending.select("batch_id", F.explode(F.sequence(F.lit(start), F.lit(start + rounds - 1))).alias("draw"))
-        drawn = locate_draws(draws.withColumn("at", _place(total, seed, "batch_id", "draw")), noise, total, size)
-        fresh = drawn.select("batch_id", "draw", "id")
-        every = fresh if found is None else found.unionByName(fresh)
-        found = materialise(every.groupBy("batch_id", "id").agg(F.min("draw").alias("draw")))
-        short = found.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < want)
-        if short.isEmpty():
-            break
-        pending, start, rounds = short.select("batch_id"), start + rounds, rounds * 2
-    ranked = found.withColumn("rank", F.row_number().over(first))
-    return ranked.where(F.col("rank") <= want).select("batch_id", "rank", "id")
+    kind = "array<struct<lo:bigint,hi:bigint,id:%s,rank:int>>" % noise.schema["id"].dataType.simpleString()
+    state = batches.select("batch_id").distinct().withColumn("found", F.array().cast(kind))
+    steps = min(n, size)
+    for k in range(steps):
+        used = F.aggregate("found", F.lit(0).cast("bigint"), lambda a, f: a + f["hi"] - f["lo"])
+        at = F.floor(uniform(seed, "batch_id", F.lit(k)) * (F.lit(total) - used).cast("double")).cast("bigint")
+        drawn = locate_draws(state.withColumn("at", _shifted(at, F.col("found"))), noise, total, size)
+        one = F.struct("lo", "hi", "id", F.lit(k + 1).alias("rank"))
+        state = drawn.select("batch_id", F.array_sort(F.concat("found", F.array(one))).alias("found"))
+        if (k + 1) % block == 0 and k + 1 < steps:
+            state = materialise(state)
+    return state.select("batch_id", F.explode("found").alias("f")).select("batch_id", "f.rank", "f.id")
 
 
 def negative_samples_per_pair(pairs: DataFrame, noise: DataFrame, n: int, keys: list[str],
@@ -99,7 +99,7 @@ def negative_samples_per_pair(pairs: DataFrame, noise: DataFrame, n: int, keys:
     draws = pairs.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn(
         "at", _place(total, seed, *keys, "draw"))
     drawn = locate_draws(draws, noise, total, size)
-    return drawn.where(F.col("id") != F.col(label)).drop("at")
+    return drawn.where(F.col("id") != F.col(label)).drop("at", "lo", "hi")
 
 
 def batch_cross_negatives(examples: DataFrame, negatives: DataFrame) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from saddle.functions.uniform import uniform
 from saddle.operators.graph import degree
-from saddle.ordering import exclusive_prefix, global_index, ordered
-from saddle.skew import grouped_rank, hot_keys, is_hot, lookup_join
+from saddle.ordering import global_index, ordered, running_in_keys
+from saddle.skew import grouped_rank, lookup_join
 from saddle.storage import materialise
 
 
@@ -24,48 +24,37 @@ def index_ids(df: DataFrame, id_col: str, time_col: str) -> DataFrame:
     return global_index(first, ["first_seen", id_col], "idx").select(F.col(id_col).alias("id"), "idx")
 
 
-def id2idx(df: DataFrame, index: DataFrame, id_col: str, hot: list | None = None) -> DataFrame:
-    return lookup_join(df, index.withColumnRenamed("id", id_col), id_col, "inner", hot)
+def id2idx(df: DataFrame, index: DataFrame, id_col: str) -> DataFrame:
+    return lookup_join(df, index.withColumnRenamed("id", id_col), id_col, "inner")
 
 
-def idx2id(df: DataFrame, index: DataFrame, idx_col: str = "idx", hot: list | None = None) -> DataFrame:
-    return lookup_join(df, index.withColumnRenamed("idx", idx_col), idx_col, "inner", hot)
+def idx2id(df: DataFrame, index: DataFrame, idx_col: str = "idx") -> DataFrame:
+    return lookup_join(df, index.withColumnRenamed("idx", idx_col), idx_col, "inner")
 
 
 # -- co-views ------------------------------------------------------------------------------
 
-def token_sequences(views: DataFrame, key: str, token: str, order: list[str],
-                    drop_single: bool = True, hot: list | None = None) -> DataFrame:
+def token_sequences(views: DataFrame, key: str, token: str, order: list[str], drop_single: bool = True) -> DataFrame:
     """``(sentence_id, pos, token)``: the tokens of each key in ``order``, from position 0."""
     rows = views.select(F.col(key).alias("sentence_id"), F.col(token).alias("token"),
                         *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
-    sort = [F.col(f"_o{i}") for i in range(len(order))]
-    out = ["sentence_id", "pos", "token"]
-    hot = hot_keys(rows, "sentence_id") if hot is None else hot
-    heavy = is_hot("sentence_id", hot)
-    cold = rows.where(~heavy) if hot else rows
-    ranked = grouped_rank(cold, ["sentence_id"], sort, "pos", 0, hot=[])
+    stored = ordered(rows, [F.col("sentence_id"), *[F.col(f"_o{i}") for i in range(len(order))]])
+    ranked = running_in_keys(stored, ["sentence_id"], F.lit(1), "_at").select(
+        "sentence_id", (F.col("_at") - 1).alias("pos"), "token")
     if drop_single:
-        # same partitioning as the rank, so no further shuffle
-        size = F.count(F.lit(1)).over(Window.partitionBy("sentence_id"))
-        ranked = ranked.withColumn("_n", size).where("_n > 1")
-    ranked = ranked.select(*out)
-    if not hot:
-        return ranked
-    indexed = global_index(rows.where(heavy), [F.col("sentence_id"), *sort], "_at")
-    first = indexed.groupBy("sentence_id").agg(F.min("_at").alias("_first"))
-    head = indexed.join(F.broadcast(first), "sentence_id").withColumn("pos", F.col("_at") - F.col("_first"))
-    return ranked.unionByName(head.select(*out))
-
-
-def coview_sentences(views: DataFrame, hot: list | None = None) -> DataFrame:
+        several = stored.groupBy("sentence_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+        ranked = lookup_join(ranked, several.select("sentence_id"), "sentence_id", "left_semi")
+    return ranked
+
+
+def coview_sentences(views: DataFrame) -> DataFrame:
     """Per product, the customers who viewed it in time order; single views carry no information."""
-    return token_sequences(views, "product_id", "customer_id", ["date_viewed", "customer_id"], True, hot)
+    return token_sequences(views, "product_id", "customer_id", ["date_viewed", "customer_id"], True)
 
 
-def customer_sentences(views: DataFrame, hot: list | None = None) -> DataFrame:
+def customer_sentences(views: DataFrame) -> DataFrame:
     """Per customer, the products viewed in time order."""
-    return token_sequences(views, "customer_id", "product_id", ["date_viewed", "product_id"], False, hot)
+    return token_sequences(views, "customer_id", "product_id", ["date_viewed", "product_id"], False)
 
 
 # -- sessions ------------------------------------------------------------------------------
@@ -74,60 +63,29 @@ def _gap_seconds(later, earlier):
     return (F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / F.lit(1e6)
 
 
-def sessionize(events: DataFrame, user: str, ts: str, tie: str, gap_seconds: float = 3600.0,
-               hot: list | None = None) -> DataFrame:
-    """Adds ``session_no`` (from 1 per user): a gap of more than ``gap_seconds`` opens a session."""
-    hot = hot_keys(events, user) if hot is None else hot
-    heavy = is_hot(user, hot)
-    cold = events.where(~heavy) if hot else events
-    by_user = Window.partitionBy(user).orderBy(ts, tie)
-    before = F.lag(ts).over(by_user)
-    opens = F.when(before.isNull() | (_gap_seconds(F.col(ts), before) > gap_seconds), 1).otherwise(0)
-    plain = (
-        cold.withColumn("_opens", opens)
-        .withColumn("session_no", F.sum("_opens").over(by_user.rowsBetween(Window.unboundedPreceding, 0)))
-        .drop("_opens")
-    )
-    if not hot:
-        return plain
-    return plain.unionByName(_sessionize_ranges(events.where(heavy), user, ts, tie, gap_seconds))
-
+def sessionize(events: DataFrame, user: str, ts: str, tie: str, gap_seconds: float = 3600.0) -> DataFrame:
+    """Adds ``session_no`` (from 1 per user): a gap of more than ``gap_seconds`` opens a session.
 
-def _sessionize_ranges(events: DataFrame, user: str, ts: str, tie: str, gap_seconds: float) -> DataFrame:
-    """The same rule over sorted ranges: each range sees only the last row of the one before it."""
+    Events are sorted by ranges of (user, time), so a user's events may fill many tasks; a range sees
+    only the last event of the one before it and how many sessions its first user has had.
+    """
     stored = ordered(events, [F.col(user), F.col(ts), F.col(tie)])
-    last = stored.groupBy("_pid").agg(F.max_by(F.struct(user, ts), "_pos").alias("_tail"))
-    tails = last.withColumn("_edge", F.lag("_tail").over(Window.orderBy("_pid"))).select("_pid", "_edge")
-    inside = Window.partitionBy("_pid").orderBy("_pos")
-    joined = stored.join(F.broadcast(tails), "_pid")
-    before = F.coalesce(F.lag(F.struct(user, ts)).over(inside), F.col("_edge"))
-    flagged = joined.withColumn("_before", before).withColumn(
-        "_opens",
-        F.when(
-            F.col("_before").isNull()
-            | (F.col(f"_before.{user}") != F.col(user))
-            | (_gap_seconds(F.col(ts), F.col(f"_before.{ts}")) > gap_seconds),
-            1,
-        ).otherwise(0).cast("bigint"),
-    )
-    flagged = materialise(flagged.drop("_before", "_edge"))
-    earlier = exclusive_prefix(flagged, F.sum("_opens"))
-    running = flagged.withColumn(
-        "_run", earlier + F.sum("_opens").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    base = running.groupBy(user).agg(F.min("_run").alias("_base"))  # only hot users: a bounded table
-    return (
-        running.join(F.broadcast(base), user)
-        .withColumn("session_no", F.col("_run") - F.col("_base") + 1)
-        .select(*events.columns, "session_no")
-    )
+    last = stored.groupBy("_pid").agg(F.max_by(F.struct(F.col(user).alias("user"), F.col(ts).alias("ts")), "_pos").alias("_tail"))
+    # one row per range
+    edges = last.select("_pid", F.lag("_tail").over(Window.orderBy("_pid")).alias("_edge"))
+    joined = stored.join(F.broadcast(edges), "_pid")
+    inside = Window.partitionBy("_pid", user).orderBy("_pos")
+    outside = F.when(F.col("_edge.user").eqNullSafe(F.col(user)), F.col("_edge.ts"))
+    before = F.coalesce(F.lag(ts).over(inside), outside)
+    opens = F.when(before.isNull() | (_gap_seconds(F.col(ts), before) > gap_seconds), 1).otherwise(0)
+    flagged = materialise(joined.withColumn("_opens", opens).drop("_edge"))
+    return running_in_keys(flagged, [user], F.col("_opens"), "session_no").select(*events.columns, "session_no")
 
 
-def session_sentences(sessions: DataFrame, user: str, ts: str, tie: str, token: str,
-                      hot: list | None = None) -> DataFrame:
+def session_sentences(sessions: DataFrame, user: str, ts: str, tie: str, token: str) -> DataFrame:
     """Tokens of each session in order, sessions of one token dropped."""
     keyed = sessions.withColumn("_session", F.concat_ws(":", F.col(user), F.col("session_no")))
-    return token_sequences(keyed, "_session", token, [ts, tie], True, hot)
+    return token_sequences(keyed, "_session", token, [ts, tie], True)
 
 
 # -- random walks --------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from saddle.functions.uniform import uniform
 from saddle.ordering import global_index
-from saddle.skew import grouped_rank, lookup_join
+from saddle.skew import grouped_rank, null_safe_join
 
 
 def stratified_kfold(df: DataFrame, y: str, id_col: str, k: int, seed: str = "fold") -> DataFrame:
@@ -27,7 +27,7 @@ def train_test_split_stratified(df: DataFrame, y: str, id_col: str, train: float
                                 seed: str = "split") -> DataFrame:
     """``is_train``: the same share of every class, or of all rows when a class is too small.
 
-    A whole number for ``train`` is a row count.
+    A whole number for ``train`` is a row count. Rows without a class are a class.
     """
     counts = df.groupBy(y).agg(F.count(F.lit(1)).alias("_n"))
     facts = counts.agg(F.sum("_n").alias("n"), F.min("_n").alias("least"), F.count(F.lit(1)).alias("classes")).first()
@@ -41,7 +41,7 @@ def train_test_split_stratified(df: DataFrame, y: str, id_col: str, train: float
     ranked = grouped_rank(keyed, [y], [F.col("_u"), F.col(id_col)], "_r", 0)
     # one row per class: a class count is bounded by the label domain
     quota = counts.select(y, F.round(F.round(F.col("_n") * F.lit(share), 9)).cast("bigint").alias("_q"))
-    return lookup_join(ranked, quota, y).withColumn("is_train", F.col("_r") < F.col("_q")).drop("_u", "_r", "_q")
+    return null_safe_join(ranked, quota, y).withColumn("is_train", F.col("_r") < F.col("_q")).drop("_u", "_r", "_q")
 
 
 def bernoulli_split(df: DataFrame, id_col: str, share: float = 0.8, seed: str = "mask") -> DataFrame:

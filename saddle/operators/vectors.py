@@ -32,9 +32,9 @@ def pairwise_block(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, "batch_id")
 
 
-def embedding_align(targets: DataFrame, emb: DataFrame, key: str = "id", hot: list | None = None) -> DataFrame:
+def embedding_align(targets: DataFrame, emb: DataFrame, key: str = "id") -> DataFrame:
     """Embedding rows for every target id; missing ones are null."""
-    return lookup_join(targets, emb, key, "left", hot)
+    return lookup_join(targets, emb, key, "left")
 
 
 # -- nearest neighbours --------------------------------------------------------------------
@@ -121,10 +121,10 @@ def sum_vectors(df: DataFrame, key: str, v: str, d: int, weight: Column | None =
     return sums.select(key, F.array(*[f"_s{i}" for i in range(d)]).alias(v))
 
 
-def prod2cust_sum(views: DataFrame, emb: DataFrame, d: int, hot: list | None = None) -> DataFrame:
+def prod2cust_sum(views: DataFrame, emb: DataFrame, d: int) -> DataFrame:
     """Customer vector = sum of the vectors of viewed products, repeats included."""
     seen = views.select("customer_id", F.col("product_id").alias("id"))
-    return sum_vectors(lookup_join(seen, emb.select("id", "v"), "id", "inner", hot), "customer_id", "v", d)
+    return sum_vectors(lookup_join(seen, emb.select("id", "v"), "id", "inner"), "customer_id", "v", d)
 
 
 def first_label(labels: DataFrame) -> DataFrame:

@@ -52,3 +52,26 @@ def running_total(df: DataFrame, value: str, order: list, name: str) -> DataFram
     before = exclusive_prefix(stored, F.sum(value))
     inside = Window.partitionBy("_pid").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     return stored.withColumn(name, before + F.sum(value).over(inside)).drop("_pid", "_pos")
+
+
+def running_in_keys(stored: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+    """Inclusive running sum of the whole-number ``value`` inside each key of ``ordered`` rows that were put in order by ``keys`` first.
+
+    A sum runs inside (range, key), which no key can make larger than a range. Only a range's first
+    key goes on from earlier ranges, and there it is their last key; what it has gathered by then is
+    one number per range.
+    """
+    key = F.struct(*keys)
+    per_key = stored.groupBy("_pid", *keys).agg(F.sum(value).alias("_n"), F.min("_pos").alias("_low"))
+    ends = per_key.groupBy("_pid").agg(F.min_by(key, "_low").alias("_first"), F.max_by(key, "_low").alias("_last"),
+                                       F.max_by("_n", "_low").alias("_n"))
+    gathered = ends.select("_pid", F.col("_last").alias("_key"), "_n", F.lit(False).alias("_asks"))
+    asked = ends.select("_pid", F.col("_first").alias("_key"), F.lit(0).cast("bigint").alias("_n"), F.lit(True).alias("_asks"))
+    earlier = Window.partitionBy("_key").orderBy("_pid").rangeBetween(Window.unboundedPreceding, -1)
+    carried = gathered.unionByName(asked).withColumn("_carry", F.sum("_n").over(earlier)).where("_asks").select(
+        "_pid", "_key", F.coalesce("_carry", F.lit(0)).alias("_carry"))
+    inside = Window.partitionBy("_pid", *keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    # one row per range
+    joined = stored.join(F.broadcast(carried), "_pid")
+    carry = F.when(key.eqNullSafe(F.col("_key")), F.col("_carry")).otherwise(F.lit(0))
+    return joined.withColumn(name, (F.sum(value).over(inside) + carry).cast("bigint")).drop("_key", "_carry")

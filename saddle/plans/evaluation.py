@@ -134,9 +134,13 @@ def run_all_datasets(datasets: dict[str, DataFrame], classifiers: dict[str, Clas
 
 def one_vs_rest_scores(data: DataFrame, truth: DataFrame, labels: list[int], spec: Classifier,
                        test: DataFrame | None = None) -> DataFrame:
-    """``(id, label, p)``: one binary model per label of the long table ``truth(id, label)``."""
+    """``(id, label, p)``: one binary model per label of the long table ``truth(id, label)``.
+
+    Rows without any label are trained on as well: they are negatives of every label.
+    """
     wide = truth.groupBy("id").agg(F.collect_set("label").alias("_labels"))
-    rows = materialise(data.select("id", "v").join(wide, "id")).withColumn("_f", array_to_vector("v"))
+    held = data.select("id", "v").join(wide, "id", "left").withColumn("_labels", F.coalesce("_labels", F.array().cast("array<int>")))
+    rows = materialise(held).withColumn("_f", array_to_vector("v"))
     target = (data if test is None else test).select("id", "v").withColumn("_f", array_to_vector("v"))
 
     def one(label: int) -> DataFrame:

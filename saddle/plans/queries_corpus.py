@@ -109,7 +109,7 @@ def _vocabulary_unk(spark, sf):
 @query("encode_corpus", f"WITH {_UNK} SELECT sentence_id, pos, coalesce(idx, 0) AS idx FROM words w LEFT JOIN uvocab v "
        "ON w.token = v.token AND v.idx > 0")
 def _encode(spark, sf):
-    tokens = c.document_tokens(table(spark, sf, "documents"))
+    tokens = materialise(c.document_tokens(table(spark, sf, "documents")))
     vocab = c.vocabulary_unk(tokens, 5).where("idx > 0")
     return c.encode_corpus(tokens, vocab, unknown=0)
 
@@ -128,12 +128,23 @@ def _pairs_sql(window: int, source: str = "sent", other: str = "a.token <> b.tok
             f"AND abs(a.pos - b.pos) <= {window} AND a.pos <> b.pos WHERE {other})")
 
 
-@query("skipgram_pairs", f"WITH {VIEWS}, {CUSTOMER_SENTENCES}, {_pairs_sql(2)} SELECT x, y FROM pairs")
+def _near_sql(window: int, source: str, other: str) -> str:
+    """Pairs from the next and previous tokens of each place."""
+    order = "OVER (PARTITION BY sentence_id ORDER BY pos)"
+    steps = [k for k in range(-window, window + 1) if k]
+    seen = ", ".join(f"{'lead' if k > 0 else 'lag'}(token, {abs(k)}) {order} AS t{i}" for i, k in enumerate(steps))
+    near = f"near AS (SELECT sentence_id, pos, token, {seen} FROM {source})"
+    return near + " " + " UNION ALL ".join(
+        f"SELECT sentence_id, pos, CAST({k} AS INTEGER) AS k, token AS x, t{i} AS y FROM near WHERE t{i} IS NOT NULL AND {other.format(i)}"
+        for i, k in enumerate(steps))
+
+
+@query("skipgram_pairs", f"WITH {VIEWS}, {CUSTOMER_SENTENCES}, {_near_sql(2, 'sent', 'token <> t{}')}")
 def _skipgram(spark, sf):
     return c.skipgram_pairs(product_sentences(spark, sf), 2)
 
 
-@query("skipgram_pairs_positional", f"WITH {VIEWS}, {COVIEW_SENTENCES}, {_pairs_sql(2, 'cov', 'true')} SELECT x, y FROM pairs")
+@query("skipgram_pairs_positional", f"WITH {VIEWS}, {COVIEW_SENTENCES}, {_near_sql(2, 'cov', 'true')}")
 def _positional(spark, sf):
     return c.skipgram_pairs_positional(coviews(spark, sf), 2)
 
@@ -179,7 +190,7 @@ _MIX = f"""WITH {VIEWS}, {EDGES}, {OFFSET}, {GRAPH}, {CUSTOMER_SENTENCES}, {_pai
 def _mixed(spark, sf):
     edges = view_graph(spark, sf).select(F.col("src").alias("x"), F.col("dst").alias("y"))
     steps = edges.count() // 64
-    pairs = c.skipgram_pairs(product_sentences(spark, sf), 1)
+    pairs = c.skipgram_pairs(product_sentences(spark, sf), 1).select("x", "y")
     return c.mixed_schedule(edges, pairs, 64, steps, ["x", "y"])
 
 

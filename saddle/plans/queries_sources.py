@@ -70,8 +70,10 @@ def _write_sentences(spark, sf):
     path = scratch(spark, "sentences")
     sessions = sessionize(table(spark, sf, "events"), "user_id", "ts", "event_id", 12 * 3600.0)
     text.write_sentences(session_sentences(sessions, "user_id", "ts", "event_id", "event_type"), path)
-    lines = text.read_sentence_lines(spark, path).select(F.array_join("tokens", " ").alias("sentence"))
-    return lines.groupBy("sentence").agg(F.count(F.lit(1)).alias("n"))
+    back = text.read_sentences(spark, path).groupBy("sentence_id").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("s"))
+    sentences = back.select(F.array_join("s.token", " ").alias("sentence"))
+    return sentences.groupBy("sentence").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("read_embedding_text", f"WITH {vectors_sql()} {vec_rows_sql('vecs', ['id'], 'v')}")

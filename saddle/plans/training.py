@@ -19,11 +19,9 @@ from saddle.operators.corpus import cooccurrence, learning_rate
 from saddle.operators.negatives import negative_samples, noise_distribution
 from saddle.operators.nce import Logit, summed_gradients
 from saddle.operators.sentences import random_walks, walk_tokens
-from saddle.skew import hot_keys, lookup_join
+from saddle.skew import lookup_join
 from saddle.storage import materialise, shared_folder
 
-BROADCAST_BYTES = 64 << 20
-
 
 @dataclass(frozen=True)
 class Params:
@@ -143,17 +141,13 @@ def train(pairs: DataFrame, params: Params, init: DataFrame | None = None, save_
 
     steps = params.epochs * params.rounds
     drawn = spark.range(start_step * groups, steps * groups).withColumnRenamed("id", "batch_id")
-    negatives = materialise(negative_samples(drawn, noise, params.negatives, f"{params.seed}-neg"))
+    negatives = _by_step(negative_samples(drawn, noise, params.negatives, f"{params.seed}-neg"), groups)
 
-    # a whole table fits a broadcast only below a checked size
-    vector = (2 * params.logit.width + 3) * 8
-    small = state.count() * vector <= BROADCAST_BYTES
-    hot = None if small else (hot_keys(stored, "x"), hot_keys(stored, "y"))
     out = Trained(state, params)
     for at in range(start_step, steps):
         began = time.time()
         lr = learning_rate(params.learning_rate, at, steps)
-        rows = _round_rows(stored.where(F.col("round") == at % params.rounds), negatives, out.state, params, at, groups, hot)
+        rows = _round_rows(stored.where(F.col("round") == at % params.rounds), negatives, out.state, params, at, groups)
         moved = _update(out.state, summed_gradients(rows, params.logit), params, lr)
         target = None if save_to is None else f"{save_to}/step={at + 1:06d}"
         written = materialise(moved, target)
@@ -167,34 +161,34 @@ def train(pairs: DataFrame, params: Params, init: DataFrame | None = None, save_
     return out
 
 
+def _by_step(drawn: DataFrame, groups: int) -> DataFrame:
+    """Negatives ``(g, id, step)`` in one folder per step, so a round reads its own only."""
+    spark = drawn.sparkSession
+    folder = f"{shared_folder(spark)}/negatives-{time.time_ns()}"
+    split = drawn.select((F.col("batch_id") % groups).alias("g"), "id", F.expr(f"cast(batch_id div {groups} AS int)").alias("step"))
+    split.repartition("step", F.pmod(F.xxhash64("g"), F.lit(_slices(spark)))).write.partitionBy("step").parquet(folder)
+    return spark.read.schema(split.schema).parquet(folder)
+
+
 def _slices(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _round_rows(pairs: DataFrame, negatives: DataFrame, state: DataFrame, params: Params, at: int,
-                groups: int, hot: tuple[list, list] | None) -> DataFrame:
+                groups: int) -> DataFrame:
     """Positive rows of the round, and each centre's weight per negative group beside its negatives."""
     ins = state.select(F.col("id").alias("x"), F.col("w_in").alias("vx"))
     outs = state.select(F.col("id").alias("t"), F.col("w_out").alias("vy"), "b")
 
-    def attach(rows: DataFrame, side: DataFrame, key: str, keys: list | None) -> DataFrame:
-        if hot is None:
-            return rows.join(F.broadcast(side), key)
-        return lookup_join(rows, side, key, "inner", keys)
-
-    positive = attach(attach(pairs.select("x", F.col("y").alias("t"), F.col("n").alias("w")), ins, "x", hot and hot[0]),
-                      outs, "t", hot and hot[1]).withColumn("label", F.lit(1.0))
+    positive = lookup_join(lookup_join(pairs.select("x", F.col("y").alias("t"), F.col("n").alias("w")), ins, "x"),
+                           outs, "t").withColumn("label", F.lit(1.0))
     # a centre's pairs fall into a few sets, so their negatives are scored once per set and weighted
     part = F.pmod(F.xxhash64("y", F.lit(at)), F.lit(params.sets))
     group = F.pmod(F.xxhash64("x", part, F.lit(at)), F.lit(groups))
     centres = pairs.groupBy("x", group.alias("g")).agg(F.sum("n").alias("w"))
-    noise = negatives.where((F.col("batch_id") >= at * groups) & (F.col("batch_id") < (at + 1) * groups)).select(
-        (F.col("batch_id") - at * groups).alias("g"), F.col("id").alias("t"))
-    noise = attach(noise, outs, "t", [])
-    if groups * params.negatives * (params.logit.width + 3) * 8 <= BROADCAST_BYTES:
-        noise = F.broadcast(noise)
+    noise = lookup_join(negatives.where(F.col("step") == at).select("g", F.col("id").alias("t")), outs, "t")
     # groups are hashed, so the join on g is even
-    negative = attach(centres, ins, "x", hot and hot[0]).join(noise, "g").withColumn("label", F.lit(0.0))
+    negative = lookup_join(centres, ins, "x").join(noise, "g").withColumn("label", F.lit(0.0))
     return positive.unionByName(negative.select(*positive.columns)).withColumn("w", F.col("w").cast("double"))
 
 

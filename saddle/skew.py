@@ -1,97 +1,35 @@
 """Joins and per-key ranks that hold when one key owns a large share of the rows.
 
-``hot_keys`` finds the few keys above a share of the table with a mergeable frequent-items
-sketch: one scan of one column, no shuffle. The sketch only chooses the plan, so its error
-never changes a result. At most ``1 / share`` keys can be hot, which bounds every broadcast.
+There is one plan at every size and nobody looks for hot keys. Lookups are plain joins: adaptive
+execution splits a partition that a hot key makes large (``spark.sql.adaptive.skewJoin``, and with
+``forceOptimizeSkewedJoin`` also where a later shuffle follows). Ranks sort by ranges of the whole
+order, which cut a key's rows over as many tasks as they need.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saddle.ordering import global_index
+from saddle.ordering import ordered, running_in_keys
 
-SHARE = 0.001
-MIN_ROWS = 1_000_000
-# below this much input every key fits one task, so nobody looks for hot ones
-MIN_BYTES = 256 << 20
 
-
-def input_bytes(df: DataFrame) -> int:
-    """Size of the files and tables a plan reads, as Spark's own statistics give it."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
-def hot_keys(df: DataFrame, key: str | Column, share: float | None = None,
-             min_rows: int | None = None) -> list:
-    """Keys holding at least ``share`` of the rows and at least ``min_rows`` rows."""
-    if input_bytes(df) < MIN_BYTES:
-        return []
-    share = SHARE if share is None else share
-    min_rows = MIN_ROWS if min_rows is None else min_rows
-    column = F.col(key) if isinstance(key, str) else key
-    top = int(1 / share)
-    found = (
-        df.select(column.alias("k"))
-        .agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(k, {top}, {top * 20})").alias("top"))
-        .first()
-    )
-    floor = max(min_rows, share * found["n"])
-    return [t["item"] for t in (found["top"] or []) if t["item"] is not None and t["count"] >= floor]
-
-
-def hot_from_counts(counts: DataFrame, key: str, n: str) -> list:
-    """Hot keys read off a table of counts per key that exists anyway."""
-    top = counts.orderBy(F.col(n).desc()).limit(int(1 / SHARE)).select(key, n).collect()
-    total = counts.agg(F.sum(n)).first()[0] or 0
-    floor = max(MIN_ROWS, SHARE * total)
-    return [r[0] for r in top if r[0] is not None and r[1] >= floor]
-
-
-def is_hot(key: str | Column, hot: list) -> Column:
-    column = F.col(key) if isinstance(key, str) else key
-    return F.coalesce(column.isin(hot), F.lit(False))
-
-
-def lookup_join(big: DataFrame, small: DataFrame, on: str, how: str = "inner",
-                hot: list | None = None) -> DataFrame:
-    """Join ``big`` to ``small``, which has one row per ``on``.
-
-    Rows of hot keys meet a broadcast of only those keys (at most ``1 / share`` rows), so they
-    never shuffle; all other rows join as Spark plans it. Semi and anti joins work the same.
-    """
-    hot = hot_keys(big, on) if hot is None else hot
+def lookup_join(big: DataFrame, small: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Join ``big`` to ``small``, which has one row per ``on``; the columns of ``big`` come first."""
     extra = [] if how in ("left_semi", "left_anti") else [c for c in small.columns if c != on]
-    columns = [*big.columns, *extra]
-    if not hot:
-        return big.join(small, on, how).select(*columns)
-    heavy = is_hot(on, hot)
-    head = big.where(heavy).join(F.broadcast(small.where(F.col(on).isin(hot))), on, how)
-    return head.unionByName(big.where(~heavy).join(small, on, how)).select(*columns)
+    return big.join(small, on, how).select(*big.columns, *extra)
+
 
+def null_safe_join(big: DataFrame, small: DataFrame, on: str) -> DataFrame:
+    """As an inner ``lookup_join``, but null is a key like any other."""
+    right = small.withColumnRenamed(on, "_on")
+    return big.join(right, F.col(on).eqNullSafe(F.col("_on"))).drop("_on")
 
-def grouped_rank(df: DataFrame, keys: list[str], order: list, name: str = "rank", start: int = 0,
-                 hot: list | None = None) -> DataFrame:
-    """Row number inside each key. Groups too large for one task are ranked by a range sort.
 
-    ``hot`` holds hashes ``xxhash64(keys)``; keys must not be null.
-    """
-    digest = F.xxhash64(*keys)
-    hot = hot_keys(df, digest) if hot is None else hot
-    window = Window.partitionBy(*keys).orderBy(*order)
-    number = F.row_number().over(window).cast("bigint") + F.lit(start - 1)
-    if not hot:
-        return df.withColumn(name, number)
-    heavy = digest.isin(hot)
-    indexed = global_index(df.where(heavy), [F.col(k) for k in keys] + list(order), "_at")
-    first = indexed.groupBy(*keys).agg(F.min("_at").alias("_first"))
-    head = (
-        indexed.join(F.broadcast(first), keys)
-        .withColumn(name, F.col("_at") - F.col("_first") + F.lit(start))
-        .drop("_at", "_first")
-    )
-    return df.where(~heavy).withColumn(name, number).unionByName(head)
+def grouped_rank(df: DataFrame, keys: list[str], order: list, name: str = "rank", start: int = 0) -> DataFrame:
+    """Row number inside each key, from ``start``; null keys are a group."""
+    stored = ordered(df, [F.col(k) for k in keys] + list(order))
+    counted = running_in_keys(stored, keys, F.lit(1), name)
+    return counted.withColumn(name, F.col(name) + F.lit(start - 1)).drop("_pid", "_pos")
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

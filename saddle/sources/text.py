@@ -60,34 +60,41 @@ def write_walks(walks: DataFrame, path: str, sep: str = ",") -> None:
     walks.select(F.array_join(F.col("path").cast("array<string>"), sep).alias("value")).write.text(path)
 
 
-def write_sentences(tokens: DataFrame, path: str, max_tokens: int = 100_000) -> None:
-    """Sentences as space-joined lines under ``lines``.
+#: Tokens on a line of a sentence file.
+LINE_TOKENS = 4096
 
-    A line must fit one task, so sentences above ``max_tokens`` go to ``long`` as token rows;
-    nothing is cut or lost.
+
+def write_sentences(tokens: DataFrame, path: str) -> None:
+    """Sentences as lines ``sentence_id <tab> line number <tab> tokens``, space-joined, ``LINE_TOKENS`` a line.
+
+    A short sentence is one line; a sentence of any length is several, each small enough for a task.
     """
-    sizes = tokens.groupBy("sentence_id").agg(F.count(F.lit(1)).alias("_n"))
-    long = sizes.where(F.col("_n") > max_tokens).select("sentence_id")
-    # few by definition: each holds more than max_tokens rows
-    tokens.join(long, "sentence_id", "left_semi").select("sentence_id", "pos", F.col("token").cast("string")).write.parquet(
-        f"{path}/long")
-    lines = (
-        tokens.join(long, "sentence_id", "left_anti")
-        .groupBy("sentence_id")
-        .agg(F.sort_array(F.collect_list(F.struct("pos", F.col("token").cast("string").alias("token")))).alias("s"))
-        .select(F.array_join("s.token", " ").alias("value"))
-    )
-    lines.write.text(f"{path}/lines")
+    line = F.expr(f"pos div {LINE_TOKENS}").alias("line")
+    held = F.sort_array(F.collect_list(F.struct("pos", F.col("token").cast("string").alias("token"))))
+    lines = tokens.groupBy("sentence_id", line).agg(held.alias("s"))
+    lines.select(F.concat_ws("\t", F.col("sentence_id").cast("string"), F.col("line").cast("string"),
+                             F.array_join("s.token", " ")).alias("value")).write.text(path)
 
 
-def read_sentence_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(f"{path}/lines").select(F.split("value", " ").alias("tokens"))
+def read_sentences(spark: SparkSession, path: str) -> DataFrame:
+    """``(sentence_id, pos, token)`` as strings and place, every sentence whole."""
+    parts = F.split("value", "\t", 3)
+    lines = spark.read.text(path).select(parts[0].alias("sentence_id"), parts[1].cast("bigint").alias("line"), F.split(parts[2], " ").alias("t"))
+    each = lines.select("sentence_id", "line", F.posexplode("t").alias("at", "token"))
+    return each.select("sentence_id", (F.col("line") * LINE_TOKENS + F.col("at")).alias("pos"), "token")
 
 
 def read_embedding_text(spark: SparkSession, path: str, sep: str = r"\s+", sort: bool = False) -> DataFrame:
-    """``(id, v)`` from word2vec text; a ``count width`` header line is dropped where present."""
-    fields = F.split(F.trim("value"), sep)
-    rows = spark.read.text(path).select(fields.alias("f")).where(F.size("f") > 2)
+    """``(id, v)`` from word2vec text.
+
+    A ``count width`` header is known by its content: two whole numbers that are the number of the
+    other lines and their width. Blank lines are skipped.
+    """
+    rows = spark.read.text(path).where(F.trim("value") != "").select(F.split(F.trim("value"), sep).alias("f"))
+    size = rows.agg(F.max(F.size("f")).alias("widest"), F.count(F.lit(1)).alias("lines")).first()
+    if size["lines"]:
+        top = [str(size["lines"] - 1), str(size["widest"] - 1)]
+        rows = rows.where(F.col("f") != F.array(*[F.lit(x) for x in top]))
     out = rows.select(F.col("f")[0].cast("bigint").alias("id"),
                       F.slice("f", F.lit(2), F.size("f") - 1).cast("array<double>").alias("v"))
     return out.orderBy("id") if sort else out

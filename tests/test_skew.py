@@ -1,8 +1,9 @@
-"""The paths for hot keys and long sentences give what the plain paths give."""
+"""Ranks, sessions, pairs and draws give what plain windows and loops give, also under large keys and long sentences."""
 import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from saddle import skew
@@ -23,51 +24,62 @@ def views(spark):
     return spark.createDataFrame(rows, "n bigint, customer_id bigint, product_id bigint, date_viewed timestamp").cache()
 
 
-@pytest.fixture
-def small_floor(monkeypatch):
-    monkeypatch.setattr(skew, "MIN_ROWS", 100)
-    monkeypatch.setattr(skew, "MIN_BYTES", 0)
-
-
 def same(a, b):
     cols = a.columns
     return sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.select(*cols).collect()), key=repr)
 
 
-def test_hot_keys_found(spark, views, small_floor):
-    assert skew.hot_keys(views, "customer_id") == [0] and skew.hot_keys(views, "product_id") == [7]
-    counts = views.groupBy("customer_id").count()
-    assert skew.hot_from_counts(counts, "customer_id", "count") == [0]
-
-
-def test_small_input_is_not_searched(spark, small):
-    lines = spark.read.parquet(f"{small}/lineitem.parquet")
-    assert 0 < skew.input_bytes(lines.join(lines, "l_orderkey")) < skew.MIN_BYTES and skew.hot_keys(lines, "l_partkey") == []
-
-
-def test_lookup_join(spark, views, small_floor):
+def test_lookup_join(spark, views):
     small = spark.range(0, 50).select(F.col("id").alias("customer_id"), (F.col("id") * 2).alias("twice"))
     for how in ("inner", "left", "left_semi", "left_anti"):
         small_ = small.where("customer_id % 5 <> 0") if how != "left" else small.where("customer_id <> 0")
         assert same(skew.lookup_join(views, small_, "customer_id", how), views.join(small_, "customer_id", how))
 
 
-def test_grouped_rank(spark, views, small_floor):
-    order = [F.col("date_viewed"), F.col("n")]
-    plain = skew.grouped_rank(views, ["customer_id"], order, "k", 0, hot=[])
-    assert same(plain, skew.grouped_rank(views, ["customer_id"], order, "k", 0))
+@pytest.fixture(params=[1, 7, 64])
+def ranges(spark, request):
+    """Few and many ranges: with many, the large keys fill several and small ones begin and end inside."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", request.param)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield request.param
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
 
+def test_grouped_rank(views, ranges):
+    views = views.withColumn("key", F.when(F.col("customer_id") == 3, None).otherwise(F.col("customer_id")))
+    window = Window.partitionBy("key").orderBy("date_viewed", F.col("n").desc())
+    plain = views.withColumn("k", F.row_number().over(window).cast("bigint") + 4)
+    assert same(plain, skew.grouped_rank(views, ["key"], [F.col("date_viewed"), F.col("n").desc()], "k", 5))
 
-def test_token_sequences(spark, views, small_floor):
-    for build in (sentences.coview_sentences, sentences.customer_sentences):
-        assert same(build(views, hot=[]), build(views))
+
+def test_token_sequences(views, ranges):
+    for build, key, token, single in ((sentences.coview_sentences, "product_id", "customer_id", True),
+                                      (sentences.customer_sentences, "customer_id", "product_id", False)):
+        views_ = views.unionByName(views.limit(1).withColumn(key, F.lit(999).cast("bigint")))
+        order = Window.partitionBy(key).orderBy("date_viewed", token)
+        plain = views_.select(F.col(key).alias("sentence_id"), (F.row_number().over(order) - 1).cast("bigint").alias("pos"),
+                              F.col(token).alias("token"), F.count("*").over(Window.partitionBy(key)).alias("size"))
+        plain = plain.where("size > 1").drop("size") if single else plain.drop("size")
+        assert same(plain, build(views_))
 
 
 @pytest.mark.parametrize("gap", [60.0, 3600.0, 36_000.0])
-def test_sessionize(spark, views, small_floor, gap):
-    plain = sentences.sessionize(views, "customer_id", "date_viewed", "n", gap, hot=[])
-    hot = sentences.sessionize(views.repartition(6), "customer_id", "date_viewed", "n", gap)
-    assert same(plain, hot)
+def test_sessionize(views, ranges, gap):
+    by = Window.partitionBy("customer_id").orderBy("date_viewed", "n")
+    wait = F.unix_micros("date_viewed") - F.unix_micros(F.lag("date_viewed").over(by))
+    opened = views.withColumn("o", F.when(wait.isNull() | (wait / 1e6 > gap), 1).otherwise(0))
+    plain = opened.withColumn("session_no", F.sum("o").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("o")
+    assert same(plain, sentences.sessionize(views.repartition(6), "customer_id", "date_viewed", "n", gap))
+
+
+def test_no_plan_depends_on_a_size():
+    """Nothing in the library compares bytes, rows or shares with a constant to choose a plan."""
+    import inspect
+
+    assert not [n for n, v in vars(skew).items() if isinstance(v, (int, float))]
+    assert "sizeInBytes" not in inspect.getsource(skew)
 
 
 def test_session_gap_is_strict(spark):
@@ -97,8 +109,8 @@ def test_pairs_across_chunks(spark, monkeypatch):
     rows = [(s, p, rng.randrange(6)) for s, n in ((1, 50), (2, 1), (3, 8), (4, 9), (5, 17)) for p in range(n)]
     tokens = spark.createDataFrame(rows, "sentence_id bigint, pos bigint, token bigint")
     for w in (1, 3, 5):
-        assert sorted(map(tuple, corpus.skipgram_pairs(tokens, w).collect())) == brute_pairs(rows, w, False)
-        assert sorted(map(tuple, corpus.skipgram_pairs_positional(tokens, w).collect())) == brute_pairs(rows, w, True)
+        assert sorted(map(tuple, corpus.skipgram_pairs(tokens, w).select("x", "y").collect())) == brute_pairs(rows, w, False)
+        assert sorted(map(tuple, corpus.skipgram_pairs_positional(tokens, w).select("x", "y").collect())) == brute_pairs(rows, w, True)
     counts = {(r["x"], r["y"]): r["n"] for r in corpus.cooccurrence(tokens, 3).collect()}
     want = {}
     for pair in brute_pairs(rows, 3, False):
@@ -108,7 +120,7 @@ def test_pairs_across_chunks(spark, monkeypatch):
 
 def test_skipgram_example(spark):
     tokens = spark.createDataFrame([(0, i, t) for i, t in enumerate((1, 2, 1, 3))], "sentence_id bigint, pos bigint, token bigint")
-    got = sorted(map(tuple, corpus.skipgram_pairs(tokens, 1).collect()))
+    got = sorted(map(tuple, corpus.skipgram_pairs(tokens, 1).select("x", "y").collect()))
     assert got == sorted([(1, 2), (2, 1), (2, 1), (1, 2), (1, 3), (3, 1)])
 
 
@@ -198,3 +210,39 @@ def test_auc_under_ties(spark):
     want = sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / (len(pos) * len(neg))
     got = metrics.roc_auc(spark.createDataFrame([(y, float(s)) for y, s in rows], "y int, score double")).first()["auc"]
     assert got == pytest.approx(want)
+
+
+def test_heavy_heads_take_n_draws(spark):
+    """One id with nearly all the weight: every batch still gets all five others, in exactly six draws."""
+    vocab = spark.createDataFrame([(0, 10**9)] + [(i, 1) for i in range(1, 6)], "idx bigint, freq bigint")
+    noise = negatives.noise_distribution(vocab, 1.0)
+    got = negatives.negative_samples(spark.range(50).withColumnRenamed("id", "batch_id"), noise, 6, block=2).collect()
+    for b in range(50):
+        mine = sorted((r["rank"], r["id"]) for r in got if r["batch_id"] == b)
+        assert [k for k, _ in mine] == [1, 2, 3, 4, 5, 6] and sorted(i for _, i in mine) == list(range(6)) and mine[0][1] == 0
+
+
+def test_no_row_is_lost(spark, tmp_path):
+    from pyspark.ml.functions import array_to_vector  # noqa: F401
+
+    from saddle.operators import features
+    from saddle.plans import evaluation as ev
+    from saddle.sources import text
+
+    ranked = features.min_rank_share(spark.createDataFrame([(1, None), (2, 5.0), (3, 5.0)], "id bigint, v double"), "v", "y")
+    assert {r["id"]: r["y"] for r in ranked.collect()} == {1: pytest.approx(1 / 3), 2: pytest.approx(2 / 3), 3: pytest.approx(2 / 3)}
+    rows = spark.createDataFrame([(i, None if i % 10 == 0 else i % 2) for i in range(100)], "id bigint, y int")
+    split = splits.train_test_split_stratified(rows, "y", "id", 0.5)
+    assert split.count() == 100 and split.where("y is null and is_train").count() == 5
+    tokens = spark.createDataFrame([("a", i, f"t{i}") for i in range(10_000)] + [("b", 0, "x")], "sentence_id string, pos bigint, token string")
+    text.write_sentences(tokens, f"{tmp_path}/s")
+    assert same(tokens, text.read_sentences(spark, f"{tmp_path}/s"))
+    for width, header in ((1, True), (1, False), (3, True), (3, False)):
+        emb = spark.createDataFrame([(i, [float(i)] * width) for i in range(1, 4)], "id bigint, v array<double>")
+        text.write_embedding_text(emb, f"{tmp_path}/e{width}{header}", header=header)
+        assert same(emb, text.read_embedding_text(spark, f"{tmp_path}/e{width}{header}"))
+    data = spark.createDataFrame([(i, [float(i % 4), 1.0]) for i in range(40)], "id bigint, v array<double>")
+    truth = spark.createDataFrame([(i, 0) for i in range(0, 40, 4)], "id bigint, label int")
+    scored = ev.one_vs_rest_scores(data, truth, [0], ev.CLASSIFIERS["one_vs_rest"]).collect()
+    # trained on labelled rows only, every row would look like label 0
+    assert len(scored) == 40 and all((r["p"] > 0.5) == (r["id"] % 4 == 0) for r in scored)
