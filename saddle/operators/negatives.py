@@ -77,6 +77,7 @@ def negative_samples(batches: DataFrame, noise: DataFrame, n: int, seed: str = "
     drawing until ``n`` distinct ids have come, in exactly ``n`` draws however heavy one id is. With
     fewer than ``n`` ids, all are returned. Draws are written every ``block`` steps.
     """
+    noise = materialise(noise)
     total, size = _line(noise)
     kind = "array<struct<lo:bigint,hi:bigint,id:%s,rank:int>>" % noise.schema["id"].dataType.simpleString()
     state = batches.select("batch_id").distinct().withColumn("found", F.array().cast(kind))
@@ -95,6 +96,7 @@ def negative_samples(batches: DataFrame, noise: DataFrame, n: int, seed: str = "
 def negative_samples_per_pair(pairs: DataFrame, noise: DataFrame, n: int, keys: list[str],
                               label: str, seed: str = "neg") -> DataFrame:
     """``n`` draws with replacement per pair; draws that hit the pair's own label are skipped."""
+    noise = materialise(noise)
     total, size = _line(noise)
     draws = pairs.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn(
         "at", _place(total, seed, *keys, "draw"))

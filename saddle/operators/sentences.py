@@ -13,7 +13,7 @@ from saddle.functions.uniform import uniform
 from saddle.operators.graph import degree
 from saddle.ordering import global_index, ordered, running_in_keys
 from saddle.skew import grouped_rank, lookup_join
-from saddle.storage import materialise
+from saddle.storage import bucketed, materialise
 
 
 # -- ids -----------------------------------------------------------------------------------
@@ -115,8 +115,9 @@ def random_walks(edges: DataFrame, num_walks: int, walk_length: int, seed: str =
         F.col("src").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(num_walks - 1))).alias("walk_no"),
         F.col("src").alias("cur"), F.col("deg").alias("cur_deg"), F.array("src").alias("path"),
     )
-    steps = table.select(F.col("src").alias("cur"), F.col("nbr").alias("pick"),
-                         F.col("dst").alias("next"), F.col("dst_deg").alias("next_deg"))
+    # stored by the step's key, so a step moves walks and never edges
+    steps = bucketed(table.select(F.col("src").alias("cur"), F.col("nbr").alias("pick"),
+                                  F.col("dst").alias("next"), F.col("dst_deg").alias("next_deg")), "cur", "pick")
     blocks = []
     for step in range(1, walk_length):
         u = uniform(seed, "start", "walk_no", F.lit(step))

@@ -15,6 +15,7 @@ from saddle.plans.tables import (
     vectors_sql, views,
 )
 from saddle.skew import lookup_join
+from saddle.storage import materialise
 
 # -- neighbours ----------------------------------------------------------------------------
 # fixed values: the items whose neighbours are asked for
@@ -110,14 +111,14 @@ def _flat(df):
 @query("classification_xy", f"WITH {_RARE} SELECT id, balance, n_orders, \"shippingCountry\" AS country, gender AS segment, "
        "CAST(target_churned AS INTEGER) AS y FROM rare")
 def _classification(spark, sf):
-    xy = f.classification_xy(customer_features(spark, sf), "id", "shippingCountry", "gender", PCT)
+    xy = f.classification_xy(materialise(customer_features(spark, sf)), "id", "shippingCountry", "gender", PCT)
     return _flat(xy).select("id", "balance", "n_orders", "country", "segment", "y")
 
 
 @query("regression_xy", f"WITH {_RARE} SELECT id, balance, n_orders, \"shippingCountry\" AS country, gender AS segment, "
        f"{rs('rank() OVER (ORDER BY target_net_value) / (SELECT count(*) FROM features)')} AS y FROM rare")
 def _regression(spark, sf):
-    xy = f.regression_xy(customer_features(spark, sf), "id", "shippingCountry", "gender", PCT)
+    xy = f.regression_xy(materialise(customer_features(spark, sf)), "id", "shippingCountry", "gender", PCT)
     return _flat(xy).select("id", "balance", "n_orders", "country", "segment", r("y").alias("y"))
 
 

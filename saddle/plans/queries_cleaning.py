@@ -11,7 +11,7 @@ from saddle.operators.negatives import batch_cross_negatives, negative_samples,
 from saddle.operators.sentences import id2idx, idx2id, index_ids, walk_table
 from saddle.operators.vectors import embedding_lookup, pairwise_block
 from saddle.plans.negatives_sql import batches_sql, negatives_sql
-from saddle.plans.registry import query, r, rs
+from saddle.plans.registry import query, r, rs, vec_rows, vec_rows_sql
 from saddle.plans.tables import (
     CUSTOMER_SENTENCES, EDGES, FEATURES, GRAPH, OFFSET, PRODUCT_VOCAB, VIEWS, customer_classes, customer_features,
     product_sentences, product_vocab, start_sql, start_vectors, table, vectors, vectors_sql, view_edges, view_graph, views,
@@ -55,63 +55,34 @@ def _drop_single(spark, sf):
     return c.drop_single_token_sentences(day).select("customer_id", "token")
 
 
-@query("fillna_const", f"WITH {vectors_sql()} SELECT c_custkey AS id, {rs('coalesce(v[1], 10.0)')} AS first_value, "
-       f"{rs('coalesce(v[64], 10.0)')} AS last_value, CAST(coalesce(len(v), 64) AS INTEGER) AS width "
-       "FROM customer LEFT JOIN vecs ON c_custkey = id")
+@query("fillna_const", f"WITH {vectors_sql()}, filled AS (SELECT c_custkey AS id, coalesce(v, list_transform(range(64), lambda i: 10.0::DOUBLE)) AS v "
+       f"FROM customer LEFT JOIN vecs ON c_custkey = id) {vec_rows_sql('filled', ['id'], 'v')}")
 def _fillna(spark, sf):
     left = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
-    full = c.fillna_const(lookup_join(left, vectors(spark, sf), "id", "left"), "v", 64)
-    return full.select("id", r(F.col("v")[0]).alias("first_value"), r(F.col("v")[63]).alias("last_value"),
-                       F.size("v").alias("width"))
-
-
-@query("cast_labels", "SELECT CAST(doc_id AS INTEGER) AS doc_id, CAST(quality AS INTEGER) AS cat FROM labels")
-def _cast_labels(spark, sf):
-    rows = table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("doc_id"),
-                                             F.col("quality").cast("string").alias("cat"))
-    return c.cast_labels(rows, ["doc_id", "cat"])
-
-
-@query("drop_columns", f"WITH {FEATURES} SELECT id, \"shippingCountry\", gender, balance, n_orders FROM features")
-def _drop_columns(spark, sf):
-    return c.drop_columns(customer_features(spark, sf),
-                          ["target_sales_value", "target_returned_value", "target_net_value", "target_churned"])
-
-
-@query("map_category", "SELECT doc_id, CAST(CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 WHEN 'fr' THEN 2 END AS INTEGER) "
-       "AS cat FROM documents")
-def _map_category(spark, sf):
-    return table(spark, sf, "documents").select(
-        "doc_id", c.map_category("lang", {"en": 0, "de": 1, "fr": 2}).alias("cat"))
-
-
-@query("age_decade", "SELECT p_partkey, CAST(least(floor(p_size / 10), 3) AS INTEGER) AS decade FROM part")
-def _age_decade(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", c.age_decade("p_size", 3).alias("decade"))
-
-
-@query("assert_unique_key", "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1")
-def _unique(spark, sf):
-    c.assert_unique_key(table(spark, sf, "orders"), "o_orderkey")
-    return c.duplicate_keys(table(spark, sf, "lineitem"), "l_orderkey")
+    return vec_rows(c.fillna_const(lookup_join(left, vectors(spark, sf), "id", "left"), "v", 64), ["id"], "v")
 
 
 # -- joins ---------------------------------------------------------------------------------
 
-_JOINED = "f.id, f.balance, e.label, " + rs("e.v[1]") + " AS first_value FROM features f"
+def _joined_sql(how):
+    """Whole vectors; a row without one keeps a single row with nulls."""
+    return (f"WITH {FEATURES}, {vectors_sql()}, both_ AS (SELECT f.id, f.balance, e.label, CASE WHEN e.v IS NULL THEN [NULL::DOUBLE] ELSE e.v END AS v "
+            f"FROM features f {how} JOIN vecs e ON e.id = f.id) {vec_rows_sql('both_', ['id', 'balance', 'label'], 'v')}")
 
 
 def _features_emb(spark, sf, how):
     f = customer_features(spark, sf).select("id", "balance")
-    return lookup_join(f, vectors(spark, sf), "id", how).select("id", "balance", "label", r(F.col("v")[0]).alias("first_value"))
+    joined = lookup_join(f, vectors(spark, sf), "id", how)
+    joined = joined.withColumn("v", F.coalesce("v", F.array(F.lit(None).cast("double"))))
+    return vec_rows(joined, ["id", "balance", "label"], "v")
 
 
-@query("join_features_emb_inner", f"WITH {FEATURES}, {vectors_sql()} SELECT {_JOINED} JOIN vecs e ON e.id = f.id")
+@query("join_features_emb_inner", _joined_sql("INNER"))
 def _join_inner(spark, sf):
     return _features_emb(spark, sf, "inner")
 
 
-@query("join_features_emb_left", f"WITH {FEATURES}, {vectors_sql()} SELECT {_JOINED} LEFT JOIN vecs e ON e.id = f.id")
+@query("join_features_emb_left", _joined_sql("LEFT"))
 def _join_left(spark, sf):
     return _features_emb(spark, sf, "left")
 
@@ -156,12 +127,13 @@ def _label_join(spark, sf):
 
 
 @query("first_per_group_join", f"WITH {vectors_sql()}, firsts AS (SELECT o_custkey AS id, arg_min(o_totalprice, (o_orderdate, o_orderkey)) "
-       f"AS target FROM orders GROUP BY 1) SELECT e.id, target, {rs('v[1]')} AS first_value FROM vecs e JOIN firsts f ON e.id = f.id")
+       f"AS target FROM orders GROUP BY 1), both_ AS (SELECT e.id, target, v FROM vecs e JOIN firsts f ON e.id = f.id) "
+       f"{vec_rows_sql('both_', ['id', 'target'], 'v')}")
 def _first_join(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), "o_orderdate", "o_orderkey",
                                           F.col("o_totalprice").alias("target"))
     firsts = first_per_key(o, ["id"], ["o_orderdate", "o_orderkey"]).select("id", "target")
-    return vectors(spark, sf).join(firsts, "id").select("id", "target", r(F.col("v")[0]).alias("first_value"))
+    return vec_rows(vectors(spark, sf).join(firsts, "id"), ["id", "target"], "v")
 
 
 @query("embedding_lookup", f"WITH {VIEWS}, {CUSTOMER_SENTENCES}, {start_sql()}, pairs AS (SELECT DISTINCT token AS x, y FROM "

@@ -92,11 +92,12 @@ def _write_embedding_text(spark, sf):
                        r(F.aggregate("v", F.lit(0.0), lambda a, b: a + b)).alias("total"))
 
 
-@query("embedding_align", f"WITH {vectors_sql()} SELECT c_custkey AS id, label, {rs('v[1]')} AS first_value "
-       "FROM customer LEFT JOIN vecs ON c_custkey = id")
+@query("embedding_align", f"WITH {vectors_sql()}, aligned AS (SELECT c_custkey AS id, label, CASE WHEN v IS NULL THEN [NULL::DOUBLE] ELSE v END AS v "
+       f"FROM customer LEFT JOIN vecs ON c_custkey = id) {vec_rows_sql('aligned', ['id', 'label'], 'v')}")
 def _embedding_align(spark, sf):
     targets = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
-    return embedding_align(targets, vectors(spark, sf)).select("id", "label", r(F.col("v")[0]).alias("first_value"))
+    aligned = embedding_align(targets, vectors(spark, sf))
+    return vec_rows(aligned.withColumn("v", F.coalesce("v", F.array(F.lit(None).cast("double")))), ["id", "label"], "v")
 
 
 @query("write_vocab", f"WITH {VIEWS}, {PRODUCT_VOCAB} SELECT token, freq, idx FROM vocab")

@@ -14,7 +14,7 @@ from saddle.plans.negatives_sql import batches_sql, negatives_sql
 from saddle.plans.registry import query, r, rs
 from saddle.plans.tables import (
     CUSTOMER_SENTENCES, PRODUCT_VOCAB, VIEWS, product_sentences, product_vocab, scratch, start_sql, start_vectors, table,
-    vectors, view_graph,
+    vectors, view_graph, views,
 )
 from saddle.storage import materialise
 
@@ -42,16 +42,18 @@ _GRADS = f"""{_ROWS}, part AS (SELECT *, list_dot_product(u, u) AS uu, list_dot_
 
 
 def _rows(spark, sf):
-    pairs = materialise(product_pairs(spark, sf))
-    batches = materialise(make_batches(pairs, BATCH, ["x", "y"]))
-    negatives = negative_samples(batches, noise_distribution(product_vocab(spark, sf), id_col="token"), 5)
-    return nce.nce_rows(batches, negatives, start_vectors(spark, sf, 2, 0.5))
+    # written once each: every later step reads the small result
+    seen = materialise(views(spark, sf))
+    batches = materialise(make_batches(product_pairs(spark, sf, seen), BATCH, ["x", "y"]))
+    state = materialise(start_vectors(spark, sf, 2, 0.5, seen))
+    negatives = negative_samples(batches, noise_distribution(product_vocab(spark, sf, seen), id_col="token"), 5)
+    return nce.nce_rows(batches, materialise(negatives), state)
 
 
-def product_pairs(spark, sf):
+def product_pairs(spark, sf, seen=None):
     """Distinct products that follow each other in a customer's views."""
     after = F.lead("token").over(Window.partitionBy("sentence_id").orderBy("pos"))
-    return product_sentences(spark, sf).select(F.col("token").alias("x"), after.alias("y")).where("y <> x").distinct()
+    return product_sentences(spark, sf, seen).select(F.col("token").alias("x"), after.alias("y")).where("y <> x").distinct()
 
 
 _XENT = "greatest(logit, 0) - logit * label + ln(1 + exp(-abs(logit)))"

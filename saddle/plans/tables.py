@@ -40,8 +40,8 @@ COVIEW_SENTENCES = (
     "customer_id AS token, count(*) OVER (PARTITION BY product_id) AS n FROM views) WHERE n > 1)")
 
 
-def product_sentences(spark: SparkSession, sf: str) -> DataFrame:
-    return customer_sentences(views(spark, sf))
+def product_sentences(spark: SparkSession, sf: str, seen: DataFrame | None = None) -> DataFrame:
+    return customer_sentences(views(spark, sf) if seen is None else seen)
 
 
 def coviews(spark: SparkSession, sf: str) -> DataFrame:
@@ -168,8 +168,9 @@ def vector_pairs_sql(scale: float = 1.0) -> str:
 
 # -- start vectors of products -------------------------------------------------------------
 
-def product_vocab(spark: SparkSession, sf: str) -> DataFrame:
-    return vocabulary(views(spark, sf).select(F.col("product_id").alias("token")))
+def product_vocab(spark: SparkSession, sf: str, seen: DataFrame | None = None) -> DataFrame:
+    seen = views(spark, sf) if seen is None else seen
+    return vocabulary(seen.select(F.col("product_id").alias("token")))
 
 
 PRODUCT_VOCAB = (
@@ -177,9 +178,10 @@ PRODUCT_VOCAB = (
     "vocab AS (SELECT token, freq, row_number() OVER (ORDER BY freq DESC, token) - 1 AS idx FROM counts)")
 
 
-def start_vectors(spark: SparkSession, sf: str, d: int = 2, width: float = 0.5) -> DataFrame:
+def start_vectors(spark: SparkSession, sf: str, d: int = 2, width: float = 0.5, seen: DataFrame | None = None) -> DataFrame:
     """Reproducible start state of every product: ``(id, w_in, w_out, b)``."""
-    parts = views(spark, sf).select(F.col("product_id").alias("id")).distinct()
+    seen = views(spark, sf) if seen is None else seen
+    parts = seen.select(F.col("product_id").alias("id")).distinct()
     return parts.select("id", init_uniform("in", "id", d, width).alias("w_in"),
                         init_uniform("out", "id", d, width).alias("w_out"), F.lit(0.0).alias("b"))
 

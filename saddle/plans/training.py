@@ -3,7 +3,8 @@
 Equal pairs are counted once and carry their count. An epoch runs in rounds; each round is one
 job: look up both vectors of every pair, add shared negatives, sum gradients per vertex, step on
 the manifold, write the new state. The state table is the only thing that passes from round to
-round, so a lost executor costs at most one round's tasks.
+round, so a lost executor costs at most one round's tasks. State and pairs are stored by their keys,
+so a round moves target vectors and gradients only.
 """
 from __future__ import annotations
 
@@ -20,7 +21,7 @@ from saddle.operators.negatives import negative_samples, noise_distribution
 from saddle.operators.nce import Logit, summed_gradients
 from saddle.operators.sentences import random_walks, walk_tokens
 from saddle.skew import lookup_join
-from saddle.storage import materialise, shared_folder
+from saddle.storage import bucketed, materialise, shared_folder
 
 
 @dataclass(frozen=True)
@@ -124,9 +125,7 @@ def train(pairs: DataFrame, params: Params, init: DataFrame | None = None, save_
     """Train on counted pairs ``(x, y, n)``. ``save_to`` keeps every round's state for ``resume``."""
     spark = pairs.sparkSession
     spread = pairs.withColumn("round", F.pmod(F.xxhash64("x", "y"), F.lit(params.rounds)).cast("int"))
-    folder = f"{shared_folder(spark)}/pairs-{time.time_ns()}"
-    spread.repartition("round", F.pmod(F.xxhash64("y", "x"), F.lit(_slices(spark)))).write.partitionBy("round").parquet(folder)
-    stored = spark.read.schema(spread.schema).parquet(folder)
+    stored = bucketed(spread, "x", parts="round")
 
     size = stored.agg(F.sum("n").alias("pairs"), F.count(F.lit(1)).alias("rows")).first()
     groups = max(1, -(-size["rows"] // (params.rounds * params.batch_size)))
@@ -137,7 +136,7 @@ def train(pairs: DataFrame, params: Params, init: DataFrame | None = None, save_
     # weight a target meets per round on average: its own pairs and its draws as a negative
     expected = counts.join(noise, "id").select("id", (
         (F.col("freq") + F.col("p") * F.lit(float(params.negatives * size["pairs"]))) / params.rounds).alias("e_out"))
-    state = materialise(start.join(expected, "id", "left"))
+    state = bucketed(start.join(expected, "id", "left"), "id")
 
     steps = params.epochs * params.rounds
     drawn = spark.range(start_step * groups, steps * groups).withColumnRenamed("id", "batch_id")
@@ -150,7 +149,7 @@ def train(pairs: DataFrame, params: Params, init: DataFrame | None = None, save_
         rows = _round_rows(stored.where(F.col("round") == at % params.rounds), negatives, out.state, params, at, groups)
         moved = _update(out.state, summed_gradients(rows, params.logit), params, lr)
         target = None if save_to is None else f"{save_to}/step={at + 1:06d}"
-        written = materialise(moved, target)
+        written = bucketed(moved, "id", path=target)
         total = written.agg(F.sum("xent").alias("xent"), F.sum("pairs").alias("pairs")).first()
         spent = time.time() - began
         out.state = written.select("id", "w_in", "w_out", "b", "e_out")

@@ -6,6 +6,8 @@ helpers rely on.
 """
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for lineage cuts; set here only when the session names none and runs locally."""
+    """The folder for lineage cuts; set here only when the session names none and runs locally, and then it ends with the process."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
         configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -21,6 +23,7 @@ def shared_folder(spark: SparkSession) -> str:
             if not spark.sparkContext.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             configured = tempfile.mkdtemp(prefix="saddle-")
+            atexit.register(shutil.rmtree, configured, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(configured)
     return jsc.getCheckpointDir().get()
 
@@ -32,3 +35,19 @@ def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     schema = df.schema
     df.write.mode("error").parquet(target)
     return spark.read.schema(schema).parquet(target)
+
+
+def bucketed(df: DataFrame, *keys: str, parts: str | None = None, path: str | None = None) -> DataFrame:
+    """As ``materialise``, but the table remembers that it is hash partitioned by ``keys``.
+
+    Joins and sums on the keys then move only the other side. ``parts`` names a column whose values
+    get folders of their own.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"saddle_{uuid.uuid4().hex}"
+    writer = df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).format("parquet")
+    if parts:
+        writer = writer.partitionBy(parts)
+    writer.option("path", path or f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
