@@ -11,6 +11,7 @@ from saddle.operators.splits import stratified_kfold
 from saddle.plans import evaluation as ev
 from saddle.plans import sweeps, training as tr
 from saddle.plans.negatives_sql import batches_sql, negatives_sql
+from saddle.plans.training_sql import final_sql, log_sql, training_sql
 from saddle.plans.registry import query, r, rs
 from saddle.plans.tables import (
     CUSTOMER_SENTENCES, PRODUCT_VOCAB, VIEWS, product_sentences, product_vocab, scratch, start_sql, start_vectors, table,
@@ -80,10 +81,20 @@ def _pairs(spark, sf):
     return cooccurrence(product_sentences(spark, sf), 2)
 
 
+_COUNTED = (f"{VIEWS}, {CUSTOMER_SENTENCES}, co AS (SELECT a.token AS x, b.token AS y, count(*) AS n FROM sent a JOIN sent b "
+            "ON a.sentence_id = b.sentence_id AND abs(a.pos - b.pos) <= 2 WHERE a.token <> b.token GROUP BY 1, 2)")
+
+
+def _training(params):
+    return f"WITH {_COUNTED}, {training_sql(params, 'co')}"
+
+
 def _trainer(name, geometry):
-    @query(name)
+    params = tr.Params(geometry=geometry, **SHORT)
+
+    @query(name, f"{_training(params)} {final_sql(params)}")
     def _run(spark, sf):
-        run = tr.train(_pairs(spark, sf), tr.Params(geometry=geometry, **SHORT))
+        run = tr.train(_pairs(spark, sf), params)
         return run.vectors().select("id", r(F.col("v")[0]).alias("v1"), r(F.col("v")[1]).alias("v2"))
 
 
@@ -116,12 +127,13 @@ def _warm(spark, sf):
     return ev.transfer(sweeps.labelled(first, labels), sweeps.labelled(second, labels), ev.CLASSIFIERS["logistic_multinomial"])
 
 
-@query("training_stats")
+@query("training_stats", f"{_training(tr.Params(**SHORT))} {log_sql(tr.Params(**SHORT))}")
 def _stats(spark, sf):
-    return tr.train(_pairs(spark, sf), tr.Params(**SHORT)).stats(spark).select("epoch", "step", "lr", "loss", "pairs")
+    stats = tr.train(_pairs(spark, sf), tr.Params(**SHORT)).stats(spark)
+    return stats.select("epoch", "step", r("lr").alias("lr"), r("loss").alias("loss"), r("pairs").alias("pairs"))
 
 
-@query("save_state")
+@query("save_state", f"{_training(tr.Params(**SHORT))} SELECT id, {rs('w_in[1]')} AS v1, true AS same FROM st2")
 def _save(spark, sf):
     """Two rounds saved, the last one redone from the save: both end in the same state."""
     pairs, params = materialise(_pairs(spark, sf)), tr.Params(**SHORT)

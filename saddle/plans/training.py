@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saddle.functions import geometry as g
+from saddle.functions.uniform import uniform
 from saddle.functions.vectors import clip_by_norm, combine
 from saddle.operators.corpus import cooccurrence, learning_rate
 from saddle.operators.negatives import negative_samples, noise_distribution
@@ -124,7 +125,7 @@ def train(pairs: DataFrame, params: Params, init: DataFrame | None = None, save_
           start_step: int = 0) -> Trained:
     """Train on counted pairs ``(x, y, n)``. ``save_to`` keeps every round's state for ``resume``."""
     spark = pairs.sparkSession
-    spread = pairs.withColumn("round", F.pmod(F.xxhash64("x", "y"), F.lit(params.rounds)).cast("int"))
+    spread = pairs.withColumn("round", F.floor(uniform(f"{params.seed}-round", "x", "y") * params.rounds).cast("int"))
     stored = bucketed(spread, "x", parts="round")
 
     size = stored.agg(F.sum("n").alias("pairs"), F.count(F.lit(1)).alias("rows")).first()
@@ -182,8 +183,8 @@ def _round_rows(pairs: DataFrame, negatives: DataFrame, state: DataFrame, params
     positive = lookup_join(lookup_join(pairs.select("x", F.col("y").alias("t"), F.col("n").alias("w")), ins, "x"),
                            outs, "t").withColumn("label", F.lit(1.0))
     # a centre's pairs fall into a few sets, so their negatives are scored once per set and weighted
-    part = F.pmod(F.xxhash64("y", F.lit(at)), F.lit(params.sets))
-    group = F.pmod(F.xxhash64("x", part, F.lit(at)), F.lit(groups))
+    part = F.floor(uniform(f"{params.seed}-set", "y", F.lit(at)) * params.sets)
+    group = F.floor(uniform(f"{params.seed}-group", "x", part, F.lit(at)) * groups)
     centres = pairs.groupBy("x", group.alias("g")).agg(F.sum("n").alias("w"))
     noise = lookup_join(negatives.where(F.col("step") == at).select("g", F.col("id").alias("t")), outs, "t")
     # groups are hashed, so the join on g is even
