@@ -136,7 +136,17 @@ def _l2(spark, sf):
     return out.select("id", r("balance").alias("balance"), r("n_orders").alias("n_orders"))
 
 
-@query("select_features")
+# between-class over within-class variance of each coordinate
+_ANOVA = f"""WITH {vectors_sql()}, cells AS (SELECT id, label, generate_subscripts(v, 1) AS c, unnest(v) AS val FROM vecs),
+ per AS (SELECT c, label, count(*) AS n, avg(val) AS mu, var_pop(val) * count(*) AS inside FROM cells GROUP BY 1, 2),
+ whole AS (SELECT c, avg(val) AS mu FROM cells GROUP BY 1),
+ ratio AS (SELECT per.c, sum(n * (per.mu - whole.mu) ** 2) / (count(*) - 1) / (sum(inside) / (sum(n) - count(*))) AS f
+   FROM per JOIN whole USING (c) GROUP BY 1),
+ kept AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS pos FROM (SELECT c FROM ratio ORDER BY f DESC, c LIMIT 16))
+ SELECT id, label, CAST(pos AS INTEGER) AS pos, {rs('val')} AS value FROM cells JOIN kept USING (c)"""
+
+
+@query("select_features", _ANOVA)
 def _select(spark, sf):
     return vec_rows(f.select_features(vectors(spark, sf), "v", "label", WIDTH, 16), ["id", "label"], "v")
 
@@ -318,7 +328,17 @@ def _welch(spark, sf):
     return m.t_test_welch(_scores(spark, sf)).select("a", "b", r("t").alias("t"), r("df").alias("df"))
 
 
-@query("t_test_p_values")
+# for whole degrees of freedom the tail is a finite sum over powers of the cosine of atan(t / sqrt(df))
+_PAIRED = (f"{_SCORES}, gap AS (SELECT a.model AS a, b.model AS b, a.macro - b.macro AS g FROM scores a JOIN scores b "
+           "ON a.fold = b.fold AND a.model < b.model), tt AS (SELECT a, b, avg(g) / (stddev_samp(g) / sqrt(count(*))) AS t, "
+           "CAST(count(*) - 1 AS DOUBLE) AS df FROM gap GROUP BY a, b), "
+           "tc AS (SELECT *, atan(abs(t) / sqrt(df)) AS th, cos(atan(abs(t) / sqrt(df))) AS co, sin(atan(abs(t) / sqrt(df))) AS si, CAST(df AS INTEGER) AS k FROM tt)")
+_EVEN = "list_sum(list_transform(range(k // 2), lambda j: exp(lgamma(2 * j + 1) - 2 * lgamma(j + 1)) / pow(4, j) * pow(co, 2 * j)))"
+_ODD = "coalesce(list_sum(list_transform(range((k - 1) // 2), lambda j: exp(2 * lgamma(j + 1) - lgamma(2 * j + 2)) * pow(4, j) * pow(co, 2 * j + 1))), 0)"
+
+
+@query("t_test_p_values", f"WITH {_PAIRED} SELECT a, b, {rs('t')} AS t, df, "
+       f"{rs(f'CASE WHEN k % 2 = 0 THEN 1 - si * {_EVEN} ELSE 1 - 2 / pi() * (th + si * {_ODD}) END')} AS p FROM tc")
 def _p_values(spark, sf):
     return m.with_p_value(m.t_test_paired(_scores(spark, sf))).select("a", "b", r("t").alias("t"), "df", r("p").alias("p"))
 

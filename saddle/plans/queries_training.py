@@ -11,12 +11,13 @@ from saddle.operators.splits import stratified_kfold
 from saddle.plans import evaluation as ev
 from saddle.plans import sweeps, training as tr
 from saddle.plans.negatives_sql import batches_sql, negatives_sql
-from saddle.plans.training_sql import final_sql, log_sql, training_sql
-from saddle.plans.registry import query, r, rs
+from saddle.plans.registry import query, r, rs, vec_rows, vec_rows_sql
 from saddle.plans.tables import (
-    CUSTOMER_SENTENCES, PRODUCT_VOCAB, VIEWS, product_sentences, product_vocab, scratch, start_sql, start_vectors, table,
+    CUSTOMER_SENTENCES, EDGES, GRAPH, OFFSET, PRODUCT_VOCAB, VIEWS, product_sentences, product_vocab, scratch, start_sql, start_vectors, table,
     vectors, view_graph, views,
 )
+from saddle.plans.training_sql import final_sql, log_sql, training_sql
+from saddle.plans.walks_sql import walks_sql
 from saddle.storage import materialise
 
 # -- one step, checked against SQL ---------------------------------------------------------
@@ -105,10 +106,18 @@ _trainer("train_poincare", "poincare")
 _trainer("train_lorentz", "lorentz")
 
 
-@query("train_deepwalk")
+_FLAT = tr.Params(geometry="euclidean", size=4, **SHORT)
+_DEEPWALK = f"""{walks_sql(f'{VIEWS}, {EDGES}, {OFFSET}, {GRAPH}', 2, 10, '0-walk')},
+ wt AS (SELECT start || ':' || walk_no AS s, unnest(path) AS token, generate_subscripts(path, 1) AS pos FROM walks),
+ co AS (SELECT a.token AS x, b.token AS y, count(*) AS n FROM wt a JOIN wt b ON a.s = b.s AND abs(a.pos - b.pos) <= 2
+   WHERE a.token <> b.token GROUP BY 1, 2),
+ {training_sql(_FLAT, 'co')}, outv AS (SELECT id, w_in AS v FROM st2) {vec_rows_sql('outv', ['id'], 'v')}"""
+
+
+@query("train_deepwalk", _DEEPWALK)
 def _deepwalk(spark, sf):
     run = tr.train_deepwalk(view_graph(spark, sf), tr.Params(size=4, **SHORT), num_walks=2, walk_length=10)
-    return run.vectors().select("id", F.posexplode("v").alias("pos", "value"))
+    return vec_rows(run.vectors(), ["id"], "v")
 
 
 def _types(spark, sf):

@@ -133,7 +133,7 @@ def training_sql(p: Params, pairs: str) -> str:
             f"er{k} AS (SELECT *, w * (1 / (1 + exp(-logit)) - label) AS e, "
             f"w * (greatest(logit, 0) - logit * label + ln(1 + exp(-abs(logit)))) AS xent FROM lg{k})",
             f"sd{k} AS (SELECT x AS id, {', '.join(f'{q} AS a{i}' for i, q in zip(at_ids, gu))}, "
-            f"{', '.join(f'0.0 AS c{i}' for i in at_ids)}, 0.0 AS gb, w AS n_in, 0.0 AS n_out, xent, w * label AS real FROM er{k} "
+            f"{', '.join(f'0.0::DOUBLE AS c{i}' for i in at_ids)}, 0.0::DOUBLE AS gb, w AS n_in, 0.0::DOUBLE AS n_out, xent, w * label AS real FROM er{k} "
             f"UNION ALL SELECT t, {zero}, {', '.join(gv)}, e, 0.0, w, 0.0, 0.0 FROM er{k})",
             f"sm{k} AS (SELECT id, {', '.join(f'sum(a{i}) AS a{i}, sum(c{i}) AS c{i}' for i in at_ids)}, sum(gb) AS gb, sum(n_in) AS n_in, "
             f"sum(n_out) AS n_out, sum(xent) AS xent, sum(real) AS real FROM sd{k} GROUP BY id)",
