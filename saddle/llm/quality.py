@@ -48,12 +48,12 @@ def _padded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _maxima(model: Model, data: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(blocks, FILTERS): the filters' largest values in each block, 1 MB at a time."""
+    """(blocks, FILTERS): the filters' largest values in each block, 256 KB of text at a time."""
     total = len(data) // BYTES
     out = np.empty((total, FILTERS), dtype=np.float32)
     closing = np.zeros(total, dtype=bool)
     closing[first[1:] - 1] = True
-    width = 4096
+    width = 1024
     for lo in range(0, total, width):
         hi = min(lo + width, total)
         own = data[lo * BYTES:min((hi + 1) * BYTES, len(data))]

@@ -43,7 +43,7 @@ BLOCK = 4096
 #: Work of standing in a bucket, in comparisons.
 ROW_COST = 40
 MOST = 2  # largest threshold of a partition
-SHINGLES_AT_ONCE = 1 << 18
+SHINGLES_AT_ONCE = 1 << 16
 
 
 # -- fingerprints --------------------------------------------------------------------------
@@ -117,8 +117,8 @@ def bit_counts(classes: DataFrame, words: int) -> np.ndarray:
 
     sums = classes.select("fp").mapInArrow(work, "n array<bigint>").select(F.posexplode("n").alias("at", "n"))
     out = np.zeros(n * n, dtype=np.int64)
-    for at, total in sums.groupBy("at").agg(F.sum("n")).collect():  # one row per pair of bits
-        out[at] = total
+    found = sums.groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # one row per pair of bits
+    out[found["at"].to_numpy()] = found["n"].to_numpy()
     return out.reshape(n, n)
 
 
@@ -153,9 +153,9 @@ def key_counts(classes: DataFrame, words: int, partitions) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total.ravel()[at])], ["at", "n"])
 
     sums = classes.select("fp").mapInArrow(work, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n"))
-    found = sums.toPandas()  # at most one row per key and partition
+    found = sums.toArrow()  # at most one row per key and partition
     out = np.zeros(len(partitions) << WIDTH, dtype=np.int64)
-    out[found["at"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.int64)
+    out[found["at"].to_numpy()] = found["n"].to_numpy()
     return out.reshape(len(partitions), -1)
 
 

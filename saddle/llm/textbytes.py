@@ -15,7 +15,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 
-def slices(texts: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, pa.Array]]:
+def slices(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
     """Runs of rows with about ``limit`` bytes each (one row at least), so buffers stay small."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()

@@ -177,8 +177,8 @@ def _bitmap(items: DataFrame) -> np.ndarray:
     at = F.col("seed").bitwiseAND(F.lit(bits - 1))
     words = seeds.select(F.shiftright(at, 6).alias("word"), F.expr("shiftleft(1L, cast(seed & 63 AS int))").alias("mask"))
     out = np.zeros(bits // 64, dtype=np.uint64)
-    found = words.groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()  # at most MOST_BITS / 64 rows
-    out[found["word"].to_numpy(dtype=np.int64)] = found["mask"].to_numpy(dtype=np.int64).view(np.uint64)
+    found = words.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()  # at most MOST_BITS / 64 rows
+    out[found["word"].to_numpy()] = found["mask"].to_numpy().view(np.uint64)
     return out
 
 
