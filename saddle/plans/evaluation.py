@@ -78,10 +78,10 @@ def fit(train: DataFrame, spec: Classifier):
 
 
 def predicted(model, test: DataFrame) -> DataFrame:
-    """Adds ``pred``, and ``probs`` where the model has probabilities."""
+    """Adds ``pred`` and ``probs``, which is null where the model has no probabilities."""
     out = model.transform(test)
-    if "probability" in out.columns:
-        out = out.withColumn("probs", vector_to_array("probability"))
+    known = vector_to_array("probability") if "probability" in out.columns else F.lit(None).cast("array<double>")
+    out = out.withColumn("probs", known)
     keep = [c for c in out.columns if c in ("id", "y", "probs", "fold", "rep", "part", "model", "share")]
     return out.select(*keep, F.col("prediction").cast("int").alias("pred")).withColumn("y", F.col("y").cast("int"))
 
@@ -98,13 +98,13 @@ def _parallel(work: Callable, items: list) -> list:
 # -- folds ---------------------------------------------------------------------------------
 
 def cross_val_predict(folded: DataFrame, spec: Classifier, k: int) -> DataFrame:
-    """An out-of-fold prediction for every row of ``(id, v, y, fold)``."""
+    """For every row of ``(id, v, y, fold)`` the prediction and class probabilities of the models that have not seen it."""
     data = prepared(folded)
 
     def one(i: int) -> DataFrame:
         return predicted(fit(data.where(F.col("fold") != i), spec), data.where(F.col("fold") == i))
 
-    return _all([p.drop("probs") for p in _parallel(one, list(range(k)))])
+    return _all(_parallel(one, list(range(k))))
 
 
 def cross_validate(folded: DataFrame, spec: Classifier, k: int, name: str) -> DataFrame:
@@ -151,15 +151,17 @@ def one_vs_rest_scores(data: DataFrame, truth: DataFrame, labels: list[int], spe
     return _all(_parallel(one, labels))
 
 
-def cross_validate_multilabel(data: DataFrame, truth: DataFrame, labels: list[int], spec: Classifier, k: int) -> DataFrame:
-    """``(fold, macro, micro)`` predicting as many labels as each row truly has."""
+def cross_validate_multilabel(data: DataFrame, truth: DataFrame, labels: list[int], spec: Classifier, k: int,
+                              name: str = "one_vs_rest") -> DataFrame:
+    """``(model, fold, macro, micro)`` predicting as many labels as each row truly has; fold ``k`` holds the score on the training rows."""
     folded = materialise(kfold(data, "id", k))
     parts = []
-    for i in range(k):
-        test = folded.where(F.col("fold") == i)
-        scores = one_vs_rest_scores(folded.where(F.col("fold") != i), truth, labels, spec, test)
+    for i in range(k + 1):
+        train, test = (folded.where(F.col("fold") != i), folded.where(F.col("fold") == i)) if i < k else (folded, folded)
+        scores = one_vs_rest_scores(train, truth, labels, spec, test)
         held = truth.join(test.select("id"), "id", "left_semi")
-        parts.append(f1_macro_micro(confusion_counts(held, topn_multilabel(scores, held))).withColumn("fold", F.lit(i)))
+        scored = f1_macro_micro(confusion_counts(held, topn_multilabel(scores, held)))
+        parts.append(scored.select(F.lit(name).alias("model"), F.lit(i).alias("fold"), "macro", "micro"))
     return _all(parts)
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from saddle.operators import metrics as m
 from saddle.operators import nce
 from saddle.operators.corpus import cooccurrence, make_batches
+from saddle.operators.features import classification_xy, standard_scale
 from saddle.operators.negatives import negative_samples, noise_distribution
 from saddle.operators.splits import stratified_kfold
 from saddle.plans import evaluation as ev
@@ -13,7 +15,7 @@ from saddle.plans import sweeps, training as tr
 from saddle.plans.negatives_sql import batches_sql, negatives_sql
 from saddle.plans.registry import query, r, rs, vec_rows, vec_rows_sql
 from saddle.plans.tables import (
-    CUSTOMER_SENTENCES, EDGES, GRAPH, OFFSET, PRODUCT_VOCAB, VIEWS, product_sentences, product_vocab, scratch, start_sql, start_vectors, table,
+    CUSTOMER_SENTENCES, EDGES, GRAPH, OFFSET, PRODUCT_VOCAB, VIEWS, customer_features, product_sentences, product_vocab, scratch, start_sql, start_vectors, table,
     vectors, view_graph, views,
 )
 from saddle.plans.training_sql import final_sql, log_sql, training_sql
@@ -158,42 +160,42 @@ def _save(spark, sf):
 
 @query("sweep_batch_size")
 def _sweep_batch(spark, sf):
-    return sweeps.sweep_batch_size(materialise(_pairs(spark, sf)), _types(spark, sf), tr.Params(**SHORT), [16, 128], 1)
+    return sweeps.sweep_batch_size(materialise(_pairs(spark, sf)), _types(spark, sf), tr.Params(**SHORT), [4, 32, 128])
 
 
 @query("sweep_window")
 def _sweep_window(spark, sf):
-    return sweeps.sweep_window(product_sentences(spark, sf), _types(spark, sf), tr.Params(**SHORT), [1, 2], 1)
+    return sweeps.sweep_window(product_sentences(spark, sf), _types(spark, sf), tr.Params(**SHORT), [1, 2, 3])
 
 
 @query("sweep_size")
 def _sweep_size(spark, sf):
-    return sweeps.sweep_size(materialise(_pairs(spark, sf)), _types(spark, sf), tr.Params(**SHORT), [2, 8], 1)
+    return sweeps.sweep_size(materialise(_pairs(spark, sf)), _types(spark, sf), tr.Params(**SHORT), [2, 8, 32])
 
 
 @query("sweep_deepwalk_grid")
 def _sweep_grid(spark, sf):
     classes = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_nationkey") % 5).alias("y"))
-    return sweeps.sweep_deepwalk_grid(view_graph(spark, sf), classes, tr.Params(**SHORT), [2], [1, 2], [4, 8], 1)
+    return sweeps.sweep_deepwalk_grid(view_graph(spark, sf), classes, tr.Params(**SHORT), [2], [1, 2], [4, 8])
 
 
 @query("repeat_embeddings")
 def _repeat(spark, sf):
-    return sweeps.repeat_embeddings(materialise(_pairs(spark, sf)), _types(spark, sf), tr.Params(**SHORT), ["a", "b"], 1)
+    return sweeps.repeat_embeddings(materialise(_pairs(spark, sf)), _types(spark, sf), tr.Params(**SHORT), ["a", "b"])
 
 
 # -- classifiers ---------------------------------------------------------------------------
 
-def _vectors(spark, sf, width=None):
-    v = F.col("v") if width is None else F.slice("v", 1, width)
-    return vectors(spark, sf).select("id", v.alias("v"), F.col("label").alias("y"))
+def _vectors(spark, sf):
+    return vectors(spark, sf).select("id", "v", F.col("label").alias("y"))
 
 
 def _classifier(name, spec):
     @query(name)
     def _run(spark, sf):
         folded = stratified_kfold(_vectors(spark, sf), "y", "id", 2)
-        return ev.cross_val_predict(folded, ev.CLASSIFIERS[spec], 2)
+        out = ev.cross_val_predict(folded, ev.CLASSIFIERS[spec], 2)
+        return out.select("id", "y", "fold", "pred", r(F.element_at("probs", F.col("pred") + 1)).alias("p"))
 
 
 _classifier("clf_logistic_l2", "logistic_l2")
@@ -231,20 +233,48 @@ def _cross_validate_multi(spark, sf):
     return ev.cross_validate_multilabel(data, truth, [0, 1], ev.CLASSIFIERS["one_vs_rest"], 2)
 
 
+def _churn(spark, sf):
+    """Customers with a vector: scaled table features, vectors, and both side by side; y is churn."""
+    xy = classification_xy(materialise(customer_features(spark, sf)), "id", "shippingCountry", "gender")
+    scaled = standard_scale(xy, ["balance", "n_orders"])
+    names = [c for c in scaled.columns if c not in ("id", "y")]
+    rows = scaled.select("id", "y", F.array(*[F.col(f"`{c}`").cast("double") for c in names]).alias("f"))
+    rows = materialise(rows.join(vectors(spark, sf).select("id", "v"), "id"))
+    return {name: rows.select("id", v.alias("v"), "y") for name, v in
+            (("features", F.col("f")), ("embedding", F.col("v")), ("both", F.concat("f", "v")))}
+
+
 @query("run_all_datasets")
 def _datasets(spark, sf):
-    some = {k: ev.CLASSIFIERS[k] for k in ("logistic_multinomial", "random_forest")}
-    return ev.run_all_datasets({"full": _vectors(spark, sf), "narrow": _vectors(spark, sf, 8)}, some, 2)
+    some = {k: ev.CLASSIFIERS[k] for k in ("logistic_l2", "logistic_l1", "random_forest")}
+    return ev.run_all_datasets(_churn(spark, sf), some, 2)
+
+
+@query("churn_evaluation")
+def _churn_evaluation(spark, sf):
+    """Three classifiers on three data sets over shared folds: F1 by fold, ranked means, and each one's paired test against the best."""
+    some = {k: ev.CLASSIFIERS[k] for k in ("logistic_l2", "logistic_l1", "random_forest")}
+    scores = materialise(ev.run_all_datasets(_churn(spark, sf), some, 3))
+    folds = scores.where("fold < 3").select(F.concat_ws(":", "dataset", "model").alias("model"), F.col("fold").cast("string").alias("fold"), "macro", "micro")
+    train = scores.where("fold = 3").select(F.concat_ws(":", "dataset", "model").alias("model"), F.col("macro").alias("train"))
+    ranked = folds.groupBy("model").agg(F.avg("macro").alias("mean"), F.stddev_samp("macro").alias("sd"), F.avg("micro").alias("micro"))
+    best = ranked.orderBy(F.col("mean").desc(), "model").limit(1).select(F.col("model").alias("best"))
+    tests = m.with_p_value(m.t_test_paired(folds))
+    both = tests.select(F.col("a").alias("model"), F.col("b").alias("best"), "t", "p").unionByName(
+        tests.select(F.col("b").alias("model"), F.col("a").alias("best"), (-F.col("t")).alias("t"), "p"))
+    against = both.join(best, "best").select("model", r("t").alias("t"), r("p").alias("p"))
+    return ranked.join(train, "model").join(against, "model", "left").select(
+        "model", r("mean").alias("mean"), r("sd").alias("sd"), r("micro").alias("micro"), r("train").alias("train"), "t", "p")
 
 
 @query("repeated_holdout")
 def _holdout(spark, sf):
-    data = {"full": _vectors(spark, sf), "narrow": _vectors(spark, sf, 8)}
-    return ev.repeated_holdout(data, ev.CLASSIFIERS["logistic_multinomial"], 3, 0.5)
+    data = _churn(spark, sf)
+    return ev.repeated_holdout(data, ev.CLASSIFIERS["logistic_multinomial"], 10, 0.5)
 
 
 @query("train_share_curve")
 def _curve(spark, sf):
-    data = {"full": _vectors(spark, sf), "narrow": _vectors(spark, sf, 8)}
-    shares = [0.2, 0.5, 0.8]
+    data = _churn(spark, sf)
+    shares = [0.1, 0.3, 0.5, 0.7, 0.9]
     return ev.curve_matrix(ev.train_share_curve(data, ev.CLASSIFIERS["logistic_multinomial"], shares, 2), shares)
