@@ -88,7 +88,3 @@ def euclidean_sq(x: ColumnLike, y: ColumnLike, d: int | None = None) -> Column:
 def euclidean_sq_expanded(x2: Column, y2: Column, xy: Column) -> Column:
     """``|x|^2 + |y|^2 - 2 x.y`` from norms computed once per vector."""
     return F.greatest(x2 + y2 - F.lit(2.0) * xy, F.lit(0.0))
-
-
-def cosine(x: ColumnLike, y: ColumnLike, d: int | None = None) -> Column:
-    return F.try_divide(vec_dot(x, y, d), vec_norm(x, d) * vec_norm(y, d))

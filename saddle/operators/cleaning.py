@@ -54,10 +54,6 @@ def map_category(column: str, mapping: dict) -> Column:
     return result
 
 
-# fixed values: class codes of the political books graph
-POLBOOKS = {"n": 0, "c": 1, "l": 2}
-
-
 def age_decade(age: str | Column, max_cat: int) -> Column:
     age = F.col(age) if isinstance(age, str) else age
     return F.least(F.floor(age / 10).cast("int"), F.lit(max_cat))

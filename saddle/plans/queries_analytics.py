@@ -136,6 +136,12 @@ def _l2(spark, sf):
     return out.select("id", r("balance").alias("balance"), r("n_orders").alias("n_orders"))
 
 
+@query("vector_l2_normalize", f"WITH {vectors_sql()}, cells AS (SELECT id, generate_subscripts(v, 1) - 1 AS pos, unnest(v) AS val FROM vecs) "
+       f"SELECT id, CAST(pos AS INTEGER) AS pos, {rs('val / sqrt(sum(val * val) OVER (PARTITION BY pos))')} AS value FROM cells")
+def _vector_l2(spark, sf):
+    return vec_rows(f.vector_l2_normalize(vectors(spark, sf).select("id", "v"), "v", WIDTH), ["id"], "v")
+
+
 # between-class over within-class variance of each coordinate
 _ANOVA = f"""WITH {vectors_sql()}, cells AS (SELECT id, label, generate_subscripts(v, 1) AS c, unnest(v) AS val FROM vecs),
  per AS (SELECT c, label, count(*) AS n, avg(val) AS mu, var_pop(val) * count(*) AS inside FROM cells GROUP BY 1, 2),

@@ -114,6 +114,14 @@ def _encode(spark, sf):
     return c.encode_corpus(tokens, vocab, unknown=0)
 
 
+@query("encode_corpus_known", f"WITH {_WORDS}, {_WCOUNTS}, known AS (SELECT token, row_number() OVER (ORDER BY freq DESC, token) - 1 AS idx "
+       "FROM wcounts WHERE freq >= 5) SELECT sentence_id, pos, idx FROM words w JOIN known k ON w.token = k.token")
+def _encode_known(spark, sf):
+    """Words below the count leave the corpus instead of becoming the unknown token."""
+    tokens = materialise(c.document_tokens(table(spark, sf, "documents")))
+    return c.encode_corpus(tokens, c.vocabulary(tokens, 5))
+
+
 @query("unigram_counts", f"WITH {VIEWS} SELECT row_number() OVER (ORDER BY min(date_viewed), customer_id) - 1 AS idx, count(*) AS n "
        "FROM views GROUP BY customer_id")
 def _unigrams(spark, sf):
@@ -170,6 +178,23 @@ def _subsample(spark, sf):
     return c.subsample_tokens(tokens, materialise(c.token_counts(tokens)), 1e-3)
 
 
+_KEPT = (f"{VIEWS}, {CUSTOMER_SENTENCES}, wcounts AS (SELECT token, count(*) AS freq FROM sent GROUP BY token), kept AS (SELECT sentence_id, pos, s.token "
+         f"FROM sent s JOIN wcounts k ON s.token = k.token WHERE {uniform_sql('keep', 'sentence_id', 'pos')} <= (sqrt(freq / {_BUDGET}) + 1) * {_BUDGET} / freq), "
+         "placed AS (SELECT token, row_number() OVER (ORDER BY sentence_id, pos) - 1 AS spot FROM kept), "
+         "stream AS (SELECT spot // 100 AS sentence_id, spot % 100 AS pos, token FROM placed)")
+
+
+@query("skipgram_pairs_kept_stream", f"WITH {_KEPT} SELECT a.token AS x, b.token AS y, count(*) AS n FROM stream a JOIN stream b "
+       "ON a.sentence_id = b.sentence_id AND a.pos <> b.pos AND abs(a.pos - b.pos) <= "
+       f"floor({uniform_sql('window', 'a.sentence_id', 'a.pos')} * 5) + 1 GROUP BY 1, 2")
+def _kept_stream(spark, sf):
+    """Frequent tokens are thinned first; windows run over what is kept."""
+    tokens = materialise(product_sentences(spark, sf))
+    kept = c.subsample_tokens(tokens, materialise(c.token_counts(tokens)), 1e-3)
+    pairs = c.skipgram_pairs_dynamic(c.stream_chunks(kept, 100), 5)
+    return pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("edge_pairs", f"WITH {VIEWS}, {EDGES}, {OFFSET}, {GRAPH} SELECT src AS x, dst AS y, CAST(e AS INTEGER) AS epoch FROM graph, range(3) t(e)")
 def _edge_pairs(spark, sf):
     return c.edge_pairs(edges_bipartite_offset(view_edges(spark, sf)), 3)

@@ -160,17 +160,17 @@ def _save(spark, sf):
 
 @query("sweep_batch_size")
 def _sweep_batch(spark, sf):
-    return sweeps.sweep_batch_size(materialise(_pairs(spark, sf)), _types(spark, sf), tr.Params(**SHORT), [4, 32, 128])
+    return sweeps.sweep_batch_size(materialise(_pairs(spark, sf)), _types(spark, sf), tr.Params(**SHORT), [16, 128])
 
 
 @query("sweep_window")
 def _sweep_window(spark, sf):
-    return sweeps.sweep_window(product_sentences(spark, sf), _types(spark, sf), tr.Params(**SHORT), [1, 2, 3])
+    return sweeps.sweep_window(product_sentences(spark, sf), _types(spark, sf), tr.Params(**SHORT), [1, 2])
 
 
 @query("sweep_size")
 def _sweep_size(spark, sf):
-    return sweeps.sweep_size(materialise(_pairs(spark, sf)), _types(spark, sf), tr.Params(**SHORT), [2, 8, 32])
+    return sweeps.sweep_size(materialise(_pairs(spark, sf)), _types(spark, sf), tr.Params(**SHORT), [2, 8])
 
 
 @query("sweep_deepwalk_grid")
@@ -270,7 +270,7 @@ def _churn_evaluation(spark, sf):
 @query("repeated_holdout")
 def _holdout(spark, sf):
     data = _churn(spark, sf)
-    return ev.repeated_holdout(data, ev.CLASSIFIERS["logistic_multinomial"], 10, 0.5)
+    return ev.repeated_holdout(data, ev.CLASSIFIERS["logistic_multinomial"], 5, 0.5)
 
 
 @query("train_share_curve")
