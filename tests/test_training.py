@@ -72,21 +72,37 @@ def test_loss_falls_on_the_manifold(spark, pairs, geometry):
     assert all(sum(c * c for c in r["v"]) < 1 for r in run.vectors().collect()) or geometry in ("euclidean", "polar")
 
 
-def test_partitioning_and_joins_do_not_change_the_result(spark, pairs, monkeypatch):
-    from saddle import skew
-
+def test_partitioning_and_joins_do_not_change_the_result(spark, pairs):
     params = tr.Params(epochs=1, rounds=2)
     a = tr.train(pairs, params).state
-    monkeypatch.setattr(tr, "BROADCAST_BYTES", 0)
-    monkeypatch.setattr(skew, "MIN_ROWS", 1)
-    monkeypatch.setattr(skew, "MIN_BYTES", 0)
-    monkeypatch.setattr(skew, "SHARE", 0.01)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.shuffle.partitions", "7")
-    b = tr.train(pairs.repartition(5), params).state
-    spark.conf.set("spark.sql.shuffle.partitions", "4")
-    gap = a.join(b.select("id", F.col("w_in").alias("o")), "id").agg(
-        F.count("*").alias("n"), F.max(F.abs(F.col("w_in")[0] - F.col("o")[0])).alias("gap")).first()
-    assert gap["n"] == a.count() and gap["gap"] < 1e-9
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        b = tr.train(pairs.repartition(5), params).state
+        gap = a.join(b.select("id", F.col("w_in").alias("o")), "id").agg(
+            F.count("*").alias("n"), F.max(F.abs(F.col("w_in")[0] - F.col("o")[0])).alias("gap")).first()
+        assert gap["n"] == a.count() and gap["gap"] < 1e-9
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_a_step_of_a_walk_moves_no_edges(spark, tmp_path):
+    """Edges stored by (vertex, neighbour number) meet walks without an exchange of their own."""
+    from saddle.storage import bucketed
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        steps = bucketed(spark.range(1000).selectExpr("id % 50 AS cur", "id div 50 AS pick", "id AS next"), "cur", "pick")
+        walks = spark.range(200).selectExpr("id % 50 AS cur", "id % 20 AS pick", "id AS start")
+        joined = walks.join(steps, ["cur", "pick"])
+        assert joined.count() == 200
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
 def test_resume_goes_on_where_it_stopped(spark, pairs, tmp_path):
