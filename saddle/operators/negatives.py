@@ -28,7 +28,7 @@ def noise_distribution(vocab: DataFrame, power: float = 0.75, id_col: str = "idx
                       (F.col("weight") / total).alias("p"), (F.col("hi") / total).alias("cum"))
 
 
-def locate_draws(draws: DataFrame, noise: DataFrame, total: int, size: int) -> DataFrame:
+def locate_draws(draws: DataFrame, noise: DataFrame, total: int, size: int, heaviest: int) -> DataFrame:
     """Attach to each draw ``at`` in [0, total) the id whose ``[lo, hi)`` holds it, and these bounds.
 
     The line is cut into about as many slices as there are ids. An id that would cover more than
@@ -36,7 +36,6 @@ def locate_draws(draws: DataFrame, noise: DataFrame, total: int, size: int) -> D
     and a slice of any grid meets two ids on average. A draw looks into each grid in use.
     """
     width = max(1, total // max(1, size))
-    heaviest = noise.agg(F.max("weight")).first()[0]
     grids = [width]
     while heaviest > grids[-1] * FAN:
         grids.append(grids[-1] * FAN)
@@ -60,9 +59,10 @@ def _place(total: int, seed: str, *keys: str | Column) -> Column:
     return F.floor(uniform(seed, *keys) * F.lit(float(total))).cast("bigint")
 
 
-def _line(noise: DataFrame) -> tuple[int, int]:
-    row = noise.agg(F.max("hi").alias("total"), F.count_if(F.col("weight") > 0).alias("size")).first()
-    return int(row["total"]), int(row["size"])
+def _line(noise: DataFrame) -> tuple[int, int, int]:
+    """Total weight, number of ids that have any, and the largest weight."""
+    row = noise.agg(F.max("hi").alias("total"), F.count_if(F.col("weight") > 0).alias("size"), F.max("weight").alias("heaviest")).first()
+    return int(row["total"]), int(row["size"]), int(row["heaviest"])
 
 
 def _shifted(at: Column, found: Column) -> Column:
@@ -78,14 +78,14 @@ def negative_samples(batches: DataFrame, noise: DataFrame, n: int, seed: str = "
     fewer than ``n`` ids, all are returned. Draws are written every ``block`` steps.
     """
     noise = materialise(noise)
-    total, size = _line(noise)
+    total, size, heaviest = _line(noise)
     kind = "array<struct<lo:bigint,hi:bigint,id:%s,rank:int>>" % noise.schema["id"].dataType.simpleString()
     state = batches.select("batch_id").distinct().withColumn("found", F.array().cast(kind))
     steps = min(n, size)
     for k in range(steps):
         used = F.aggregate("found", F.lit(0).cast("bigint"), lambda a, f: a + f["hi"] - f["lo"])
         at = F.floor(uniform(seed, "batch_id", F.lit(k)) * (F.lit(total) - used).cast("double")).cast("bigint")
-        drawn = locate_draws(state.withColumn("at", _shifted(at, F.col("found"))), noise, total, size)
+        drawn = locate_draws(state.withColumn("at", _shifted(at, F.col("found"))), noise, total, size, heaviest)
         one = F.struct("lo", "hi", "id", F.lit(k + 1).alias("rank"))
         state = drawn.select("batch_id", F.array_sort(F.concat("found", F.array(one))).alias("found"))
         if (k + 1) % block == 0 and k + 1 < steps:
@@ -97,10 +97,10 @@ def negative_samples_per_pair(pairs: DataFrame, noise: DataFrame, n: int, keys:
                               label: str, seed: str = "neg") -> DataFrame:
     """``n`` draws with replacement per pair; draws that hit the pair's own label are skipped."""
     noise = materialise(noise)
-    total, size = _line(noise)
+    total, size, heaviest = _line(noise)
     draws = pairs.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn(
         "at", _place(total, seed, *keys, "draw"))
-    drawn = locate_draws(draws, noise, total, size)
+    drawn = locate_draws(draws, noise, total, size, heaviest)
     return drawn.where(F.col("id") != F.col(label)).drop("at", "lo", "hi")
 
 

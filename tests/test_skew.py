@@ -158,7 +158,7 @@ def test_draws_find_their_id_on_every_grid(spark, monkeypatch, fan):
         at += w
     noise = spark.createDataFrame(rows, "id bigint, weight bigint, lo bigint, hi bigint")
     draws = spark.range(at).withColumnRenamed("id", "at")
-    got = {r["at"]: r["id"] for r in negatives.locate_draws(draws, noise, at, len(weights)).collect()}
+    got = {r["at"]: r["id"] for r in negatives.locate_draws(draws, noise, at, len(weights), max(weights)).collect()}
     assert got == {p: i for i, w, lo, hi in rows for p in range(lo, hi)}
 
 
