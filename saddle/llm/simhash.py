@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from saddle.llm.buckets import by_runs, forest, run_pairs
 from saddle.llm.components import connected_components
+from saddle.llm.jaccard import similar_groups
 from saddle.llm.rows import keep_once, key_columns
 from saddle.llm.textbytes import Words, remix, slices, xxh64
 from saddle.storage import materialise
@@ -299,14 +300,9 @@ def near_groups(docs: DataFrame, size: int, radius: int, words: int = 1, verify:
     return rows.join(groups, "fp").select("key_1", "key_2", "doc_id", "fp", "group", "component_id")
 
 
-#: For whole documents: shingles of five words, 256 bits. Texts of similarity (Jaccard) 0.8 differ in
-#: about 38 of them; a pair of that similarity shares a bucket with a probability of 0.97, a pair of
-#: 0.85 with 0.99.
-SHINGLE, WORDS, RADIUS, VERIFY = 5, 4, 23, 38
-
-
 def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row of the smallest id of each group of near copies, with the columns of ``docs``; repeated rows stay once."""
-    groups = near_groups(docs, SHINGLE, RADIUS, WORDS, VERIFY, id_col, text_col)
+    """The row of the smallest id of each group of near copies (five-word similarity of 0.8 and more, exactly), with the
+    columns of ``docs``; repeated rows stay once."""
+    groups = similar_groups(docs, id_col, text_col)
     first = groups.groupBy("group").agg(F.min(F.struct("doc_id", "key_1", "key_2")).alias("first"))
     return keep_once(docs, first.select("first.key_1", "first.key_2"), id_col, text_col)

@@ -1,0 +1,83 @@
+"""The pipeline's near copies against the exact similarity of all pairs."""
+import random
+
+import pyarrow as pa
+import pytest
+
+import corpus_pipeline
+from saddle.llm import jaccard, simhash
+from test_text import shingles
+
+
+def slow_groups(sets):
+    """The smallest place of each set's component under a similarity of at least 0.8."""
+    up = list(range(len(sets)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 10 * both >= 8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                up[b] = a
+    return [find(i) for i in range(len(sets))]
+
+
+def edited(rng, words, edits):
+    words = list(words)
+    for at in rng.sample(range(len(words)), edits):
+        words[at] = f"n{rng.random()}"
+    return words
+
+
+def texts_of_all_similarities():
+    """Pairs from far above to far below 0.8, a crowd of near copies, and texts of one line said over and over."""
+    rng = random.Random(5)
+    out = []
+    for i in range(120):
+        words = [f"w{i}_{j}" for j in range(rng.randint(20, 300))]
+        out += [" ".join(words), " ".join(edited(rng, words, rng.randint(0, max(1, len(words) // 25))))]
+    base = [f"b{j}" for j in range(200)]
+    out += [" ".join(edited(rng, base, rng.randint(1, 5))) for _ in range(60)]
+    for i in range(3):
+        out.append("the same line said again " * 80 + " ".join(f"own{i}_{j}" for j in range(60)))
+    return out
+
+
+@pytest.mark.parametrize("block,tries", [(1024, 4), (7, 1)])
+def test_near_copies_are_all_pairs_of_a_similarity_of_four_fifths(rows, monkeypatch, block, tries):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "TRIES", tries)
+    texts = texts_of_all_similarities()
+    sets = [set(shingles(t, 5)) for t in texts]
+    between = sum(0.8 <= len(a & b) / len(a | b) < 0.85 for a, b in zip(sets[:240:2], sets[1:240:2]))
+    below = sum(0.6 <= len(a & b) / len(a | b) < 0.8 for a, b in zip(sets[:240:2], sets[1:240:2]))
+    assert between >= 5 and below >= 5
+    kept = simhash.first_of_groups(rows("doc_id long, text string", list(enumerate(texts)))).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(slow_groups(sets)))
+
+
+def test_prefixes_of_sets(rows):
+    sets = jaccard.shingle_sets(pa.array(["a b c d e f a b c d e f", None, "a"]))[0]
+    assert sets.tolist() == [0] * 6 + [2]
+    got = {r["doc_id"]: r for r in jaccard.prefixes(rows("doc_id long, text string", [
+        (0, "a b c d e f a b c d e f"), (1, None), (2, "a"), (3, "b c d e f a b c d e f a b")])).collect()}
+    assert [(got[i]["n"], len(got[i]["prefix"])) for i in range(4)] == [(6, 2), (0, 0), (1, 1), (6, 2)]
+    assert (got[0]["d1"], got[0]["d2"]) == (got[3]["d1"], got[3]["d2"]) != (got[2]["d1"], got[2]["d2"])
+
+
+def test_near_copies_of_the_documents(spark, small):
+    """Distinct texts from 0.80 on: none of a pair stays beside the other, and nothing goes without one."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    all_rows = docs.collect()
+    sets = [set(shingles(r["text"], 5)) for r in all_rows]
+    groups, ids = slow_groups(sets), [r["doc_id"] for r in all_rows]
+    low = {}
+    for g, d in zip(groups, ids):
+        low[g] = min(low.get(g, d), d)
+    kept = corpus_pipeline.without_copies(spark, docs, small).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(low.values())
