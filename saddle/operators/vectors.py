@@ -1,7 +1,7 @@
 """Lookups, blocks of pairs, nearest neighbours and sums over embedding tables."""
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from saddle.skew import lookup_join
 
-QUERY_BLOCK = 1024
+QUERY_BLOCK, TABLE_BLOCK = 1024, 8192
 
 
 def embedding_lookup(pairs: DataFrame, emb: DataFrame, x: str = "x", y: str = "y",
@@ -63,46 +63,37 @@ COSTS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
 }
 
 
-def nearest(emb: DataFrame, query_ids: list, k: int = 10, metric: str = "cosine") -> DataFrame:
-    """``(query, id, score, rank)``: the ``k`` nearest other rows of ``emb(id, v)``.
+def nearest(emb: DataFrame, queries: DataFrame | list, k: int = 10, metric: str = "cosine") -> DataFrame:
+    """``(query, id, score, rank)``: for every id of ``queries(id)`` the ``k`` nearest other rows of ``emb(id, v)``.
 
-    Score is the cosine, or the curved distance. Each task keeps its best ``k`` per query and hands
-    on only those. Queries go in blocks of fixed size, one pass over the table each,
-    so what a task holds does not depend on how many there are.
+    Score is the cosine, or the curved distance. Queries and table are dealt in blocks by a hash; each
+    pair of blocks meets in a group of its own, which hands on its best ``k`` per query, and these are
+    merged in a shuffle. What a task holds depends neither on the number of queries nor on the table.
     """
-    parts = [_nearest_block(emb, query_ids[i:i + QUERY_BLOCK], k, metric)
-             for i in range(0, len(query_ids), QUERY_BLOCK)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _nearest_block(emb: DataFrame, ids: list, k: int, metric: str) -> DataFrame:
-    rows = emb.where(F.col("id").isin(ids)).select("id", "v").collect()
-    qid = np.array([r["id"] for r in rows], dtype=np.int64)
-    q = np.array([r["v"] for r in rows], dtype=np.float64)
+    if isinstance(queries, list):
+        queries = emb.sparkSession.createDataFrame([(i,) for i in queries], "id bigint")
+    asked = emb.select("id", "v").join(queries.select("id").distinct(), "id", "left_semi")
+    q_blocks, t_blocks = max(1, -(-asked.count() // QUERY_BLOCK)), max(1, -(-emb.count() // TABLE_BLOCK))
+    blocks = [F.pmod(F.xxhash64("id"), F.lit(q_blocks)).alias("qb"), F.pmod(F.xxhash64("id", "v"), F.lit(t_blocks)).alias("tb")]
+    left = asked.select(F.col("id").alias("query"), F.col("v").alias("own"), blocks[0], F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(t_blocks - 1).cast("bigint"))).alias("tb"))
+    right = emb.select(F.col("id").alias("id"), F.col("v").alias("v"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(q_blocks - 1).cast("bigint"))).alias("qb"), blocks[1])
     cost = COSTS[metric]
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # the task's best so far: k per query, merged with every batch
-        top_id = np.zeros((len(qid), 0), dtype=np.int64)
-        top_cost = np.zeros((len(qid), 0))
-        for pdf in batches:
-            if not len(pdf) or not len(qid):
-                continue
-            ids_ = pdf["id"].to_numpy()
-            c = cost(q, np.stack(pdf["v"].to_numpy()).astype(np.float64))
-            c[qid[:, None] == ids_[None, :]] = np.inf
-            all_id = np.concatenate([top_id, np.broadcast_to(ids_, c.shape)], axis=1)
-            all_cost = np.concatenate([top_cost, c], axis=1)
-            order = np.lexsort((all_id, all_cost), axis=1)[:, :k + 1]  # one more: the query itself may be among them
-            top_id = np.take_along_axis(all_id, order, 1)
-            top_cost = np.take_along_axis(all_cost, order, 1)
-        out = pd.DataFrame({"query": np.repeat(qid, top_id.shape[1]), "id": top_id.ravel(), "cost": top_cost.ravel()})
-        yield out[out["query"] != out["id"]]
-
-    partial = emb.select("id", "v").mapInPandas(best, "query long, id long, cost double")
+    def best(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        if not len(ours) or not len(theirs):
+            return pd.DataFrame({"query": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "cost": np.zeros(0)})
+        qid, ids = ours["query"].to_numpy(), theirs["id"].to_numpy()
+        c = cost(np.stack(ours["own"].to_numpy()).astype(np.float64), np.stack(theirs["v"].to_numpy()).astype(np.float64))
+        c[qid[:, None] == ids[None, :]] = np.inf
+        last = np.partition(c, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+        row, col = np.nonzero(~(c > last[:, None]) & (qid[:, None] != ids[None, :]))  # ties of the last one too
+        order = np.lexsort((ids[col], c[row, col], row))
+        row, col = row[order], col[order]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        row, col = row[nth < k], col[nth < k]
+        return pd.DataFrame({"query": qid[row], "id": ids[col], "cost": c[row, col]})
+
+    partial = left.groupBy("qb", "tb").cogroup(right.groupBy("qb", "tb")).applyInPandas(best, "query long, id long, cost double")
     window = Window.partitionBy("query").orderBy("cost", "id")
     score = -F.col("cost") if metric == "cosine" else F.col("cost")
     return (
