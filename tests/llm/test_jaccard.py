@@ -81,3 +81,14 @@ def test_near_copies_of_the_documents(spark, small):
         low[g] = min(low.get(g, d), d)
     kept = corpus_pipeline.without_copies(spark, docs, small).collect()
     assert sorted(r["doc_id"] for r in kept) == sorted(low.values())
+
+
+def test_texts_below_four_fifths_stay(rows):
+    """Neither a chain of texts of 0.75 nor one line said over and over, whose fingerprints are near, takes a document."""
+    words = [f"w{j}" for j in range(400)]
+    chain = [words[29 * i:29 * i + 200] for i in range(5)]
+    said = ["the same line said again " * 80 + " ".join(f"own{i}_{j}" for j in range(40)) for i in range(3)]
+    texts = [" ".join(c) for c in chain] + said
+    sets = [set(shingles(t, 5)) for t in texts]
+    assert all(0.7 < len(a & b) / len(a | b) < 0.8 for a, b in zip(sets[:4], sets[1:5]))
+    assert simhash.first_of_groups(rows("doc_id long, text string", list(enumerate(texts)))).count() == len(texts)
