@@ -226,7 +226,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for label in (0, 1):
         # twice as many ids as documents, for those that are missing or too long
         ids = marks.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample)
-        found = texts.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample)
+        found = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+        found = found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         rows += [(r["text"], label) for r in found.select("text").collect()]
     return train([t for t, _ in rows], np.array([x for _, x in rows], dtype=np.int64), share)
 
