@@ -29,12 +29,15 @@ from pyspark.sql import functions as F
 
 from saddle.llm.rows import key_columns
 from saddle.llm.textbytes import raw, slices
+from saddle.storage import materialise
 
 LONGEST, BITS = 3, 6
 SAMPLE, TOTAL, SAMPLE_BYTES = 400, 4000, 1 << 16
 #: Landmarks of all languages together, texts of a matrix product, weight of the penalty.
 LANDMARKS, ROWS, PENALTY = 160, 256, 1e-3
 UNKNOWN = "und"
+#: Bits that a hash is shifted by to give its range.
+RANGES = 48
 
 Model = dict[str, np.ndarray]
 
@@ -140,13 +143,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """A model from at most ``sample`` distinct texts a language and about ``total`` of all."""
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"), F.hash(text_col).alias("g")).where(
         F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col) & _has_letter(text_col) & (F.octet_length(text_col) <= SAMPLE_BYTES))
-    names = rows.select("lang", "h", "g").distinct()
-    kinds = max(1, docs.select(lang_col).distinct().count())
-    first = Window.partitionBy("lang").orderBy("h", "g")
-    chosen = names.withColumn("at", F.row_number().over(first)).where(F.col("at") <= max(1, min(sample, total // kinds))).drop("at")
+    names = materialise(rows.select("lang", "h", "g").distinct().withColumn("range", F.shiftrightunsigned("h", RANGES)))
+    counted = names.groupBy("lang", "range").agg(F.count(F.lit(1)).alias("n"))  # at most 2^16 rows a language
+    quota = max(1, min(sample, total // max(1, names.select("lang").distinct().count())))
+    upto = Window.partitionBy("lang").orderBy("range")
+    # the ranges of hashes that hold the quota; only their texts are put in order
+    first = counted.withColumn("before", F.sum("n").over(upto) - F.col("n")).where(F.col("before") < quota).select("lang", "range")
+    place = Window.partitionBy("lang").orderBy("range", "h", "g")
+    chosen = names.join(F.broadcast(first), ["lang", "range"]).withColumn("at", F.row_number().over(place)).where(F.col("at") <= quota).select("lang", "h", "g")
     # at most ``total`` keys, or one a language
     found = rows.join(F.broadcast(chosen), ["lang", "h", "g"]).groupBy("lang", "h", "g").agg(F.min("text").alias("text")).select("lang", "h", "g", "text").collect()
-    found = sorted(found, key=lambda r: (r["h"], r["g"], r["lang"]))
+    found = sorted(found, key=lambda r: (r["h"] % (1 << 64), r["g"], r["lang"]))
     return train([r["text"] for r in found], [r["lang"] for r in found])
 
 
