@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 SCALE = float(1 << 52)
 
 
-def uniform(seed: str | int, *keys: str | Column) -> Column:
+def uniform(seed: str | int | Column, *keys: str | Column) -> Column:
     """A double in [0, 1) from ``seed`` and the string forms of ``keys``."""
-    parts = [F.lit(str(seed))] + [
+    parts = [seed if isinstance(seed, Column) else F.lit(str(seed))] + [
         (F.col(k) if isinstance(k, str) else k).cast("string") for k in keys
     ]
     digest = F.substring(F.md5(F.concat_ws("|", *parts)), 1, 13)

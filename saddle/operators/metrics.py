@@ -19,7 +19,11 @@ def argmax_predict(df: DataFrame, probs: str = "probs", out: str = "pred") -> Da
 def confusion_single(df: DataFrame, by: list[str] | None = None, y: str = "y", pred: str = "pred") -> DataFrame:
     """tp, fp, fn per class from one ``(y, pred)`` row per example; counted before the shuffle."""
     by = by or []
-    cells = df.groupBy(*by, y, pred).agg(F.count(F.lit(1)).alias("n"))
+    return kind_counts(df.groupBy(*by, y, pred).agg(F.count(F.lit(1)).alias("n")), by, y, pred)
+
+
+def kind_counts(cells: DataFrame, by: list[str], y: str = "y", pred: str = "pred") -> DataFrame:
+    """tp, fp, fn per class from counted cells ``(by, y, pred, n)``."""
     marks = F.when(F.col(y) == F.col(pred), F.array(F.struct(F.col(y).alias("label"), F.lit("tp").alias("kind")))).otherwise(
         F.array(F.struct(F.col(y).alias("label"), F.lit("fn").alias("kind")),
                 F.struct(F.col(pred).alias("label"), F.lit("fp").alias("kind"))))

@@ -17,11 +17,21 @@ UNIT = 1_000_000
 FAN = 1024
 
 
+def _weighted(vocab: DataFrame, power: float, id_col: str, *keep: str) -> DataFrame:
+    return vocab.select(
+        *keep, F.col(id_col).alias("id"),
+        F.round(F.pow(F.col("freq").cast("double"), F.lit(power)) * F.lit(float(UNIT))).cast("bigint").alias("weight"))
+
+
+def noise_lines(vocab: DataFrame, by: str, power: float = 0.75, id_col: str = "idx") -> DataFrame:
+    """``(by, id, weight, lo, hi)``: the lines of all values of ``by`` one after another, each in index order."""
+    run = running_total(_weighted(vocab, power, id_col, by), "weight", [by, "id"], "hi")
+    return run.select(by, "id", "weight", (F.col("hi") - F.col("weight")).alias("lo"), "hi")
+
+
 def noise_distribution(vocab: DataFrame, power: float = 0.75, id_col: str = "idx") -> DataFrame:
     """``(id, weight, lo, hi, p, cum)``: P proportional to ``freq ** power`` in index order."""
-    weighted = vocab.select(
-        F.col(id_col).alias("id"),
-        F.round(F.pow(F.col("freq").cast("double"), F.lit(power)) * F.lit(float(UNIT))).cast("bigint").alias("weight"))
+    weighted = _weighted(vocab, power, id_col)
     run = running_total(weighted, "weight", ["id"], "hi")
     total = weighted.select(F.sum("weight")).scalar()
     return run.select("id", "weight", (F.col("hi") - F.col("weight")).alias("lo"), "hi",
@@ -70,27 +80,68 @@ def _shifted(at: Column, found: Column) -> Column:
     return F.aggregate(found, at, lambda a, f: F.when(a >= f["lo"], a + f["hi"] - f["lo"]).otherwise(a))
 
 
-def negative_samples(batches: DataFrame, noise: DataFrame, n: int, seed: str = "neg", block: int = 8) -> DataFrame:
+def _segments(noise: DataFrame, by: str) -> DataFrame:
+    """``(by, base, length, ids)``: where each line begins, its total weight and its number of ids with any; one row a line."""
+    return noise.where("weight > 0").groupBy(by).agg(F.min("lo").alias("base"), F.sum("weight").alias("length"), F.count(F.lit(1)).alias("ids"))
+
+
+def negative_samples(batches: DataFrame, noise: DataFrame, n: int, seed: str | Column = "neg", block: int = 8, by: str | None = None) -> DataFrame:
     """``(batch_id, rank, id)``: per batch ``n`` distinct ids, in the order drawn.
 
     A batch's next id is drawn from what its earlier ids leave of the line, which is the law of
     drawing until ``n`` distinct ids have come, in exactly ``n`` draws however heavy one id is. With
     fewer than ``n`` ids, all are returned. Draws are written every ``block`` steps.
+    With ``by``, batches are ``(by, batch_id)`` and each value of it draws from its own line of ``noise_lines``.
     """
     noise = materialise(noise)
     total, size, heaviest = _line(noise)
+    keys = ["batch_id"] if by is None else [by, "batch_id"]
     kind = "array<struct<lo:bigint,hi:bigint,id:%s,rank:int>>" % noise.schema["id"].dataType.simpleString()
-    state = batches.select("batch_id").distinct().withColumn("found", F.array().cast(kind))
-    steps = min(n, size)
+    state = batches.select(*keys).distinct().withColumn("found", F.array().cast(kind))
+    if by is None:
+        state = state.withColumns({"base": F.lit(0).cast("bigint"), "length": F.lit(total).cast("bigint"), "ids": F.lit(size).cast("bigint")})
+        fewest = most = size
+    else:
+        lines = materialise(_segments(noise, by))
+        state = state.join(F.broadcast(lines), by)  # one row a line
+        fewest, most = lines.agg(F.min("ids"), F.max("ids")).first()
+    line = ["base", "length", "ids"]
+    noise, steps = noise.select("id", "weight", "lo", "hi"), min(n, most or 0)
     for k in range(steps):
         used = F.aggregate("found", F.lit(0).cast("bigint"), lambda a, f: a + f["hi"] - f["lo"])
-        at = F.floor(uniform(seed, "batch_id", F.lit(k)) * (F.lit(total) - used).cast("double")).cast("bigint")
-        drawn = locate_draws(state.withColumn("at", _shifted(at, F.col("found"))), noise, total, size, heaviest)
+        at = F.col("base") + F.floor(uniform(seed, "batch_id", F.lit(k)) * (F.col("length") - used).cast("double")).cast("bigint")
+        asking = state if k < fewest else state.where(F.col("ids") > k)
+        drawn = locate_draws(asking.withColumn("at", _shifted(at, F.col("found"))), noise, total, size, heaviest)
         one = F.struct("lo", "hi", "id", F.lit(k + 1).alias("rank"))
-        state = drawn.select("batch_id", F.array_sort(F.concat("found", F.array(one))).alias("found"))
+        moved = drawn.select(*keys, F.array_sort(F.concat("found", F.array(one))).alias("found"), *line)
+        state = moved if k < fewest else moved.unionByName(state.where(F.col("ids") <= k))
         if (k + 1) % block == 0 and k + 1 < steps:
             state = materialise(state)
-    return state.select("batch_id", F.explode("found").alias("f")).select("batch_id", "f.rank", "f.id")
+    return state.select(*keys, F.explode("found").alias("f")).select(*keys, "f.rank", "f.id")
+
+
+#: Draws of a counted pair that are made from one row.
+DRAWS = 1024
+
+
+def counted_negatives(pairs: DataFrame, noise: DataFrame, n: int, keys: list[str], centre: str, label: str, seed: str | Column = "neg",
+                      by: str | None = None) -> DataFrame:
+    """``(by, centre, id, w)``: for counted pairs ``(by, keys, n)`` the sums of ``n`` x count draws with replacement, without those of a pair's own label.
+
+    A pair that stands for many is cut into rows of ``DRAWS`` draws and dealt anew, so it fills as many tasks as it needs. Equal draws
+    of a centre are counted before they move on.
+    """
+    noise = materialise(noise)
+    total, size, heaviest = _line(noise)
+    if by is None:
+        placed = pairs.withColumns({"base": F.lit(0).cast("bigint"), "length": F.lit(total).cast("bigint")})
+    else:
+        placed = pairs.join(F.broadcast(_segments(noise, by).drop("ids")), by)  # one row a line
+    cut = placed.withColumn("_cut", F.explode(F.expr(f"sequence(0L, (n * {n} - 1) div {DRAWS})"))).repartition(*keys, "_cut")
+    drawn = cut.withColumn("draw", F.explode(F.expr(f"sequence(_cut * {DRAWS}, least((_cut + 1) * {DRAWS}, n * {n}) - 1)")))
+    at = F.col("base") + F.floor(uniform(seed, *keys, "draw") * F.col("length").cast("double")).cast("bigint")
+    found = locate_draws(drawn.select(*([by] if by else []), centre, label, at.alias("at")), noise.select("id", "weight", "lo", "hi"), total, size, heaviest)
+    return found.where(F.col("id") != F.col(label)).groupBy(*([by] if by else []), centre, "id").agg(F.count(F.lit(1)).alias("w"))
 
 
 def negative_samples_per_pair(pairs: DataFrame, noise: DataFrame, n: int, keys: list[str],

@@ -1,6 +1,7 @@
 """All registered queries."""
 from saddle.plans import (  # noqa: F401
     queries_analytics,
+    queries_classifiers,
     queries_cleaning,
     queries_corpus,
     queries_geometry,

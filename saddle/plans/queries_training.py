@@ -4,18 +4,17 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from saddle.operators import metrics as m
 from saddle.operators import nce
-from saddle.operators.corpus import cooccurrence, make_batches
-from saddle.operators.features import classification_xy, standard_scale
+from saddle.operators.corpus import cooccurrence, make_batches, skipgram_pairs
 from saddle.operators.negatives import negative_samples, noise_distribution
-from saddle.operators.splits import stratified_kfold
+from saddle.operators.sentences import random_walks, walk_tokens
+from saddle.functions.uniform import uniform_sql
 from saddle.plans import evaluation as ev
 from saddle.plans import sweeps, training as tr
 from saddle.plans.negatives_sql import batches_sql, negatives_sql
 from saddle.plans.registry import query, r, rs, vec_rows, vec_rows_sql
 from saddle.plans.tables import (
-    CUSTOMER_SENTENCES, EDGES, GRAPH, OFFSET, PRODUCT_VOCAB, VIEWS, customer_features, product_sentences, product_vocab, scratch, start_sql, start_vectors, table,
+    CUSTOMER_SENTENCES, EDGES, GRAPH, OFFSET, PRODUCT_VOCAB, VIEWS, product_sentences, product_vocab, scratch, start_sql, start_vectors, table,
     vectors, view_graph, views,
 )
 from saddle.plans.training_sql import final_sql, log_sql, training_sql
@@ -156,125 +155,73 @@ def _save(spark, sf):
     return gap.select("id", r(F.col("w_in")[0]).alias("v1"), (F.abs(F.col("w_in")[0] - F.col("again")[0]) < 1e-9).alias("same"))
 
 
+_PER_PAIR = tr.Params(geometry="lorentz", per_pair=True, **SHORT)
+
+
+@query("train_per_pair_negatives", f"{_training(_PER_PAIR)} {final_sql(_PER_PAIR)}")
+def _per_pair(spark, sf):
+    """Every pair draws its own negatives; its own label is skipped."""
+    run = tr.train(_pairs(spark, sf), _PER_PAIR)
+    return run.vectors().select("id", r(F.col("v")[0]).alias("v1"), r(F.col("v")[1]).alias("v2"))
+
+
+_MIXED = tr.Params(geometry="poincare", **{**SHORT, "rounds": 4})
+_ROUND = 1024
+_MIXED_SQL = f"""{walks_sql(f'{VIEWS}, {EDGES}, {OFFSET}, {GRAPH}', 2, 10, '0-walk')},
+ wt AS (SELECT start || ':' || walk_no AS s, unnest(path) AS token, generate_subscripts(path, 1) AS pos FROM walks),
+ wp AS (SELECT a.token AS x, b.token AS y FROM wt a JOIN wt b ON a.s = b.s AND abs(a.pos - b.pos) <= 2 WHERE a.token <> b.token),
+ fe AS (SELECT src AS x, dst AS y, row_number() OVER (ORDER BY {uniform_sql('batch', 'src', 'dst')}, src, dst) - 1 AS spot FROM graph),
+ fw AS (SELECT x, y, row_number() OVER (ORDER BY {uniform_sql('batch', 'x', 'y')}, x, y) - 1 AS spot FROM wp),
+ co AS (SELECT CAST(place // {_ROUND} AS INTEGER) AS round, x, y, count(*) AS n FROM (
+   SELECT place, x, y FROM range({2 * _ROUND}) AS r(place) JOIN fe ON spot = place % (SELECT count(*) FROM fe) UNION ALL
+   SELECT place + {2 * _ROUND}, x, y FROM range({2 * _ROUND}) AS r(place) JOIN fw ON spot = place % (SELECT count(*) FROM fw)) GROUP BY ALL),
+ {training_sql(_MIXED, 'co', scheduled=True)} {final_sql(_MIXED)}"""
+
+
+@query("train_mixed_schedule", _MIXED_SQL)
+def _mixed(spark, sf):
+    """Two rounds on edges, then two on pairs of walks over the same graph."""
+    graph = materialise(view_graph(spark, sf))
+    walks = materialise(random_walks(graph, 2, 10, "0-walk"))
+    pairs = skipgram_pairs(walk_tokens(walks), 2).select("x", "y")
+    run = tr.train_mixed(graph.select(F.col("src").alias("x"), F.col("dst").alias("y")), pairs, _MIXED, _ROUND)
+    return run.vectors().select("id", r(F.col("v")[0]).alias("v1"), r(F.col("v")[1]).alias("v2"))
+
+
 # -- sweeps --------------------------------------------------------------------------------
+# fixed values: the settings compared
+BATCHES, WINDOWS, SIZES = [1, 2, 4, 8, 16, 32, 64, 128], list(range(1, 10)), [2, 4, 8, 16, 32, 64, 128]
+
+
+def _rounded(scores):
+    return scores.select(*[r(f.name).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in scores.schema])
+
 
 @query("sweep_batch_size")
 def _sweep_batch(spark, sf):
-    return sweeps.sweep_batch_size(materialise(_pairs(spark, sf)), _types(spark, sf), tr.Params(**SHORT), [16, 128])
+    return _rounded(sweeps.sweep_batch_size(materialise(_pairs(spark, sf)), _types(spark, sf), tr.Params(**SHORT), BATCHES))
 
 
 @query("sweep_window")
 def _sweep_window(spark, sf):
-    return sweeps.sweep_window(product_sentences(spark, sf), _types(spark, sf), tr.Params(**SHORT), [1, 2])
+    return _rounded(sweeps.sweep_window(materialise(product_sentences(spark, sf)), _types(spark, sf), tr.Params(**SHORT), WINDOWS))
 
 
 @query("sweep_size")
 def _sweep_size(spark, sf):
-    return sweeps.sweep_size(materialise(_pairs(spark, sf)), _types(spark, sf), tr.Params(**SHORT), [2, 8])
+    return _rounded(sweeps.sweep_size(materialise(_pairs(spark, sf)), _types(spark, sf), tr.Params(**SHORT), SIZES))
 
 
 @query("sweep_deepwalk_grid")
 def _sweep_grid(spark, sf):
-    classes = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_nationkey") % 5).alias("y"))
-    return sweeps.sweep_deepwalk_grid(view_graph(spark, sf), classes, tr.Params(**SHORT), [2], [1, 2], [4, 8])
+    classes = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_nationkey") % 5).cast("int").alias("y"))
+    return _rounded(sweeps.sweep_deepwalk_grid(view_graph(spark, sf), classes, tr.Params(**SHORT), [2, 8, 32], [1, 2, 4], [5, 10, 20]))
 
 
 @query("repeat_embeddings")
 def _repeat(spark, sf):
-    return sweeps.repeat_embeddings(materialise(_pairs(spark, sf)), _types(spark, sf), tr.Params(**SHORT), ["a", "b"])
-
-
-# -- classifiers ---------------------------------------------------------------------------
-
-def _vectors(spark, sf):
-    return vectors(spark, sf).select("id", "v", F.col("label").alias("y"))
-
-
-def _classifier(name, spec):
-    @query(name)
-    def _run(spark, sf):
-        folded = stratified_kfold(_vectors(spark, sf), "y", "id", 2)
-        out = ev.cross_val_predict(folded, ev.CLASSIFIERS[spec], 2)
-        return out.select("id", "y", "fold", "pred", r(F.element_at("probs", F.col("pred") + 1)).alias("p"))
-
-
-_classifier("clf_logistic_l2", "logistic_l2")
-_classifier("clf_logistic_l1", "logistic_l1")
-_classifier("clf_logistic_multinomial", "logistic_multinomial")
-_classifier("clf_random_forest", "random_forest")
-
-
-def _documents(spark, sf):
-    """Labelled documents as vectors of simple counts, and their labels in long form."""
-    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select(
-        F.col("doc_id").alias("id"), "quality", "toxic",
-        F.array(F.log1p(F.length("text").cast("double")), F.size(F.split("text", "\n")).cast("double") / 100,
-                F.length(F.regexp_replace("text", "[^0-9]", "")) / (F.length("text") + 1.0),
-                F.length(F.regexp_replace("text", "[^A-Z]", "")) / (F.length("text") + 1.0)).alias("v"))
-    truth = d.select("id", F.explode(F.array_compact(F.array(F.when(F.col("quality") == 1, 0), F.when(F.col("toxic") == 1, 1)))).alias("label"))
-    return materialise(d.select("id", "v")), materialise(truth)
-
-
-@query("clf_one_vs_rest")
-def _one_vs_rest(spark, sf):
-    data, truth = _documents(spark, sf)
-    return ev.one_vs_rest_scores(data, truth, [0, 1], ev.CLASSIFIERS["one_vs_rest"])
-
-
-@query("cross_validate")
-def _cross_validate(spark, sf):
-    folded = stratified_kfold(_vectors(spark, sf), "y", "id", 3)
-    return ev.cross_validate(folded, ev.CLASSIFIERS["logistic_multinomial"], 3, "multinomial")
-
-
-@query("cross_validate_multilabel")
-def _cross_validate_multi(spark, sf):
-    data, truth = _documents(spark, sf)
-    return ev.cross_validate_multilabel(data, truth, [0, 1], ev.CLASSIFIERS["one_vs_rest"], 2)
-
-
-def _churn(spark, sf):
-    """Customers with a vector: scaled table features, vectors, and both side by side; y is churn."""
-    xy = classification_xy(materialise(customer_features(spark, sf)), "id", "shippingCountry", "gender")
-    scaled = standard_scale(xy, ["balance", "n_orders"])
-    names = [c for c in scaled.columns if c not in ("id", "y")]
-    rows = scaled.select("id", "y", F.array(*[F.col(f"`{c}`").cast("double") for c in names]).alias("f"))
-    rows = materialise(rows.join(vectors(spark, sf).select("id", "v"), "id"))
-    return {name: rows.select("id", v.alias("v"), "y") for name, v in
-            (("features", F.col("f")), ("embedding", F.col("v")), ("both", F.concat("f", "v")))}
-
-
-@query("run_all_datasets")
-def _datasets(spark, sf):
-    some = {k: ev.CLASSIFIERS[k] for k in ("logistic_l2", "logistic_l1", "random_forest")}
-    return ev.run_all_datasets(_churn(spark, sf), some, 2)
-
-
-@query("churn_evaluation")
-def _churn_evaluation(spark, sf):
-    """Three classifiers on three data sets over shared folds: F1 by fold, ranked means, and each one's paired test against the best."""
-    some = {k: ev.CLASSIFIERS[k] for k in ("logistic_l2", "logistic_l1", "random_forest")}
-    scores = materialise(ev.run_all_datasets(_churn(spark, sf), some, 3))
-    folds = scores.where("fold < 3").select(F.concat_ws(":", "dataset", "model").alias("model"), F.col("fold").cast("string").alias("fold"), "macro", "micro")
-    train = scores.where("fold = 3").select(F.concat_ws(":", "dataset", "model").alias("model"), F.col("macro").alias("train"))
-    ranked = folds.groupBy("model").agg(F.avg("macro").alias("mean"), F.stddev_samp("macro").alias("sd"), F.avg("micro").alias("micro"))
-    best = ranked.orderBy(F.col("mean").desc(), "model").limit(1).select(F.col("model").alias("best"))
-    tests = m.with_p_value(m.t_test_paired(folds))
-    both = tests.select(F.col("a").alias("model"), F.col("b").alias("best"), "t", "p").unionByName(
-        tests.select(F.col("b").alias("model"), F.col("a").alias("best"), (-F.col("t")).alias("t"), "p"))
-    against = both.join(best, "best").select("model", r("t").alias("t"), r("p").alias("p"))
-    return ranked.join(train, "model").join(against, "model", "left").select(
-        "model", r("mean").alias("mean"), r("sd").alias("sd"), r("micro").alias("micro"), r("train").alias("train"), "t", "p")
-
-
-@query("repeated_holdout")
-def _holdout(spark, sf):
-    data = _churn(spark, sf)
-    return ev.repeated_holdout(data, ev.CLASSIFIERS["logistic_multinomial"], 5, 0.5)
-
-
-@query("train_share_curve")
-def _curve(spark, sf):
-    data = _churn(spark, sf)
-    shares = [0.1, 0.3, 0.5, 0.7, 0.9]
-    return ev.curve_matrix(ev.train_share_curve(data, ev.CLASSIFIERS["logistic_multinomial"], shares, 2), shares)
+    """Ten starts with five negatives and ten with eight."""
+    pairs, labels = materialise(_pairs(spark, sf)), _types(spark, sf)
+    seeds = [str(i) for i in range(10)]
+    parts = [sweeps.repeat_embeddings(pairs, labels, tr.Params(negatives=k, **SHORT), seeds).withColumn("negatives", F.lit(k)) for k in (5, 8)]
+    return _rounded(parts[0].unionByName(parts[1]))

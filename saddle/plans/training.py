@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +18,10 @@ from pyspark.sql import functions as F
 from saddle.functions import geometry as g
 from saddle.functions.uniform import uniform
 from saddle.functions.vectors import clip_by_norm, combine
-from saddle.operators.corpus import cooccurrence, learning_rate
-from saddle.operators.negatives import negative_samples, noise_distribution
+from saddle.operators.corpus import cooccurrence, learning_rate, mixed_schedule
+from saddle.operators.negatives import counted_negatives, negative_samples, noise_lines
 from saddle.operators.nce import Logit, summed_gradients
 from saddle.operators.sentences import random_walks, walk_tokens
-from saddle.skew import lookup_join
 from saddle.storage import bucketed, materialise, shared_folder
 
 
@@ -40,6 +40,7 @@ class Params:
     sign: float = -1.0
     margin: float = 0.0
     power: float = 0.75
+    per_pair: bool = False  # every pair draws its own negatives, in place of sets drawn for many pairs
     seed: str = "0"
 
     @property
@@ -72,12 +73,13 @@ class Trained:
 
 # -- start and step ------------------------------------------------------------------------
 
-def initial_state(ids: DataFrame, params: Params) -> DataFrame:
-    """Start vectors of ``ids(id)``; Euclidean output vectors start at zero."""
+def initial_state(ids: DataFrame, runs: list[Params]) -> DataFrame:
+    """Start vectors of ``ids(run, id)``; Euclidean output vectors start at zero."""
+    params = runs[0]
     width = 0.5 / params.size
 
     def start(side: str) -> Column:
-        seed = f"{params.seed}-{side}"
+        seed = _seeds(runs, side)
         if params.geometry == "lorentz":
             return g.init_hyperboloid(seed, "id", params.size)
         if params.geometry == "polar":
@@ -87,14 +89,14 @@ def initial_state(ids: DataFrame, params: Params) -> DataFrame:
         return g.init_uniform(seed, "id", params.size)
 
     out = F.array_repeat(F.lit(0.0), params.size) if params.geometry == "euclidean" else start("out")
-    return ids.select("id", start("in").alias("w_in"), out.alias("w_out"), F.lit(0.0).alias("b"))
+    return ids.select("run", "id", start("in").alias("w_in"), out.alias("w_out"), F.lit(0.0).alias("b"))
 
 
-def warm_state(ids: DataFrame, params: Params, init: DataFrame) -> DataFrame:
-    """Given vectors where ``init(id, w_in, w_out, b)`` has them, start vectors elsewhere."""
-    known = init.select("id", F.struct("w_in", "w_out", "b").alias("old"))
-    fresh = initial_state(ids, params).join(known, "id", "left")
-    return fresh.select("id", *[F.coalesce(F.col(f"old.{c}"), F.col(c)).alias(c) for c in ("w_in", "w_out", "b")])
+def warm_state(ids: DataFrame, runs: list[Params], init: DataFrame) -> DataFrame:
+    """Given vectors where ``init(run, id, w_in, w_out, b)`` has them, start vectors elsewhere."""
+    known = init.select("run", "id", F.struct("w_in", "w_out", "b").alias("old"))
+    fresh = initial_state(ids, runs).join(known, ["run", "id"], "left")
+    return fresh.select("run", "id", *[F.coalesce(F.col(f"old.{c}"), F.col(c)).alias(c) for c in ("w_in", "w_out", "b")])
 
 
 def step(w: str, grad: str, params: Params, lr: float) -> Column:
@@ -121,52 +123,89 @@ def _mean(grad: str, count: str) -> Column:
 
 # -- the loop ------------------------------------------------------------------------------
 
+#: What the runs that are trained together may differ in.
+FREE = ("seed", "batch_size", "sets", "window")
+
+
+def _per_run(values: list) -> Column:
+    """The value of the row's run."""
+    return F.lit(values[0]) if len(values) == 1 else F.array(*[F.lit(v) for v in values])[F.col("run")]
+
+
+def _seeds(runs: list[Params], name: str) -> Column:
+    return _per_run([f"{p.seed}-{name}" for p in runs])
+
+
 def train(pairs: DataFrame, params: Params, init: DataFrame | None = None, save_to: str | None = None,
           start_step: int = 0) -> Trained:
-    """Train on counted pairs ``(x, y, n)``. ``save_to`` keeps every round's state for ``resume``."""
-    spark = pairs.sparkSession
-    spread = pairs.withColumn("round", F.floor(uniform(f"{params.seed}-round", "x", "y") * params.rounds).cast("int"))
-    stored = bucketed(spread, "x", parts="round")
-
-    size = stored.agg(F.sum("n").alias("pairs"), F.count(F.lit(1)).alias("rows")).first()
-    groups = max(1, -(-size["rows"] // (params.rounds * params.batch_size)))
-    counts = stored.groupBy(F.col("y").alias("id")).agg(F.sum("n").alias("freq"))
-    noise = materialise(noise_distribution(counts, params.power, "id"))
-    ids = stored.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    start = initial_state(ids, params) if init is None else warm_state(ids, params, init)
+    """Train on counted pairs ``(x, y, n)``. ``save_to`` keeps every round's state for ``resume``.
+
+    Pairs are dealt over the rounds of an epoch by a hash. With a column ``round`` (0 to ``params.rounds`` - 1) the pairs are a
+    schedule: each round trains on its own rows.
+    """
+    one = None if init is None else init.withColumn("run", F.lit(0))
+    return train_many(pairs.withColumn("run", F.lit(0)), [params], one, save_to, start_step)[0]
+
+
+def train_many(pairs: DataFrame, runs: list[Params], init: DataFrame | None = None, save_to: str | None = None,
+               start_step: int = 0) -> list[Trained]:
+    """Train runs side by side on counted pairs ``(run, x, y, n)``: state, pairs and negatives are keyed by run, and a round is one job for all.
+
+    ``runs[i]`` has the settings of run i; they may differ in ``FREE`` only.
+    """
+    spark, params = pairs.sparkSession, runs[0]
+    for other in runs:
+        if replace(other, **{f: getattr(params, f) for f in FREE}) != params:
+            raise ValueError(f"runs trained together may differ in {', '.join(FREE)} only")
+    if "round" not in pairs.columns:
+        pairs = pairs.withColumn("round", F.floor(uniform(_seeds(runs, "round"), "x", "y") * params.rounds).cast("int"))
+    stored = bucketed(pairs, "run", "x", parts="round")
+
+    sizes = {r["run"]: r for r in stored.groupBy("run").agg(F.sum("n").alias("pairs"), F.count(F.lit(1)).alias("rows")).collect()}  # one row a run
+    groups = [max(1, -(-(sizes[i]["rows"] if i in sizes else 0) // (p.rounds * p.batch_size))) for i, p in enumerate(runs)]
+    drawn_pairs = _per_run([float(params.negatives * (sizes[i]["pairs"] if i in sizes else 0)) for i in range(len(runs))])
+    counts = stored.groupBy("run", F.col("y").alias("id")).agg(F.sum("n").alias("freq"))
+    noise = materialise(noise_lines(counts, "run", params.power, "id"))
+    whole = noise.groupBy("run").agg(F.sum("weight").alias("whole"))
+    ids = stored.select("run", F.explode(F.array("x", "y")).alias("id")).distinct()
+    start = initial_state(ids, runs) if init is None else warm_state(ids, runs, init)
     # weight a target meets per round on average: its own pairs and its draws as a negative
-    expected = counts.join(noise, "id").select("id", (
-        (F.col("freq") + F.col("p") * F.lit(float(params.negatives * size["pairs"]))) / params.rounds).alias("e_out"))
-    state = bucketed(start.join(expected, "id", "left"), "id")
+    met = counts.join(noise, ["run", "id"]).join(F.broadcast(whole), "run")  # one row a run
+    expected = met.select("run", "id", ((F.col("freq") + F.col("weight") / F.col("whole") * drawn_pairs) / params.rounds).alias("e_out"))
+    state = bucketed(start.join(expected, ["run", "id"], "left"), "run", "id")
 
     steps = params.epochs * params.rounds
-    drawn = spark.range(start_step * groups, steps * groups).withColumnRenamed("id", "batch_id")
-    negatives = _by_step(negative_samples(drawn, noise, params.negatives, f"{params.seed}-neg"), groups)
+    negatives = None
+    if not params.per_pair:
+        asked = reduce(DataFrame.unionByName, [spark.range(start_step * n, steps * n).select(F.lit(i).alias("run"), F.col("id").alias("batch_id")) for i, n in enumerate(groups)])
+        negatives = _by_step(negative_samples(asked, noise, params.negatives, _seeds(runs, "neg"), by="run"), groups)
 
-    out = Trained(state, params)
+    logs: list[list[dict]] = [[] for _ in runs]
     for at in range(start_step, steps):
         began = time.time()
         lr = learning_rate(params.learning_rate, at, steps)
-        rows = _round_rows(stored.where(F.col("round") == at % params.rounds), negatives, out.state, params, at, groups)
-        moved = _update(out.state, summed_gradients(rows, params.logit), params, lr)
+        own = stored.where(F.col("round") == at % params.rounds)
+        rows = _round_rows(own, negatives, noise, state, runs, at, groups)
+        moved = _update(state, summed_gradients(rows, params.logit, ["run"]), params, lr)
         target = None if save_to is None else f"{save_to}/step={at + 1:06d}"
-        written = bucketed(moved, "id", path=target)
-        total = written.agg(F.sum("xent").alias("xent"), F.sum("pairs").alias("pairs")).first()
+        written = bucketed(moved, "run", "id", path=target)
+        totals = {r["run"]: r for r in written.groupBy("run").agg(F.sum("xent").alias("xent"), F.sum("pairs").alias("pairs")).collect()}  # one row a run
         spent = time.time() - began
-        out.state = written.select("id", "w_in", "w_out", "b", "e_out")
-        done = total["pairs"] or 0.0
-        out.log.append({"epoch": at // params.rounds + 1, "step": at + 1, "lr": lr,
-                        "loss": (total["xent"] or 0.0) / max(done, 1.0), "pairs": done,
+        state = written.select("run", "id", "w_in", "w_out", "b", "e_out")
+        for i, log in enumerate(logs):
+            done = (totals[i]["pairs"] if i in totals else None) or 0.0
+            log.append({"epoch": at // params.rounds + 1, "step": at + 1, "lr": lr,
+                        "loss": ((totals[i]["xent"] if i in totals else None) or 0.0) / max(done, 1.0), "pairs": done,
                         "pairs_per_second": done / max(spent, 1e-9)})
-    return out
+    return [Trained(state.where(F.col("run") == i).drop("run"), p, log) for i, (p, log) in enumerate(zip(runs, logs))]
 
 
-def _by_step(drawn: DataFrame, groups: int) -> DataFrame:
-    """Negatives ``(g, id, step)`` in one folder per step, so a round reads its own only."""
+def _by_step(drawn: DataFrame, groups: list[int]) -> DataFrame:
+    """Negatives ``(run, g, id, step)`` in one folder per step, so a round reads its own only."""
     spark = drawn.sparkSession
     folder = f"{shared_folder(spark)}/negatives-{time.time_ns()}"
-    split = drawn.select((F.col("batch_id") % groups).alias("g"), "id", F.expr(f"cast(batch_id div {groups} AS int)").alias("step"))
-    split.repartition("step", F.pmod(F.xxhash64("g"), F.lit(_slices(spark)))).write.partitionBy("step").parquet(folder)
+    split = drawn.withColumn("_n", _per_run(groups)).select("run", (F.col("batch_id") % F.col("_n")).alias("g"), "id", F.expr("cast(batch_id div _n AS int)").alias("step"))
+    split.repartition("step", F.pmod(F.xxhash64("run", "g"), F.lit(_slices(spark)))).write.partitionBy("step").parquet(folder)
     return spark.read.schema(split.schema).parquet(folder)
 
 
@@ -174,21 +213,26 @@ def _slices(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _round_rows(pairs: DataFrame, negatives: DataFrame, state: DataFrame, params: Params, at: int,
-                groups: int) -> DataFrame:
-    """Positive rows of the round, and each centre's weight per negative group beside its negatives."""
-    ins = state.select(F.col("id").alias("x"), F.col("w_in").alias("vx"))
-    outs = state.select(F.col("id").alias("t"), F.col("w_out").alias("vy"), "b")
-
-    positive = lookup_join(lookup_join(pairs.select("x", F.col("y").alias("t"), F.col("n").alias("w")), ins, "x"),
-                           outs, "t").withColumn("label", F.lit(1.0))
-    # a centre's pairs fall into a few sets, so their negatives are scored once per set and weighted
-    part = F.floor(uniform(f"{params.seed}-set", "y", F.lit(at)) * params.sets)
-    group = F.floor(uniform(f"{params.seed}-group", "x", part, F.lit(at)) * groups)
-    centres = pairs.groupBy("x", group.alias("g")).agg(F.sum("n").alias("w"))
-    noise = lookup_join(negatives.where(F.col("step") == at).select("g", F.col("id").alias("t")), outs, "t")
-    # groups are hashed, so the join on g is even
-    negative = lookup_join(centres, ins, "x").join(noise, "g").withColumn("label", F.lit(0.0))
+def _round_rows(pairs: DataFrame, negatives: DataFrame | None, noise: DataFrame, state: DataFrame, runs: list[Params], at: int,
+                groups: list[int]) -> DataFrame:
+    """Positive rows of the round, and each centre's weight per negative group (or per own draw) beside its negatives."""
+    ins = state.select("run", F.col("id").alias("x"), F.col("w_in").alias("vx"))
+    outs = state.select("run", F.col("id").alias("t"), F.col("w_out").alias("vy"), "b")
+
+    centres = pairs.select("run", "x", F.col("y").alias("t"), F.col("n").alias("w")).join(ins, ["run", "x"])
+    positive = centres.join(outs, ["run", "t"]).withColumn("label", F.lit(1.0))
+    if negatives is None:
+        drawn = counted_negatives(pairs.select("run", "x", "y", F.lit(at).alias("step"), "n"), noise, runs[0].negatives, ["x", "y", "step"], "x", "y",
+                                  _seeds(runs, "neg"), by="run").withColumnRenamed("id", "t")
+        negative = drawn.join(ins, ["run", "x"]).join(outs, ["run", "t"]).withColumn("label", F.lit(0.0))
+    else:
+        # a centre's pairs fall into a few sets, so their negatives are scored once per set and weighted
+        part = F.floor(uniform(_seeds(runs, "set"), "y", F.lit(at)) * _per_run([p.sets for p in runs]))
+        group = F.floor(uniform(_seeds(runs, "group"), "x", part, F.lit(at)) * _per_run(groups))
+        weights = pairs.groupBy("run", "x", group.alias("g")).agg(F.sum("n").alias("w"))
+        met = negatives.where(F.col("step") == at).select("run", "g", F.col("id").alias("t")).join(outs, ["run", "t"])
+        # groups are hashed, so the join on g is even
+        negative = weights.join(ins, ["run", "x"]).join(met, ["run", "g"]).withColumn("label", F.lit(0.0))
     return positive.unionByName(negative.select(*positive.columns)).withColumn("w", F.col("w").cast("double"))
 
 
@@ -198,20 +242,20 @@ def _update(state: DataFrame, grads: DataFrame, params: Params, lr: float) -> Da
     A centre's weight in the round is known. A target's depends on the draws, so its sum is divided
     by the expected weight, which keeps true pairs and negatives in balance for rare vertices.
     """
-    joined = state.join(grads, "id", "left")
+    joined = state.join(grads, ["run", "id"], "left")
     mean = joined.withColumns({"m_in": _mean("g_in", "n_in"), "m_out": _mean("g_out", "e_out")})
     slope = F.coalesce(F.try_divide(F.col("g_b"), F.col("e_out")), F.lit(0.0))
     bound = F.greatest(F.least(slope, F.lit(params.max_norm)), F.lit(-params.max_norm))
     bias = F.col("b") - F.lit(lr) * bound
     return mean.select(
-        "id",
+        "run", "id",
         F.when(F.col("n_in") > 0, step("w_in", "m_in", params, lr)).otherwise(F.col("w_in")).alias("w_in"),
         F.when(F.col("n_out") > 0, step("w_out", "m_out", params, lr)).otherwise(F.col("w_out")).alias("w_out"),
         bias.alias("b"), "e_out", "xent", "pairs")
 
 
 def saved_state(spark: SparkSession, folder: str, at: int | None = None) -> tuple[DataFrame, int]:
-    """The state after step ``at`` (the last by default) and its step number."""
+    """The state of a single run after step ``at`` (the last by default) and its step number."""
     kinds = "id bigint, w_in array<double>, w_out array<double>, b double, step int"
     states = spark.read.schema(kinds).option("basePath", folder).parquet(folder)
     last = at or states.select(F.max("step")).first()[0]
@@ -235,3 +279,13 @@ def train_deepwalk(edges: DataFrame, params: Params, num_walks: int = 10, walk_l
     """Random walks as sentences, flat skip-gram with negative sampling."""
     walks = materialise(random_walks(edges, num_walks, walk_length, f"{params.seed}-walk"))
     return train_tokens(walk_tokens(walks), replace(params, geometry="euclidean"), **kw)
+
+
+def train_mixed(edges: DataFrame, pairs: DataFrame, params: Params, batch_size: int, **kw) -> Trained:
+    """Train the first half of ``params.rounds`` on ``edges(x, y)`` and the rest on ``pairs(x, y)``, ``batch_size`` rows a round.
+
+    Each source is read in its own random order and wraps around on its own.
+    """
+    rows = mixed_schedule(edges, pairs, batch_size, params.rounds, ["x", "y"])
+    counted = rows.groupBy(F.col("batch_id").cast("int").alias("round"), "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    return train(counted, replace(params, epochs=1), **kw)

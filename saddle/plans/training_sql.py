@@ -98,11 +98,12 @@ def _moved(p: Params, w: str, grad: list[str], lr: float) -> str:
     return let(g, "t", let(clip("t"), "s", f"[greatest({w}[1] - {lr!r} * s[1], 0.000001), {w}[2] - {lr!r} * {turn}]"))
 
 
-def training_sql(p: Params, pairs: str) -> str:
-    """CTEs from the counted pairs ``pairs(x, y, n)`` to ``st<steps>`` and ``log<k>``, one per round."""
+def training_sql(p: Params, pairs: str, scheduled: bool = False) -> str:
+    """CTEs from the counted pairs ``pairs(x, y, n)`` to ``st<steps>`` and ``log<k>``, one per round; a schedule brings its ``round``."""
     steps, d = p.epochs * p.rounds, _width(p)
     at_ids = range(1, d + 1)
     parts = [
+        f"pr AS (SELECT * FROM {pairs})" if scheduled else
         f"pr AS (SELECT *, CAST(floor({uniform_sql(p.seed + '-round', 'x', 'y')} * {p.rounds}) AS INTEGER) AS round FROM {pairs})",
         f"sz AS (SELECT sum(n)::DOUBLE AS total, greatest(1, CAST(ceil(count(*) / {float(p.rounds * p.batch_size)}) AS BIGINT)) AS groups FROM pr)",
         "vocab AS (SELECT y AS id, sum(n) AS freq FROM pr GROUP BY y)",
@@ -123,6 +124,10 @@ def training_sql(p: Params, pairs: str) -> str:
         mean_in = [f"coalesce(a{i} / nullif(n_in, 0), 0.0)" for i in at_ids]
         mean_out = [f"coalesce(c{i} / nullif(e_out, 0), 0.0)" for i in at_ids]
         parts += [
+            f"rw{k} AS (SELECT x, y AS t, 1.0::DOUBLE AS label, n::DOUBLE AS w FROM pr WHERE round = {k % p.rounds} UNION ALL "
+            f"SELECT x, noise.id, 0.0, count(*)::DOUBLE FROM (SELECT x, y, CAST(floor({uniform_sql(p.seed + '-neg', 'x', 'y', str(k), 'draw')} * (SELECT max(hi) FROM noise)) AS BIGINT) AS spot "
+            f"FROM (SELECT x, y, unnest(range(CAST(n * {p.negatives} AS BIGINT))) AS draw FROM pr WHERE round = {k % p.rounds})) "
+            "JOIN noise ON spot >= hi - weight AND spot < hi WHERE noise.id <> y GROUP BY x, noise.id)" if p.per_pair else
             f"rw{k} AS (SELECT x, y AS t, 1.0::DOUBLE AS label, n::DOUBLE AS w FROM pr WHERE round = {k % p.rounds} UNION ALL "
             f"SELECT x, negatives.id, 0.0, w::DOUBLE FROM (SELECT x, {group} AS g, sum(n) AS w FROM "
             f"(SELECT *, {set_} AS part FROM pr WHERE round = {k % p.rounds}) GROUP BY 1, 2) c "

@@ -243,6 +243,6 @@ def test_no_row_is_lost(spark, tmp_path):
         assert same(emb, text.read_embedding_text(spark, f"{tmp_path}/e{width}{header}"))
     data = spark.createDataFrame([(i, [float(i % 4), 1.0]) for i in range(40)], "id bigint, v array<double>")
     truth = spark.createDataFrame([(i, 0) for i in range(0, 40, 4)], "id bigint, label int")
-    scored = ev.one_vs_rest_scores(data, truth, [0], ev.CLASSIFIERS["one_vs_rest"]).collect()
+    scored = ev.one_vs_rest_scores(data, truth, 1, ev.CLASSIFIERS["one_vs_rest"]).collect()
     # trained on labelled rows only, every row would look like label 0
     assert len(scored) == 40 and all((r["p"] > 0.5) == (r["id"] % 4 == 0) for r in scored)

@@ -116,9 +116,9 @@ def test_resume_goes_on_where_it_stopped(spark, pairs, tmp_path):
 
 
 def test_warm_start_keeps_given_vectors(spark):
-    ids = spark.range(4)
-    init = spark.createDataFrame([(1, [9.0, 9.0], [8.0, 8.0], 7.0)], "id bigint, w_in array<double>, w_out array<double>, b double")
-    out = {r["id"]: r for r in tr.warm_state(ids, tr.Params(geometry="euclidean"), init).collect()}
+    ids = spark.range(4).withColumn("run", F.lit(0))
+    init = spark.createDataFrame([(0, 1, [9.0, 9.0], [8.0, 8.0], 7.0)], "run int, id bigint, w_in array<double>, w_out array<double>, b double")
+    out = {r["id"]: r for r in tr.warm_state(ids, [tr.Params(geometry="euclidean")], init).collect()}
     assert out[1]["w_in"] == [9.0, 9.0] and out[1]["b"] == 7.0 and abs(out[2]["w_in"][0]) <= 0.25
 
 
@@ -143,5 +143,5 @@ def test_classes_of_a_planted_graph_are_found(spark):
     run = tr.train_tokens(walk_tokens(walks), tr.Params(geometry="poincare", window=3, epochs=20, rounds=1, batch_size=1,
                                                         sets=64, learning_rate=4.0))
     data = run.vectors().withColumn("y", (F.col("id") >= 20).cast("int"))
-    score = ev.cross_validate(ev.stratified_kfold(data, "y", "id", 2), ev.Classifier("logistic", c=100.0), 2, "m")
+    score = ev.cross_validate(ev.stratified_kfold(data, "y", "id", 2), ev.Linear(c=100.0), 2, "m")
     assert score.where("fold < 2").agg(F.avg("macro")).first()[0] > 0.75
