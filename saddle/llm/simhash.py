@@ -34,7 +34,6 @@ from pyspark.sql import functions as F
 
 from saddle.llm.buckets import by_runs, forest, run_pairs
 from saddle.llm.components import connected_components
-from saddle.llm.jaccard import similar_groups
 from saddle.llm.rows import keep_once, key_columns
 from saddle.llm.textbytes import Words, remix, slices, xxh64
 from saddle.storage import materialise
@@ -300,9 +299,12 @@ def near_groups(docs: DataFrame, size: int, radius: int, words: int = 1, verify:
     return rows.join(groups, "fp").select("key_1", "key_2", "doc_id", "fp", "group", "component_id")
 
 
-def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row of the smallest id of each group of near copies (five-word similarity of 0.8 and more, exactly), with the
-    columns of ``docs``; repeated rows stay once."""
-    groups = similar_groups(docs, id_col, text_col)
+def first_of_groups(docs: DataFrame, size: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row of the smallest id of each group of near copies, with the columns of ``docs``; repeated rows stay once.
+
+    Groups are those of ``near_groups``: fingerprints of ``size``-word shingles linked at ``radius`` or fewer differing bits. Texts
+    without words share the fingerprint zero and are one group; rows without an id come before the others of their group.
+    """
+    groups = near_groups(docs, size, radius, id_col=id_col, text_col=text_col)
     first = groups.groupBy("group").agg(F.min(F.struct("doc_id", "key_1", "key_2")).alias("first"))
     return keep_once(docs, first.select("first.key_1", "first.key_2"), id_col, text_col)

@@ -325,18 +325,8 @@ def test_pipeline_against_brute_force(spark, small, public):
     assert np.mean([d in set(out["doc_id"]) for d in inn["doc_id"] if labels.get(d) == 0]) < 0.35
 
     _, inn, out = kept[1]
-    sets = {d: set(shingles(t, 5)) for d, t in zip(inn["doc_id"], inn["text"])}
-    kept_ids = set(out["doc_id"])
-
-    def alike(a, b):
-        return len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b]))
-
-    ids = list(sets)
-    near = [(a, b, j) for i, a in enumerate(ids) for b in ids[:i] for j in [alike(a, b)] if j >= 0.6]
-    close = [(a, b) for a, b, j in near if j >= 0.85]
-    assert close and not [p for p in close if p[0] in kept_ids and p[1] in kept_ids]
-    reason = {x for a, b, j in near if j >= 0.7 for x in (a, b)}
-    assert set(ids) - kept_ids <= reason  # nothing goes without a near copy
+    ids = [int(d) for d in inn["doc_id"]]
+    assert sorted(out["doc_id"]) == sorted(set(slow_groups([slow_fingerprint(t) for t in inn["text"]], ids))) and len(out) < len(inn)
 
     _, inn, out = kept[2]
     items = [" ".join(re.findall(r"[^\W_]+", r["text"].lower())) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
