@@ -2,7 +2,8 @@
 
 Each stage is a function of (spark, docs, sf_dir). ``run`` writes every stage's rows to the shared
 folder and reads them again as the next one's documents, so a lost executor costs one stage. All but
-the last stage keep the columns of documents.
+the last stage keep the columns of documents, whatever else these are; stages read ``doc_id``, ``text`` and
+``n_chars``. A null text counts as empty. An empty table passes every stage.
 """
 from __future__ import annotations
 
@@ -20,8 +21,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.first_of_groups(docs)
+    """The document of the smallest id of each group of near copies: 3-word fingerprints linked at 3 or fewer differing bits.
+
+    Repeated rows stay once; texts without words are one group.
+    """
+    return simhash.first_of_groups(docs, size=3, radius=3)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
