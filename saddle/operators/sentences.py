@@ -6,12 +6,14 @@ a parameter bounds them (walks).
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from saddle.functions.uniform import uniform
 from saddle.operators.graph import degree
-from saddle.ordering import global_index, ordered, running_in_keys
+from saddle.ordering import counted, global_index
 from saddle.skew import grouped_rank, lookup_join
 from saddle.storage import bucketed, materialise
 
@@ -38,13 +40,10 @@ def token_sequences(views: DataFrame, key: str, token: str, order: list[str], dr
     """``(sentence_id, pos, token)``: the tokens of each key in ``order``, from position 0."""
     rows = views.select(F.col(key).alias("sentence_id"), F.col(token).alias("token"),
                         *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
-    stored = ordered(rows, [F.col("sentence_id"), *[F.col(f"_o{i}") for i in range(len(order))]])
-    ranked = running_in_keys(stored, ["sentence_id"], F.lit(1), "_at").select(
-        "sentence_id", (F.col("_at") - 1).alias("pos"), "token")
+    ranked = counted(rows, ["sentence_id"], [F.col(f"_o{i}") for i in range(len(order))], "_at", last="_last" if drop_single else None)
     if drop_single:
-        several = stored.groupBy("sentence_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-        ranked = lookup_join(ranked, several.select("sentence_id"), "sentence_id", "left_semi")
-    return ranked
+        ranked = ranked.where(~((F.col("_at") == 1) & F.col("_last")))
+    return ranked.select("sentence_id", (F.col("_at") - 1).alias("pos"), "token")
 
 
 def coview_sentences(views: DataFrame) -> DataFrame:
@@ -59,27 +58,12 @@ def customer_sentences(views: DataFrame) -> DataFrame:
 
 # -- sessions ------------------------------------------------------------------------------
 
-def _gap_seconds(later, earlier):
-    return (F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / F.lit(1e6)
-
-
 def sessionize(events: DataFrame, user: str, ts: str, tie: str, gap_seconds: float = 3600.0) -> DataFrame:
     """Adds ``session_no`` (from 1 per user): a gap of more than ``gap_seconds`` opens a session.
 
-    Events are sorted by ranges of (user, time), so a user's events may fill many tasks; a range sees
-    only the last event of the one before it and how many sessions its first user has had.
+    Events are sorted by ranges of (user, time), so a user's events may fill many tasks.
     """
-    stored = ordered(events, [F.col(user), F.col(ts), F.col(tie)])
-    last = stored.groupBy("_pid").agg(F.max_by(F.struct(F.col(user).alias("user"), F.col(ts).alias("ts")), "_pos").alias("_tail"))
-    # one row per range
-    edges = last.select("_pid", F.lag("_tail").over(Window.orderBy("_pid")).alias("_edge"))
-    joined = stored.join(F.broadcast(edges), "_pid")
-    inside = Window.partitionBy("_pid", user).orderBy("_pos")
-    outside = F.when(F.col("_edge.user").eqNullSafe(F.col(user)), F.col("_edge.ts"))
-    before = F.coalesce(F.lag(ts).over(inside), outside)
-    opens = F.when(before.isNull() | (_gap_seconds(F.col(ts), before) > gap_seconds), 1).otherwise(0)
-    flagged = materialise(joined.withColumn("_opens", opens).drop("_edge"))
-    return running_in_keys(flagged, [user], F.col("_opens"), "session_no").select(*events.columns, "session_no")
+    return counted(events, [user], [F.col(ts), F.col(tie)], "session_no", F.unix_micros(F.col(ts).cast("timestamp")), math.floor(gap_seconds * 1_000_000))
 
 
 def session_sentences(sessions: DataFrame, user: str, ts: str, tie: str, token: str) -> DataFrame:

@@ -1,17 +1,11 @@
-"""Lookups, blocks of pairs, nearest neighbours and sums over embedding tables."""
+"""Lookups, blocks of pairs and sums over embedding tables."""
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saddle.skew import lookup_join
 
-QUERY_BLOCK, TABLE_BLOCK = 1024, 8192
-
 
 def embedding_lookup(pairs: DataFrame, emb: DataFrame, x: str = "x", y: str = "y",
                      left: str = "w_in", right: str = "w_out") -> DataFrame:
@@ -37,72 +31,6 @@ def embedding_align(targets: DataFrame, emb: DataFrame, key: str = "id") -> Data
     return lookup_join(targets, emb, key, "left")
 
 
-# -- nearest neighbours --------------------------------------------------------------------
-
-def _cosine_cost(q: np.ndarray, m: np.ndarray) -> np.ndarray:
-    qn = np.linalg.norm(q, axis=1, keepdims=True)
-    mn = np.linalg.norm(m, axis=1, keepdims=True)
-    return -(q @ m.T) / np.maximum(qn * mn.T, 1e-300)
-
-
-def _poincare_cost(q: np.ndarray, m: np.ndarray) -> np.ndarray:
-    q2, m2 = (q * q).sum(1)[:, None], (m * m).sum(1)[None, :]
-    gap = np.maximum(q2 + m2 - 2 * (q @ m.T), 0.0)
-    room = (1 - q2) * (1 - m2)
-    e = np.where((q2 < 1) & (m2 < 1), 2 * gap / np.where(room > 0, room, 1.0), np.inf)
-    return np.log1p(e + np.sqrt(e * (e + 2)))
-
-
-def _lorentz_cost(q: np.ndarray, m: np.ndarray) -> np.ndarray:
-    dot = q @ m.T - 2 * np.outer(q[:, 0], m[:, 0])
-    return np.arccosh(np.maximum(-dot, 1.0))
-
-
-COSTS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
-    "cosine": _cosine_cost, "poincare": _poincare_cost, "lorentz": _lorentz_cost,
-}
-
-
-def nearest(emb: DataFrame, queries: DataFrame | list, k: int = 10, metric: str = "cosine") -> DataFrame:
-    """``(query, id, score, rank)``: for every id of ``queries(id)`` the ``k`` nearest other rows of ``emb(id, v)``.
-
-    Score is the cosine, or the curved distance. Queries and table are dealt in blocks by a hash; each
-    pair of blocks meets in a group of its own, which hands on its best ``k`` per query, and these are
-    merged in a shuffle. What a task holds depends neither on the number of queries nor on the table.
-    """
-    if isinstance(queries, list):
-        queries = emb.sparkSession.createDataFrame([(i,) for i in queries], "id bigint")
-    asked = emb.select("id", "v").join(queries.select("id").distinct(), "id", "left_semi")
-    q_blocks, t_blocks = max(1, -(-asked.count() // QUERY_BLOCK)), max(1, -(-emb.count() // TABLE_BLOCK))
-    blocks = [F.pmod(F.xxhash64("id"), F.lit(q_blocks)).alias("qb"), F.pmod(F.xxhash64("id", "v"), F.lit(t_blocks)).alias("tb")]
-    left = asked.select(F.col("id").alias("query"), F.col("v").alias("own"), blocks[0], F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(t_blocks - 1).cast("bigint"))).alias("tb"))
-    right = emb.select(F.col("id").alias("id"), F.col("v").alias("v"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(q_blocks - 1).cast("bigint"))).alias("qb"), blocks[1])
-    cost = COSTS[metric]
-
-    def best(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        if not len(ours) or not len(theirs):
-            return pd.DataFrame({"query": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "cost": np.zeros(0)})
-        qid, ids = ours["query"].to_numpy(), theirs["id"].to_numpy()
-        c = cost(np.stack(ours["own"].to_numpy()).astype(np.float64), np.stack(theirs["v"].to_numpy()).astype(np.float64))
-        c[qid[:, None] == ids[None, :]] = np.inf
-        last = np.partition(c, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
-        row, col = np.nonzero(~(c > last[:, None]) & (qid[:, None] != ids[None, :]))  # ties of the last one too
-        order = np.lexsort((ids[col], c[row, col], row))
-        row, col = row[order], col[order]
-        nth = np.arange(len(row)) - np.searchsorted(row, row)
-        row, col = row[nth < k], col[nth < k]
-        return pd.DataFrame({"query": qid[row], "id": ids[col], "cost": c[row, col]})
-
-    partial = left.groupBy("qb", "tb").cogroup(right.groupBy("qb", "tb")).applyInPandas(best, "query long, id long, cost double")
-    window = Window.partitionBy("query").orderBy("cost", "id")
-    score = -F.col("cost") if metric == "cosine" else F.col("cost")
-    return (
-        partial.withColumn("rank", F.row_number().over(window))
-        .where(F.col("rank") <= k)
-        .select("query", "id", score.alias("score"), "rank")
-    )
-
-
 # -- sums ----------------------------------------------------------------------------------
 
 def sum_vectors(df: DataFrame, key: str, v: str, d: int, weight: Column | None = None) -> DataFrame:

@@ -7,8 +7,15 @@ partitions, so one key may hold any share of the rows.
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
 from saddle.storage import materialise
 
@@ -54,24 +61,85 @@ def running_total(df: DataFrame, value: str, order: list, name: str) -> DataFram
     return stored.withColumn(name, before + F.sum(value).over(inside)).drop("_pid", "_pos")
 
 
-def running_in_keys(stored: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
-    """Inclusive running sum of the whole-number ``value`` inside each key of ``ordered`` rows that were put in order by ``keys`` first.
+def _changes(array: pa.Array) -> np.ndarray:
+    """Whether each value but the first differs from the one before it; null equals null, and NaN NaN."""
+    later, earlier = array[1:], array[:-1]
+    differ = pc.not_equal(later, earlier)
+    if pa.types.is_floating(array.type):
+        differ = pc.and_(differ, pc.invert(pc.and_(pc.is_nan(later), pc.is_nan(earlier))))
+    one_null = pc.xor(pc.is_null(later), pc.is_null(earlier))
+    return np.asarray(pc.if_else(pc.is_null(differ), one_null, differ))
+
+
+def _numbered(names: list[str], gap: int | None):
+    """Adds to a range's sorted rows ``_pid``, ``_pos``, ``_run`` (openings of the key so far) and ``_ends`` (the key's last row)."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pid, pos, run = TaskContext.get().partitionId(), 0, 0
+        held, last = None, None
+
+        def out(batch: pa.RecordBatch, runs: np.ndarray, ends: np.ndarray, at: int) -> pa.RecordBatch:
+            more = [pa.array(np.full(len(runs), pid, np.int32)), pa.array(np.arange(at, at + len(runs))), pa.array(runs), pa.array(ends)]
+            return pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "_pid", "_pos", "_run", "_ends"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.ones(batch.num_rows, dtype=bool)
+            seen = batch if last is None else pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+            first = int(last is None)
+            change = np.zeros(seen.num_rows - 1, dtype=bool)
+            for name in names:
+                change |= _changes(seen[name])
+            new[first:] = change
+            opens = np.ones(batch.num_rows, dtype=bool)
+            if gap is not None:
+                known, at = np.asarray(seen["_at"].is_valid()), np.asarray(pc.fill_null(seen["_at"], 0))
+                opens[first:] = change | ~known[:-1] | (np.diff(at) > gap)
+            total = np.cumsum(opens) + run
+            # openings before the key's first row, carried along its rows
+            base = np.maximum.accumulate(np.where(new, total - 1, 0))
+            runs = total - np.where(np.maximum.accumulate(new), base, 0)
+            if held is not None:
+                held[2][-1] = new[0]
+                yield out(*held)
+            ends = np.append(new[1:], True)
+            held, last = (batch, runs, ends, pos), batch.slice(batch.num_rows - 1)
+            pos, run = pos + batch.num_rows, int(runs[-1])
+        if held is not None:
+            yield out(*held)
 
-    A sum runs inside (range, key), which no key can make larger than a range. Only a range's first
-    key goes on from earlier ranges, and there it is their last key; what it has gathered by then is
-    one number per range.
+    return work
+
+
+def counted(df: DataFrame, keys: list[str], order: list, name: str, at: Column | None = None, gap: int | None = None, last: str | None = None) -> DataFrame:
+    """Adds ``name``: the row's number from 1 inside its key in ``order``, null being a key.
+
+    With ``gap``, only rows whose whole number ``at`` is more than ``gap`` past that of the row before count, those behind a null
+    and each key's first. ``last`` names a column that is true on each key's last row.
+
+    Rows are sorted by ranges of (keys, order), so a key fills as many ranges as it needs, and are numbered while they are
+    written; only a range's first key goes on from earlier ranges, with one number per range.
     """
-    key = F.struct(*keys)
-    per_key = stored.groupBy("_pid", *keys).agg(F.sum(value).alias("_n"), F.min("_pos").alias("_low"))
-    ends = per_key.groupBy("_pid").agg(F.min_by(key, "_low").alias("_first"), F.max_by(key, "_low").alias("_last"),
-                                       F.max_by("_n", "_low").alias("_n"))
-    gathered = ends.select("_pid", F.col("_last").alias("_key"), "_n", F.lit(False).alias("_asks"))
-    asked = ends.select("_pid", F.col("_first").alias("_key"), F.lit(0).cast("bigint").alias("_n"), F.lit(True).alias("_asks"))
+    by = [*[F.col(k) for k in keys], *order]
+    ranged = df.withColumn("_at", F.lit(0).cast("bigint") if at is None else at.cast("bigint")).repartitionByRange(*by).sortWithinPartitions(*by)
+    fields = [*ranged.schema.fields, *[StructField(n, t) for n, t in (("_pid", IntegerType()), ("_pos", LongType()), ("_run", LongType()), ("_ends", BooleanType()))]]
+    stored = materialise(ranged.mapInArrow(_numbered(keys, gap), StructType(fields)))
+
+    key, row = F.struct(*keys), Window.orderBy("_pid")
+    side = F.struct(key.alias("key"), "_at", "_run", "_pos")
+    edges = stored.groupBy("_pid").agg(F.min_by(side, "_pos").alias("a"), F.max_by(side, "_pos").alias("z"))  # one row a range
+    before, after = F.lag("z").over(row), F.lead("a.key").over(row)
+    goes_on = before["key"].eqNullSafe(F.col("a.key")) & before.isNotNull()
+    joined = F.coalesce(F.lit(False) if gap is None else goes_on & (F.col("a._at") - before["_at"] <= gap), F.lit(False)).cast("int")
+    edges = edges.withColumns({"_joined": joined, "_stops": ~(after.eqNullSafe(F.col("z.key")) & after.isNotNull())})
+    own = F.col("z._run") - F.when(F.col("a.key").eqNullSafe(F.col("z.key")), F.col("_joined")).otherwise(0)
+    gathered = edges.select("_pid", F.col("z.key").alias("_key"), own.alias("_n"), F.lit(False).alias("_asks"), "_joined", "_stops", F.col("z._pos").alias("_last"))
+    asked = edges.select("_pid", F.col("a.key").alias("_key"), F.lit(0).cast("bigint").alias("_n"), F.lit(True).alias("_asks"), "_joined", "_stops", F.col("z._pos").alias("_last"))
     earlier = Window.partitionBy("_key").orderBy("_pid").rangeBetween(Window.unboundedPreceding, -1)
-    carried = gathered.unionByName(asked).withColumn("_carry", F.sum("_n").over(earlier)).where("_asks").select(
-        "_pid", "_key", F.coalesce("_carry", F.lit(0)).alias("_carry"))
-    inside = Window.partitionBy("_pid", *keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    # one row per range
-    joined = stored.join(F.broadcast(carried), "_pid")
-    carry = F.when(key.eqNullSafe(F.col("_key")), F.col("_carry")).otherwise(F.lit(0))
-    return joined.withColumn(name, (F.sum(value).over(inside) + carry).cast("bigint")).drop("_key", "_carry")
+    carried = gathered.unionByName(asked).withColumn("_carry", F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_joined")).where("_asks")
+    whole = stored.join(F.broadcast(carried.select("_pid", "_key", "_carry", "_stops", "_last")), "_pid")
+    number = F.col("_run") + F.when(key.eqNullSafe(F.col("_key")), F.col("_carry")).otherwise(0)
+    out = [*df.columns, number.cast("bigint").alias(name)]
+    if last is not None:
+        out.append(F.when(F.col("_pos") == F.col("_last"), F.col("_stops")).otherwise(F.col("_ends")).alias(last))
+    return whole.select(*out)

@@ -9,6 +9,7 @@ from saddle.operators import features as f
 from saddle.operators import metrics as m
 from saddle.operators import splits as s
 from saddle.operators import vectors as v
+from saddle.operators.neighbours import nearest
 from saddle.plans.registry import query, r, rs, vec_rows
 from saddle.plans.tables import (
     CUSTOMER_LABELS, FEATURES, VIEWS, WIDTH, customer_features, customer_labels, start_sql, start_vectors, table, vectors,
@@ -18,31 +19,35 @@ from saddle.skew import lookup_join
 from saddle.storage import materialise
 
 # -- neighbours ----------------------------------------------------------------------------
-# fixed values: the items whose neighbours are asked for
-ASKED = [0, 1, 2, 3, 5, 8, 13, 21, 34, 55]
+# asked for every twentieth id, a set that grows with the table; each search has two names
 
-
-def _nearest_sql(source, cost, score, asked=f"q.id IN ({', '.join(map(str, ASKED))})"):
+def _nearest_sql(source, cost, score):
     return (f"WITH {source}, scored AS (SELECT q.id AS query, e.id, {cost} AS cost FROM space q JOIN space e ON e.id <> q.id "
-            f"WHERE {asked}) SELECT query, id, {rs(score)} AS score, CAST(rank AS INTEGER) AS rank "
+            f"WHERE q.id % 20 = 0) SELECT query, id, {rs(score)} AS score, CAST(rank AS INTEGER) AS rank "
             "FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cost, id) AS rank FROM scored) WHERE rank <= 10")
 
 
+def _neighbours(space, metric):
+    return nearest(space, space.where("id % 20 = 0").select("id"), 10, metric).withColumn("score", r("score"))
+
+
 _SIMILAR = vectors_sql(name="space"), "-list_cosine_similarity(q.v, e.v)", "-cost"
 
 
+@query("most_similar_every_20th", _nearest_sql(*_SIMILAR))
 @query("most_similar", _nearest_sql(*_SIMILAR))
 def _similar(spark, sf):
-    return v.nearest(vectors(spark, sf), ASKED, 10).withColumn("score", r("score"))
+    return _neighbours(vectors(spark, sf), "cosine")
 
 
 _GAP = "list_sum(list_transform(list_zip(q.v, e.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
 _POINCARE = (vectors_sql(0.5, "space"), f"acosh(1 + 2 * {_GAP} / ((1 - list_dot_product(q.v, q.v)) * (1 - list_dot_product(e.v, e.v))))", "cost")
 
 
+@query("knn_poincare_every_20th", _nearest_sql(*_POINCARE))
 @query("knn_poincare", _nearest_sql(*_POINCARE))
 def _knn_poincare(spark, sf):
-    return v.nearest(vectors(spark, sf, 0.5), ASKED, 10, "poincare").withColumn("score", r("score"))
+    return _neighbours(vectors(spark, sf, 0.5), "poincare")
 
 
 _HYPER = (vectors_sql(0.5, "ball") + ", space AS (SELECT id, list_concat([(1 + list_dot_product(v, v)) / (1 - list_dot_product(v, v))], "
@@ -50,36 +55,10 @@ _HYPER = (vectors_sql(0.5, "ball") + ", space AS (SELECT id, list_concat([(1 + l
 _LORENTZ = _HYPER, "acosh(greatest(2 * q.v[1] * e.v[1] - list_dot_product(q.v, e.v), 1.0))", "cost"
 
 
+@query("knn_lorentz_every_20th", _nearest_sql(*_LORENTZ))
 @query("knn_lorentz", _nearest_sql(*_LORENTZ))
 def _knn_lorentz(spark, sf):
-    space = vectors(spark, sf, 0.5).withColumn("v", g.poincare_to_hyperboloid("v"))
-    return v.nearest(space, ASKED, 10, "lorentz").withColumn("score", r("score"))
-
-
-# the same searches for every twentieth id, a set that grows with the table
-_EVERY = "q.id % 20 = 0"
-
-
-def _twentieth(space):
-    return space.where("id % 20 = 0").select("id")
-
-
-@query("most_similar_every_20th", _nearest_sql(*_SIMILAR, _EVERY))
-def _similar_every(spark, sf):
-    space = vectors(spark, sf)
-    return v.nearest(space, _twentieth(space), 10).withColumn("score", r("score"))
-
-
-@query("knn_poincare_every_20th", _nearest_sql(*_POINCARE, _EVERY))
-def _knn_poincare_every(spark, sf):
-    space = vectors(spark, sf, 0.5)
-    return v.nearest(space, _twentieth(space), 10, "poincare").withColumn("score", r("score"))
-
-
-@query("knn_lorentz_every_20th", _nearest_sql(*_LORENTZ, _EVERY))
-def _knn_lorentz_every(spark, sf):
-    space = vectors(spark, sf, 0.5).withColumn("v", g.poincare_to_hyperboloid("v"))
-    return v.nearest(space, _twentieth(space), 10, "lorentz").withColumn("score", r("score"))
+    return _neighbours(vectors(spark, sf, 0.5).withColumn("v", g.poincare_to_hyperboloid("v")), "lorentz")
 
 
 @query("prod2cust_sum", f"WITH {VIEWS}, {start_sql(2, 0.5)} SELECT customer_id, {rs('sum(w_in[1])')} AS v1, {rs('sum(w_in[2])')} AS v2 "

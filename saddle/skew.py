@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saddle.ordering import ordered, running_in_keys
+from saddle.ordering import counted
 
 
 def lookup_join(big: DataFrame, small: DataFrame, on: str, how: str = "inner") -> DataFrame:
@@ -27,9 +27,8 @@ def null_safe_join(big: DataFrame, small: DataFrame, on: str) -> DataFrame:
 
 def grouped_rank(df: DataFrame, keys: list[str], order: list, name: str = "rank", start: int = 0) -> DataFrame:
     """Row number inside each key, from ``start``; null keys are a group."""
-    stored = ordered(df, [F.col(k) for k in keys] + list(order))
-    counted = running_in_keys(stored, keys, F.lit(1), name)
-    return counted.withColumn(name, F.col(name) + F.lit(start - 1)).drop("_pid", "_pos")
+    numbered = counted(df, keys, list(order), name)
+    return numbered if start == 1 else numbered.withColumn(name, F.col(name) + F.lit(start - 1))
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -246,3 +246,36 @@ def test_no_row_is_lost(spark, tmp_path):
     scored = ev.one_vs_rest_scores(data, truth, 1, ev.CLASSIFIERS["one_vs_rest"]).collect()
     # trained on labelled rows only, every row would look like label 0
     assert len(scored) == 40 and all((r["p"] > 0.5) == (r["id"] % 4 == 0) for r in scored)
+
+
+@pytest.mark.parametrize("parts,batch", [(1, 10_000), (5, 3), (40, 7)])
+def test_numbers_inside_keys_over_ranges_and_batches(spark, parts, batch):
+    """Keys that fill many ranges, null and NaN keys, keys of one row, gaps that fall between ranges."""
+    import random
+
+    from saddle.ordering import counted
+
+    rng = random.Random(2)
+    rows = [(rng.choice([1.0, 1.0, 1.0, 2.0, None, float("nan"), float(i)]), rng.choice(["a", None]), rng.randrange(500), i) for i in range(600)]
+    order = lambda r: (r[0] is not None, r[0] if r[0] == r[0] and r[0] is not None else 1e9, r[1] is not None, r[1] or "", r[2], r[3])
+    same = lambda r: (repr(r[0]), r[1])
+    want, number, sessions, before = {}, 0, 0, None
+    ordered = sorted(rows, key=order)
+    for i, r in enumerate(ordered):
+        new = before is None or same(before) != same(r)
+        number = 1 if new else number + 1
+        sessions = 1 if new else sessions + (r[2] - before[2] > 9)
+        want[r[3]] = (number, sessions, i + 1 == len(ordered) or same(ordered[i + 1]) != same(r))
+        before = r
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        for k, v in zip(old, (str(parts), "false", str(batch))):
+            spark.conf.set(k, v)
+        df = spark.createDataFrame(rows, "a double, b string, t bigint, id bigint")
+        got = counted(df, ["a", "b"], [F.col("t"), F.col("id")], "n", last="z").select("id", "n", "z").collect()
+        assert {r["id"]: (r["n"], r["z"]) for r in got} == {i: (n, z) for i, (n, _, z) in want.items()}
+        got = counted(df, ["a", "b"], [F.col("t"), F.col("id")], "n", at=F.col("t"), gap=9).select("id", "n").collect()
+        assert {r["id"]: r["n"] for r in got} == {i: s for i, (_, s, _) in want.items()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)

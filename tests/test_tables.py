@@ -118,13 +118,16 @@ def test_ragged_walks(spark, tmp_path):
     assert sorted(r["path"] for r in text.read_walks(spark, str(tmp_path)).collect()) == [[1, 2, 3], [4, 5], [6]]
 
 
-def test_long_sentences_are_kept_whole(spark, tmp_path):
-    rows = [(0, i, f"a{i}") for i in range(3)] + [(1, i, f"b{i}") for i in range(9)]
-    tokens = spark.createDataFrame(rows, "sentence_id bigint, pos bigint, token string")
+def test_long_sentences_are_kept_whole(spark, tmp_path, monkeypatch):
+    """A sentence beyond ``LINE_TOKENS`` tokens is several lines and one sentence again when it is read."""
+    monkeypatch.setattr(text, "LINE_TOKENS", 5)
+    rows = [("0", i, f"a{i}") for i in range(3)] + [("1", i, f"b{i}") for i in range(9)]
+    tokens = spark.createDataFrame(rows, "sentence_id string, pos bigint, token string")
     path = str(tmp_path / "s")
-    text.write_sentences(tokens, path, max_tokens=5)
-    assert [r["tokens"] for r in text.read_sentence_lines(spark, path).collect()] == [["a0", "a1", "a2"]]
-    assert spark.read.parquet(f"{path}/long").count() == 9
+    text.write_sentences(tokens, path)
+    lines = sorted(r["value"] for r in spark.read.text(path).collect())
+    assert lines == ["0\t0\ta0 a1 a2", "1\t0\tb0 b1 b2 b3 b4", "1\t1\tb5 b6 b7 b8"]
+    assert sorted(tuple(r) for r in text.read_sentences(spark, path).collect()) == sorted(rows)
 
 
 @pytest.mark.parametrize("body,sort", [("2 3\n7 1.0 2.0 3.0\n4 0.5 0.25 0\n", True), ("7  1.0   2.0 3.0\n4 0.5 0.25 0\n", True)])
@@ -132,14 +135,3 @@ def test_embedding_text(spark, tmp_path, body, sort):
     (tmp_path / "e.emd").write_text(body)
     got = [(r["id"], r["v"]) for r in text.read_embedding_text(spark, str(tmp_path), sort=sort).collect()]
     assert got == [(4, [0.5, 0.25, 0.0]), (7, [1.0, 2.0, 3.0])]
-
-
-def test_nearest_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "QUERY_BLOCK", 2)
-    pts = {i: [math.cos(i / 5), math.sin(i / 5)] for i in range(40)}
-    emb = spark.createDataFrame(list(pts.items()), "id bigint, v array<double>").repartition(5)
-    got = vectors.nearest(emb, [0, 10, 20, 30, 39], 3).collect()
-    for q in (0, 10, 20, 30, 39):
-        want = sorted((i for i in pts if i != q), key=lambda i: (-(pts[q][0] * pts[i][0] + pts[q][1] * pts[i][1]), i))[:3]
-        mine = [r["id"] for r in sorted((r for r in got if r["query"] == q), key=lambda r: r["rank"])]
-        assert set(mine) == set(want)
