@@ -7,11 +7,13 @@ key is listed when the first level that it fails is odd. The answer is exact for
 universe, and a probe is a few bit tests on words that each task holds: no join.
 
 A level's size follows from its keys: ``BITS`` bits a key. The keys are dealt over segments by a
-hash so that no filter exceeds ``SEGMENT_KEYS`` listed keys (about 4 MB over all levels); the
-segments of a long list are probed one after another, each over its own rows.
+hash, as many as keep every level of a segment at about ``SEGMENT_KEYS`` keys, whether the list is long or the
+corpus has so many other keys that level 1 would be large (1.3 MB a level). A scan probes up to ``SEGMENTS``
+segments, a row only that of its key; more take further scans, each over the rows of its own segments.
 """
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -21,7 +23,7 @@ from saddle.storage import materialise
 
 BITS = 10
 HASHES = 5
-SEGMENT_KEYS = 1 << 20
+SEGMENT_KEYS, SEGMENTS = 1 << 20, 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: (action, host, path); the longest rule that fits decides.
@@ -97,14 +99,19 @@ def mark_listed(rows: DataFrame, key: str, listed: DataFrame, name: str = "liste
     wanted = listed.select("key", F.lit(True).alias("listed"))
     universe = materialise(seen.unionByName(wanted).where(F.col("key").isNotNull())
                            .groupBy("key").agg(F.max("listed").alias("listed")))
-    segments = -(-universe.where("listed").count() // SEGMENT_KEYS) or 1
-    if segments == 1:
-        return rows.withColumn(name, F.col(key).isNotNull() & build_cascade(universe).member(F.col(key)))
-    parts = [rows.where(F.col(key).isNull()).withColumn(name, F.lit(False))]
-    for s in range(segments):
-        cascade = build_cascade(universe.where(_segment(F.col("key"), segments) == s))
-        mine = rows.where(F.col(key).isNotNull() & (_segment(F.col(key), segments) == s))
-        parts.append(mine.withColumn(name, cascade.member(F.col(key))))
+    counts = universe.agg(F.count_if("listed").alias("inside"), F.count_if(~F.col("listed")).alias("outside")).first()
+    # a level holds the listed keys or what the level before lets pass wrongly, so the larger of the first two bounds them all
+    largest = max(counts["inside"], math.ceil(counts["outside"] * (1 - math.exp(-HASHES / BITS)) ** HASHES))
+    segments = max(1, -(-largest // SEGMENT_KEYS))
+    parts = []
+    for first in range(0, segments, SEGMENTS):
+        own = range(first, min(first + SEGMENTS, segments))
+        answer = F.lit(False)
+        for s in own:
+            cascade = build_cascade(universe.where(_segment(F.col("key"), segments) == s) if segments > 1 else universe)
+            answer = F.when(_segment(F.col(key), segments) == s, cascade.member(F.col(key))).otherwise(answer) if segments > 1 else cascade.member(F.col(key))
+        mine = rows if segments <= SEGMENTS else rows.where(F.coalesce(_segment(F.col(key), segments), F.lit(0)).between(own[0], own[-1]))
+        parts.append(mine.withColumn(name, F.col(key).isNotNull() & answer))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -8,8 +8,9 @@ that Spark commits counts, so files of lost or repeated attempts are never read.
 Reading: every file is cut into byte ranges. A task looks for the gzip magic in its range, and takes
 a place for a member when its header decodes, its content starts as a WARC record and, if the
 member names its place (a gzip extra field that the writer adds), that place is its own. The task
-owns the records that start inside its range, follows them member by member and reads the last one
-beyond the range's end. One member is in memory at a time.
+owns the members that start inside its range, follows them one by one and reads the last one beyond the
+range's end. A member may hold any number of records; one record is in memory at a time. URLs come back as
+they were written: one that a header line cannot hold is percent-encoded as a whole and marked.
 
 Null payloads are empty, null ids and urls have no header line and come back null. Rows that repeat
 the largest id of a payload are all responses. Other columns are not read. An empty table gives no
@@ -17,6 +18,7 @@ archive and an empty result.
 """
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -37,6 +39,13 @@ READ_BYTES = 256 << 10
 MAGIC = b"\x1f\x8b\x08"
 _HEAD = b"WARC/1."
 _URN = "urn:saddle:page:"
+#: Says that the URI is percent-encoded as a whole, since a header line cannot hold it.
+_ESCAPED = "WARC-Saddle-URI-Encoding"
+_CONTROL = re.compile(r"[\x00-\x1f\x7f-\x9f\u2028\u2029]")
+#: Bytes of a gzip header that are looked into.
+LONGEST_HEADER = 1 << 20
+#: Byte ranges of one reading task.
+RANGES = 4
 #: Subfield of the gzip header that holds the member's offset in its file.
 _PLACE = b"AT"
 
@@ -62,7 +71,10 @@ def record(page, url, payload: bytes, digest: str, size: int, original) -> bytes
     if page is not None:
         lines.append(f"WARC-Record-ID: {_urn(page)}")
     if url is not None:
-        lines.append(f"WARC-Target-URI: {quote(url, safe='%/:=&?~#+!$,;@()*[]' + chr(39))}")
+        plain = url == url.strip() and not _CONTROL.search(url)
+        lines.append(f"WARC-Target-URI: {url if plain else quote(url, safe='')}")
+        if not plain:
+            lines.append(f"{_ESCAPED}: percent")
     if original is not None:
         lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
         lines.append(f"WARC-Refers-To: {_urn(original)}")
@@ -159,15 +171,21 @@ def _place(head: bytes) -> int | None:
 
 
 def _starts_record(window: _Window) -> bool:
-    """Whether a member with a WARC record starts at the window's place."""
-    window.need(4096)
-    named = _place(window.data[:4096])
-    if named is not None and named != window.at:
-        return False
-    try:
-        return zlib.decompressobj(31).decompress(window.data[:4096], len(_HEAD)) == _HEAD
-    except zlib.error:
-        return False
+    """Whether a member with a WARC record starts at the window's place; reads on while the gzip header is not complete."""
+    size = 4096
+    while True:
+        window.need(size)
+        head = window.data[:size]
+        named = _place(head)
+        if named is not None and named != window.at:
+            return False
+        try:
+            got = zlib.decompressobj(31).decompress(head, len(_HEAD))
+        except zlib.error:
+            return False
+        if got or len(head) < size or size >= LONGEST_HEADER:
+            return got == _HEAD
+        size *= 4
 
 
 def _next_member(window: _Window, end: int) -> bool:
@@ -190,45 +208,92 @@ def _next_member(window: _Window, end: int) -> bool:
     return False
 
 
-def _member(window: _Window) -> bytes | None:
-    """The content of the member at the window's place, which moves behind it; None if it is damaged."""
-    unpacker, parts, used = zlib.decompressobj(31), [], 0
+def _pieces(window: _Window) -> Iterator[bytes | None]:
+    """The content of the member at the window's place, piece by piece; the window moves behind it. None if it is damaged."""
+    unpacker = zlib.decompressobj(31)
     try:
         while not unpacker.eof:
             if not window.data and not window.fetch():
-                return None
+                yield None
+                return
             data, window.data = window.data, b""
             window.at += len(data)
-            parts.append(unpacker.decompress(data))
-            used += len(data)
+            piece = unpacker.decompress(data, READ_BYTES)
+            while piece:
+                yield piece
+                piece = unpacker.decompress(unpacker.unconsumed_tail, READ_BYTES) if unpacker.unconsumed_tail else b""
     except zlib.error:
-        return None
-    rest = unpacker.unused_data
-    window.at, window.data = window.at - len(rest), rest
-    return b"".join(parts)
+        yield None
+        return
+    window.at, window.data = window.at - len(unpacker.unused_data), unpacker.unused_data
 
 
-def members(file, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """(offset, content) of the members that start in ``[start, end)``."""
+def _fields(head: bytes) -> dict[str, str]:
+    """Header lines by lower-case name."""
+    fields = {}
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        name, _, value = line.partition(":")
+        fields[name.strip().lower()] = value.strip()
+    return fields
+
+
+def _split(pieces: Iterator[bytes | None]) -> Iterator[tuple[dict[str, str], bytes] | None]:
+    """Header and block of each record of a member; one record is held. None where the member is damaged or goes on as something else.
+
+    A record is given out when the next one starts or the member has ended well. A member that ends inside a block, as one
+    whose length is wrong, gives what there is.
+    """
+    held, ready = bytearray(), None
+    for piece in pieces:
+        if piece is None:
+            yield None
+            return
+        held += piece
+        while held:
+            del held[:len(held) - len(held.lstrip(b"\r\n"))]
+            if held[:len(_HEAD)] != _HEAD[:len(held)]:
+                yield from [ready] if ready else []
+                yield None
+                return
+            end = held.find(b"\r\n\r\n")
+            fields = _fields(bytes(held[:end])) if end >= 0 else {}
+            length = fields.get("content-length", "")
+            if not length.isdigit() or len(held) < end + 4 + int(length):
+                break
+            if ready:
+                yield ready
+            ready = fields, bytes(held[end + 4:end + 4 + int(length)])
+            del held[:end + 4 + int(length)]
+    if ready:
+        yield ready
+    end = held.find(b"\r\n\r\n")
+    if end >= 0:
+        yield _fields(bytes(held[:end])), bytes(held[end + 4:])
+
+
+def members(file, size: int, start: int, end: int) -> Iterator[tuple[int, Iterator]]:
+    """(offset, records) of the members that start in ``[start, end)``; records must be read before the next member."""
     window = _Window(file, size, start)
     while _next_member(window, end):
         at = window.at
-        content = _member(window)
-        if content is None:
+        whole = True
+
+        def records():
+            nonlocal whole
+            for found in _split(_pieces(window)):
+                if found is None:
+                    whole = False
+                else:
+                    yield found
+
+        yield at, records()
+        if not whole:
             window = _Window(file, size, at + 1)
-        else:
-            yield at, content
 
 
-def parse(content: bytes) -> tuple[dict[str, str], bytes]:
-    """(header lines by lower-case name, payload behind the HTTP header) of a record."""
-    head, _, rest = content.partition(b"\r\n\r\n")
-    fields = {}
-    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
-        name, _, value = line.partition(":")
-        fields[name.strip().lower()] = value.strip()
-    block = rest[:int(fields.get("content-length", len(rest)))]
-    return fields, block.partition(b"\r\n\r\n")[2] if "msgtype=response" in fields.get("content-type", "") else block
+def payload_of(fields: dict[str, str], block: bytes) -> bytes:
+    """The block behind its HTTP header, if it has one."""
+    return block.partition(b"\r\n\r\n")[2] if "msgtype=response" in fields.get("content-type", "") else block
 
 
 def list_archives(spark: SparkSession, folder: str) -> DataFrame:
@@ -247,7 +312,9 @@ def read_archives(files: DataFrame, split: int = SPLIT_BYTES) -> DataFrame:
     Size and digest of a response are taken from its payload, of a revisit from its header.
     """
     ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split).cast("bigint"))).alias("start"))
-    ranges = ranges.repartition("path", "start")
+    ranges = materialise(ranges)
+    # a given number of partitions is not merged, however small the rows that name the ranges are
+    ranges = ranges.repartition(max(1, -(-ranges.count() // RANGES)), "path", "start")
     names = ["path", "offset", "page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
     types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
 
@@ -261,19 +328,21 @@ def read_archives(files: DataFrame, split: int = SPLIT_BYTES) -> DataFrame:
             for path, length, start in zip(*[batch[c].to_pylist() for c in ("path", "length", "start")]):
                 fs, name = pafs.FileSystem.from_uri(path)
                 with fs.open_input_file(name) as file:
-                    for at, content in members(file, length, start, min(start + split, length)):
-                        fields, payload = parse(content)
-                        kind, url = fields.get("warc-type"), fields.get("warc-target-uri")
-                        if kind == "revisit":
-                            n, digest = int(fields.get("warc-payload-length", 0)), fields.get("warc-payload-digest", "").removeprefix("sha1:")
-                        else:
-                            n, digest = len(payload), sha1(payload).hexdigest()
-                        held.append((path, at, _page(fields.get("warc-record-id")), None if url is None else unquote(url), kind,
-                                     _page(fields.get("warc-refers-to")), n, digest, payload))
-                        size += len(payload) + 256
-                        if size >= 4 << 20:
-                            yield flush()
-                            held, size = [], 0
+                    for at, records in members(file, length, start, min(start + split, length)):
+                        for fields, block in records:
+                            payload = payload_of(fields, block)
+                            kind, url = fields.get("warc-type"), fields.get("warc-target-uri")
+                            if url is not None and _ESCAPED.lower() in fields:
+                                url = unquote(url)
+                            if kind == "revisit":
+                                n, digest = int(fields.get("warc-payload-length", 0)), fields.get("warc-payload-digest", "").removeprefix("sha1:")
+                            else:
+                                n, digest = len(payload), sha1(payload).hexdigest()
+                            held.append((path, at, _page(fields.get("warc-record-id")), url, kind, _page(fields.get("warc-refers-to")), n, digest, payload))
+                            size += len(payload) + 256
+                            if size >= 4 << 20:
+                                yield flush()
+                                held, size = [], 0
         if held:
             yield flush()
 

@@ -109,16 +109,30 @@ def test_cascade_is_exact_on_its_universe(spark):
     assert universe.where(cascade.member(F.col("key")) != F.col("listed")).count() == 0
 
 
-def test_segments_of_a_long_list(spark, monkeypatch):
+@pytest.mark.parametrize("keys,scan", [(300, 2), (300, 16), (700, 1)])
+def test_segments_of_a_long_list(spark, monkeypatch, keys, scan):
     from saddle.llm import urlfilter
 
-    monkeypatch.setattr(urlfilter, "SEGMENT_KEYS", 300)
-    keys = spark.range(3000).selectExpr("CASE WHEN id % 50 = 1 THEN NULL ELSE concat('k', id) END AS key", "id")
-    got = mark_listed(keys, "key", spark.range(0, 6000, 3).selectExpr("concat('k', id) AS key"))
+    monkeypatch.setattr(urlfilter, "SEGMENT_KEYS", keys)
+    monkeypatch.setattr(urlfilter, "SEGMENTS", scan)
+    table = spark.range(3000).selectExpr("CASE WHEN id % 50 = 1 THEN NULL ELSE concat('k', id) END AS key", "id")
+    got = mark_listed(table, "key", spark.range(0, 6000, 3).selectExpr("concat('k', id) AS key"))
     assert got.count() == 3000
     assert got.where("listed != (key IS NOT NULL AND id % 3 = 0)").count() == 0
 
 
+def test_segments_follow_the_keys_that_pass_by_chance(spark, monkeypatch):
+    """Also a short list over very many keys gets segments, so that level 1 stays small."""
+    from saddle.llm import urlfilter
+
+    built = []
+    monkeypatch.setattr(urlfilter, "SEGMENT_KEYS", 100)
+    monkeypatch.setattr(urlfilter, "build_cascade", lambda u, real=build_cascade: built.append(u) or real(u))
+    table = spark.range(40_000).selectExpr("concat('k', id) AS key", "id")
+    got = mark_listed(table, "key", spark.range(20).selectExpr("concat('k', id) AS key"))
+    assert got.where("listed != (id < 20)").count() == 0 and len(built) == 4
+
+
 def test_rules_and_odd_urls(rows):
     urls = {
         "http://A.example.NET/en/1": ("a.example.net", "/en/1", "example.net/en/", "allow"),

@@ -50,7 +50,8 @@ def test_machine(rows, roles, valid):
 # -- archives ------------------------------------------------------------------------------
 
 def _read(data: bytes, start: int, end: int):
-    return list(warc.members(io.BytesIO(data), len(data), start, end))
+    found = [(at, list(records)) for at, records in warc.members(io.BytesIO(data), len(data), start, end)]
+    return [(at, records) for at, records in found if records]
 
 
 def test_every_split_finds_every_record_once():
@@ -77,7 +78,7 @@ def test_foreign_members_and_damage():
         places.append(len(data))
         data += gzip.compress(r)
     found = [x for s in range(0, len(data), 64) for x in _read(data, s, min(s + 64, len(data)))]
-    assert [a for a, _ in found] == places and [c for _, c in found] == records
+    assert [a for a, _ in found] == places and [warc.payload_of(*c[0]) for _, c in found] == [b"p" * i * 50 for i in range(20)]
     broken = bytearray(data)
     broken[places[7] + 30] ^= 0xFF
     assert [a for a, _ in _read(bytes(broken), 0, len(broken))] == places[:7] + places[8:]
@@ -85,6 +86,32 @@ def test_foreign_members_and_damage():
     assert zlib.decompress(data[:places[1]], 31) == records[0]
 
 
+def test_members_of_many_records_and_long_headers():
+    """A member may hold several records or the whole archive; gzip headers may be long."""
+    records = [warc.record(i, f"http://x/{i}", bytes([i]) * (i * 977), "0", i * 977, None) for i in range(30)]
+    want = [bytes([i]) * (i * 977) for i in range(30)]
+    for cut in (2, 7, 30):
+        data = b"".join(gzip.compress(b"".join(records[i:i + cut])) for i in range(0, 30, cut))
+        for split in (50, len(data)):
+            found = [x for s in range(0, len(data), split) for x in _read(data, s, min(s + split, len(data)))]
+            assert [warc.payload_of(*r) for _, c in found for r in c] == want
+    # an extra field of 10 KB, and a name of 200 KB
+    body = gzip.compress(records[3])[10:]
+    long = warc.MAGIC + b"\x04" + b"\0" * 6 + (10_000).to_bytes(2, "little") + b"XX" + (9_996).to_bytes(2, "little") + b"\x1f\x8b\x08" * 3332 + body
+    named = warc.MAGIC + b"\x08" + b"\0" * 6 + b"n" * 200_000 + b"\0" + body
+    found = _read(long + named, 0, len(long + named))
+    assert [a for a, _ in found] == [0, len(long)] and all(warc.payload_of(*c[0]) == want[3] for _, c in found)
+    # what follows a record and is none ends the member
+    odd = gzip.compress(records[1] + b"something else" * 100) + gzip.compress(records[2])
+    assert [warc.payload_of(*r) for _, c in _read(odd, 0, len(odd)) for r in c] == want[1:3]
+
+
+@pytest.mark.parametrize("url", ["http://a.org/x%20y?q=%2Fz", "http://a/ä b", " http://a/", "a\r\nContent-Length: 0", "%", ""])
+def test_urls_come_back_as_written(spark, rows, url):
+    files = warc.write_archives(rows("page_id long, url string, html string", [(1, url, "x")]), warc.archive_folder(spark))
+    assert [(r["url"], r["payload"]) for r in warc.read_archives(files).collect()] == [(url, b"x")]
+
+
 def test_archives_of_odd_rows(spark, rows, monkeypatch):
     same, small = "x" * 1000, "y" * 999
     data = [(i, "http://a/ä b\r\n%20", same, "q") for i in range(200)] + [(500 + i, None, small, "q") for i in range(3)]
@@ -102,7 +129,8 @@ def test_archives_of_odd_rows(spark, rows, monkeypatch):
             assert (r["record_type"], r["refers_to"]) == ("response", None)
         text = {d[0]: d[2] or "" for d in data}[r["page_id"]]
         assert (r["payload_bytes"], r["payload_digest"]) == (len(text.encode()), sha1(text.encode()).hexdigest())
-        assert r["url"] == {d[0]: d[1] for d in data}[r["page_id"]].replace("%20", " ") if r["url"] else r["url"] is None
+        assert r["url"] == {d[0]: d[1] for d in data}[r["page_id"]]
+    assert warc.read_archives(files, 100).rdd.getNumPartitions() > 8  # however small the list of ranges is
     none = warc.write_archives(pages.limit(0), warc.archive_folder(spark))
     assert warc.read_archives(none).count() == 0
 
@@ -188,6 +216,26 @@ def test_links_of_vectors_against_brute_force(spark, monkeypatch):
     assert crosspoly.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dim,most", [(64, 12), (256, 16), (1024, 22)])
+def test_recall_at_the_threshold_by_width(dim, most):
+    """Pairs of exactly the threshold's cosine, other pairs than the number of tables was chosen by."""
+    rng = np.random.default_rng(9)
+    a, b = rng.normal(size=(2, 600, dim))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (a * b).sum(axis=1)[:, None] * a
+    b = 0.9 * a + np.sqrt(1 - 0.81) * b / np.linalg.norm(b, axis=1)[:, None]
+    tables = crosspoly.tables_needed(dim, 0.9)
+    assert tables <= most
+    met = (crosspoly._all_codes(a, tables)[:, :, None] == crosspoly._all_codes(b, tables)[:, None, :]).any(axis=(1, 2))
+    far = np.bitwise_count((crosspoly.sketches(a) ^ crosspoly.sketches(b)).view(np.uint64)).sum(axis=1)
+    assert met.mean() >= 0.99 and (far <= crosspoly.sketch_limit(0.9)).all()
+
+
+def test_too_many_tables_are_refused():
+    with pytest.raises(ValueError, match="tables"):
+        crosspoly.tables_needed(256, 0.3)
+
+
 def test_few_links_are_missed_at_the_threshold():
     """Over 64 dimensions, pairs of exactly the threshold's cosine."""
     assert 5 <= crosspoly.tables_needed(64, 0.9) <= 12
