@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from saddle.functions.uniform import uniform
 from saddle.operators.cleaning import assert_unique_key
-from saddle.ordering import running_total
-from saddle.skew import grouped_rank, null_safe_join
+from saddle.ordering import global_index, running_total
+from saddle.skew import grouped_rank, lookup_join, null_safe_join
+from saddle.storage import materialise
 
 
 def frequent_categories(df: DataFrame, column: str, pct: float) -> list:
@@ -25,33 +26,56 @@ def rare_to_other(df: DataFrame, column: str, pct: float, label: str = "Other")
     return df.withColumn(column, value)
 
 
-def dummies(df: DataFrame, columns: list[str], categories: dict[str, list] | None = None) -> DataFrame:
-    """One 0/1 column per category, named ``column_category``; a plain projection."""
+def dummies(df: DataFrame, categories: dict[str, list]) -> DataFrame:
+    """One 0/1 column per given category, named ``column_category``; a plain projection. A null matches no category."""
     out = df
-    for column in columns:
-        values = (categories or {}).get(column)
-        if values is None:
-            # as many as the table gets columns; rare_to_other bounds them
-            values = sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
-        # a null matches no category
+    for column, values in categories.items():
         flags = {f"{column}_{v}": F.coalesce((F.col(column) == F.lit(v)).cast("int"), F.lit(0)) for v in values}
         out = out.withColumns(flags).drop(column)
     return out
 
 
-def preprocess_features(df: DataFrame, key: str, country: str, gender: str, pct: float = 0.05) -> DataFrame:
+def category_dictionary(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``(column, value, pos)``: every value of every column as a string, numbered from 0 by column and value; null is no value."""
+    return global_index(_long(df, columns).select("column", "value").distinct(), ["column", "value"], "pos")
+
+
+def _long(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]))
+    return df.select(*keep, pairs.alias("p")).select(*keep, "p.*").where("value IS NOT NULL")
+
+
+def dummy_positions(df: DataFrame, key: str, columns: list[str], dictionary: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``df`` with ``ones`` in place of ``columns``: the dictionary's positions of the row's values, ascending; and the dictionary.
+
+    However many values there are, they stay in tables: rows meet the dictionary in a join and hold at most one position a column.
+    Values that a given dictionary lacks have none. ``key`` is unique.
+    """
+    known = materialise(category_dictionary(df, columns)) if dictionary is None else dictionary
+    # at most one entry a column
+    ones = _long(df, columns, key).join(known, ["column", "value"]).groupBy(key).agg(F.sort_array(F.collect_list("pos")).alias("ones"))
+    joined = lookup_join(df.drop(*columns), ones, key, "left")
+    return joined.withColumn("ones", F.coalesce("ones", F.array().cast("array<bigint>"))), known
+
+
+def dense_ones(width: int, ones: str = "ones") -> Column:
+    """The 0/1 vector of a model that takes ``width`` dummies."""
+    return F.transform(F.sequence(F.lit(0), F.lit(max(width, 1) - 1)), lambda i: F.array_contains(ones, i.cast("bigint")).cast("double")) if width else F.array().cast("array<double>")
+
+
+def preprocess_features(df: DataFrame, key: str, country: str, gender: str, pct: float = 0.05) -> tuple[DataFrame, DataFrame]:
     checked = assert_unique_key(df, key)
-    return dummies(rare_to_other(checked, country, pct), [country, gender])
+    return dummy_positions(rare_to_other(checked, country, pct), key, [country, gender])
 
 
 # fixed values: target columns of the customer table
 TARGETS = ["target_sales_value", "target_returned_value", "target_net_value", "target_churned"]
 
 
-def classification_xy(df: DataFrame, key: str, country: str, gender: str, pct: float = 0.05) -> DataFrame:
-    """Features and ``y`` for churn; the target columns are gone."""
-    ready = preprocess_features(df, key, country, gender, pct)
-    return ready.withColumn("y", F.col("target_churned").cast("int")).drop(*TARGETS)
+def classification_xy(df: DataFrame, key: str, country: str, gender: str, pct: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """Features with ``ones`` and ``y`` for churn, the target columns gone; and the dictionary of ``dummy_positions``."""
+    ready, known = preprocess_features(df, key, country, gender, pct)
+    return ready.withColumn("y", F.col("target_churned").cast("int")).drop(*TARGETS), known
 
 
 def min_rank_share(df: DataFrame, column: str, out: str) -> DataFrame:
@@ -63,10 +87,10 @@ def min_rank_share(df: DataFrame, column: str, out: str) -> DataFrame:
     return null_safe_join(df, share, column)
 
 
-def regression_xy(df: DataFrame, key: str, country: str, gender: str, pct: float = 0.05) -> DataFrame:
-    """Features and ``y``: the percentile of the net value."""
-    ready = min_rank_share(preprocess_features(df, key, country, gender, pct), "target_net_value", "y")
-    return ready.drop(*TARGETS)
+def regression_xy(df: DataFrame, key: str, country: str, gender: str, pct: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """Features with ``ones`` and ``y``, the percentile of the net value; and the dictionary of ``dummy_positions``."""
+    ready, known = preprocess_features(df, key, country, gender, pct)
+    return min_rank_share(ready, "target_net_value", "y").drop(*TARGETS), known
 
 
 def standard_scale(df: DataFrame, columns: list[str]) -> DataFrame:

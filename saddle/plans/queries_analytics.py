@@ -107,29 +107,38 @@ _FLAGS = ", ".join(f"CAST(gender = '{x}' AS INTEGER) AS \"gender_{x}\"" for x in
 
 @query("dummies", f"WITH {FEATURES} SELECT id, balance, {_FLAGS} FROM features")
 def _dummies(spark, sf):
-    return f.dummies(customer_features(spark, sf).select("id", "balance", "gender"), ["gender"])
+    return f.dummies(customer_features(spark, sf).select("id", "balance", "gender"), {"gender": _SEG})
 
 
-def _flat(df):
-    """Dummy columns as rows, since which countries stay depends on the data."""
-    flags = [c for c in df.columns if c.startswith("shippingCountry_")]
-    on = F.array_compact(F.array(*[F.when(F.col(f"`{c}`") == 1, F.lit(c.split("_", 1)[1])) for c in flags]))
-    gender = F.array_compact(F.array(*[F.when(F.col(f"gender_{x}") == 1, F.lit(x)) for x in _SEG]))
-    return df.withColumn("country", F.element_at(on, 1)).withColumn("segment", F.element_at(gender, 1))
+def _flat(rows, known):
+    """The row's values by the dictionary, as columns again."""
+    named = rows.select("id", F.explode("ones").alias("pos")).join(known, "pos").groupBy("id").agg(
+        F.max(F.when(F.col("column") == "shippingCountry", F.col("value"))).alias("country"), F.max(F.when(F.col("column") == "gender", F.col("value"))).alias("segment"))
+    return lookup_join(rows, named, "id", "left")
+
+
+@query("dummy_positions", f"""WITH {FEATURES}, named AS (SELECT id, 'gender' AS col, gender AS val FROM features UNION ALL SELECT id, 'shippingCountry', "shippingCountry" FROM features),
+ known AS (SELECT col, val, row_number() OVER (ORDER BY col, val) - 1 AS pos FROM (SELECT DISTINCT col, val FROM named WHERE val IS NOT NULL))
+ SELECT id, pos, col || '_' || val AS name FROM named JOIN known USING (col, val)""")
+def _dummy_positions(spark, sf):
+    """All values of two columns as positions in a dictionary, a row per one."""
+    rows, known = f.dummy_positions(materialise(customer_features(spark, sf)), "id", ["shippingCountry", "gender"])
+    ones = rows.select("id", F.explode("ones").alias("pos")).join(known, "pos")
+    return ones.select("id", "pos", F.concat_ws("_", "column", "value").alias("name"))
 
 
 @query("classification_xy", f"WITH {_RARE} SELECT id, balance, n_orders, \"shippingCountry\" AS country, gender AS segment, "
        "CAST(target_churned AS INTEGER) AS y FROM rare")
 def _classification(spark, sf):
     xy = f.classification_xy(materialise(customer_features(spark, sf)), "id", "shippingCountry", "gender", PCT)
-    return _flat(xy).select("id", "balance", "n_orders", "country", "segment", "y")
+    return _flat(*xy).select("id", "balance", "n_orders", "country", "segment", "y")
 
 
 @query("regression_xy", f"WITH {_RARE} SELECT id, balance, n_orders, \"shippingCountry\" AS country, gender AS segment, "
        f"{rs('rank() OVER (ORDER BY target_net_value) / (SELECT count(*) FROM features)')} AS y FROM rare")
 def _regression(spark, sf):
     xy = f.regression_xy(materialise(customer_features(spark, sf)), "id", "shippingCountry", "gender", PCT)
-    return _flat(xy).select("id", "balance", "n_orders", "country", "segment", r("y").alias("y"))
+    return _flat(*xy).select("id", "balance", "n_orders", "country", "segment", r("y").alias("y"))
 
 
 @query("standard_scale", f"WITH {FEATURES} SELECT id, {rs('(balance - avg(balance) OVER ()) / stddev_pop(balance) OVER ()')} AS balance, "

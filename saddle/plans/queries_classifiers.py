@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from saddle.functions.uniform import uniform_sql
 from saddle.operators import metrics as m
-from saddle.operators.features import classification_xy, standard_scale
+from saddle.operators.features import classification_xy, dense_ones, standard_scale
 from saddle.operators.splits import stratified_kfold
 from saddle.plans import evaluation as ev
 from saddle.plans.linear_sql import best_sql, f1_sql, fits_sql
@@ -95,10 +95,9 @@ def _cross_validate_multi(spark, sf):
 
 def _churn(spark, sf):
     """Customers with a vector: scaled table features, vectors, and both side by side; y is churn."""
-    xy = classification_xy(materialise(customer_features(spark, sf)), "id", "shippingCountry", "gender")
+    xy, known = classification_xy(materialise(customer_features(spark, sf)), "id", "shippingCountry", "gender")
     scaled = standard_scale(xy, ["balance", "n_orders"])
-    names = [c for c in scaled.columns if c not in ("id", "y")]
-    rows = scaled.select("id", "y", F.array(*[F.col(f"`{c}`").cast("double") for c in names]).alias("f"))
+    rows = scaled.select("id", "y", F.concat(F.array("balance", "n_orders"), dense_ones(known.count())).alias("f"))
     rows = materialise(rows.join(vectors(spark, sf).select("id", "v"), "id"))
     return {name: rows.select("id", v.alias("v"), "y") for name, v in
             (("features", F.col("f")), ("embedding", F.col("v")), ("both", F.concat("f", "v")))}

@@ -4,7 +4,8 @@ import pytest
 from oracle import compare, connect
 from saddle.plans import catalog
 
-LONG = {n for n in catalog.QUERIES if n.startswith(("sweep_", "repeat_", "train_"))}
+#: Run at small settings by tests/test_runs.py.
+LONG = {n for n in catalog.QUERIES if n.startswith(("sweep_", "repeat_"))}
 
 
 @pytest.fixture(scope="module")

@@ -27,10 +27,22 @@ def test_rare_to_other_and_dummies(spark):
     df = spark.createDataFrame([(i, *r, "x") for i, r in enumerate(rows)], "id bigint, k string, s string")
     out = features.rare_to_other(df, "k", 0.2)
     assert sorted(r["k"] for r in out.collect()) == ["Other"] * 3 + ["a"] * 6 + ["b"] * 3
-    wide = features.dummies(out, ["k", "s"])
+    wide = features.dummies(out, {"k": ["Other", "a", "b"], "s": ["x"]})
     assert {"k_a", "k_b", "k_Other", "s_x"} <= set(wide.columns) and wide.agg(F.sum("k_Other")).first()[0] == 3
 
 
+def test_dummy_positions_of_nulls_and_unknown_values(spark):
+    df = spark.createDataFrame([(1, "b", 5), (2, None, 5), (3, "a", None), (4, None, None)], "id bigint, k string, n int")
+    rows, known = features.dummy_positions(df, "id", ["k", "n"])
+    assert sorted((r["column"], r["value"], r["pos"]) for r in known.collect()) == [("k", "a", 0), ("k", "b", 1), ("n", "5", 2)]
+    assert {r["id"]: r["ones"] for r in rows.collect()} == {1: [1, 2], 2: [2], 3: [0], 4: []}
+    later = spark.createDataFrame([(9, "c", 5)], "id bigint, k string, n int")
+    again, _ = features.dummy_positions(later, "id", ["k", "n"], known)
+    assert [r["ones"] for r in again.collect()] == [[2]]
+    dense = rows.select("id", features.dense_ones(3).alias("v")).collect()
+    assert {r["id"]: r["v"] for r in dense} == {1: [0.0, 1.0, 1.0], 2: [0.0, 0.0, 1.0], 3: [1.0, 0.0, 0.0], 4: [0.0, 0.0, 0.0]}
+
+
 def test_unique_key(spark):
     with pytest.raises(ValueError):
         cleaning.assert_unique_key(spark.createDataFrame([(1,), (1,)], "k int"), "k")
