@@ -79,16 +79,13 @@ def _gradients(spark, sf):
 SHORT = dict(epochs=1, rounds=2, learning_rate=0.5, window=2)
 
 
-def _pairs(spark, sf):
-    return cooccurrence(product_sentences(spark, sf), 2)
-
-
-_COUNTED = (f"{VIEWS}, {CUSTOMER_SENTENCES}, co AS (SELECT a.token AS x, b.token AS y, count(*) AS n FROM sent a JOIN sent b "
-            "ON a.sentence_id = b.sentence_id AND abs(a.pos - b.pos) <= 2 WHERE a.token <> b.token GROUP BY 1, 2)")
+def _pairs(spark, sf, window=2):
+    return cooccurrence(product_sentences(spark, sf), window)
 
 
 def _training(params):
-    return f"WITH {_COUNTED}, {training_sql(params, 'co')}"
+    return (f"WITH {VIEWS}, {CUSTOMER_SENTENCES}, co AS (SELECT a.token AS x, b.token AS y, count(*) AS n FROM sent a JOIN sent b "
+            f"ON a.sentence_id = b.sentence_id AND abs(a.pos - b.pos) <= {params.window} WHERE a.token <> b.token GROUP BY 1, 2), {training_sql(params, 'co')}")
 
 
 def _trainer(name, geometry):
@@ -107,6 +104,17 @@ _trainer("train_poincare", "poincare")
 _trainer("train_lorentz", "lorentz")
 
 
+# fixed values: the window and epochs of the published runs
+_FULL = tr.Params(geometry="poincare", window=5, epochs=5, rounds=2, learning_rate=0.2)
+
+
+@query("train_poincare_full", f"{_training(_FULL)} {final_sql(_FULL)}")
+def _full(spark, sf):
+    """A whole training: window 5, five epochs of two rounds."""
+    run = tr.train(_pairs(spark, sf, _FULL.window), _FULL)
+    return run.vectors().select("id", r(F.col("v")[0]).alias("v1"), r(F.col("v")[1]).alias("v2"))
+
+
 _FLAT = tr.Params(geometry="euclidean", size=4, **SHORT)
 _DEEPWALK = f"""{walks_sql(f'{VIEWS}, {EDGES}, {OFFSET}, {GRAPH}', 2, 10, '0-walk')},
  wt AS (SELECT start || ':' || walk_no AS s, unnest(path) AS token, generate_subscripts(path, 1) AS pos FROM walks),
