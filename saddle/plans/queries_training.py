@@ -198,7 +198,7 @@ def _mixed(spark, sf):
 
 # -- sweeps --------------------------------------------------------------------------------
 # fixed values: the settings compared
-BATCHES, WINDOWS, SIZES = [1, 2, 4, 8, 16, 32, 64, 128], list(range(1, 10)), [2, 4, 8, 16, 32, 64, 128]
+BATCHES, WINDOWS, SIZES = [1, 2, 4, 8, 16, 32, 64, 128], list(range(1, 10)), [2, 4, 8, 16]
 
 
 def _rounded(scores):
