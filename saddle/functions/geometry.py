@@ -180,7 +180,7 @@ def _uniforms(seed, id_col: ColumnLike, d: int) -> list[Column]:
 def init_uniform(seed, id_col: ColumnLike, d: int, width: float | None = None) -> Column:
     """Coordinates uniform on ``(-w, w)``; ``w = 0.5 / d`` unless given."""
     w = 0.5 / d if width is None else width
-    return F.array(*[(u * F.lit(2.0) - F.lit(1.0)) * F.lit(w) for u in _uniforms(seed, id_col, d)])
+    return F.transform(F.sequence(F.lit(1), F.lit(d)), lambda i: (uniform(seed, _c(id_col), i) * F.lit(2.0) - F.lit(1.0)) * F.lit(w))
 
 
 def init_poincare_disc(seed, id_col: ColumnLike) -> Column:

@@ -12,11 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saddle.functions import geometry as g
-from saddle.functions.vectors import total, vec_dot, vec_norm_sq
+from saddle.functions.vectors import euclidean_sq, vec_dot, vec_norm_sq
 from saddle.skew import lookup_join
 
 GEOMETRIES = ("euclidean", "polar", "polar_hyperbolic", "poincare", "lorentz")
 
+#: Coordinates that are summed by one row. Wider vectors are cut into blocks, so generated code does not grow with the width.
+BLOCK = 16
+
 
 @dataclass(frozen=True)
 class Logit:
@@ -33,19 +36,23 @@ class Logit:
             return self.size + 1
         return 2 if self.geometry.startswith("polar") else self.size
 
+    @property
+    def unrolled(self) -> int | None:
+        """The width where products are written out; none for wide vectors."""
+        return self.width if self.width <= BLOCK else None
+
 
 def scored(rows: DataFrame, logit: Logit) -> DataFrame:
     """Adds ``logit``, ``xent`` (weighted cross entropy) and ``err`` (weighted sigmoid minus label)."""
-    vx, vy, d = F.col("vx"), F.col("vy"), logit.width
+    vx, vy, d = F.col("vx"), F.col("vy"), logit.unrolled
     if logit.geometry == "euclidean":
         out = rows.withColumn("logit", vec_dot(vx, vy, d) + F.col("b"))
     elif logit.geometry.startswith("polar"):
         out = rows.withColumn("logit", g.polar_inner(vx[0], vx[1], vy[0], vy[1]) + F.col("b"))
     elif logit.geometry == "poincare":
         out = rows.withColumns({"xy": vec_dot(vx, vy, d), "x2": vec_norm_sq(vx, d), "y2": vec_norm_sq(vy, d)})
-        gap = total([(vx[i] - vy[i]) * (vx[i] - vy[i]) for i in range(d)])
-        out = out.withColumn("logit", F.lit(logit.sign) * g.poincare_from_parts(gap, F.col("x2"), F.col("y2")) + F.col("b"))
-        out = out.withColumn("gap", gap)
+        out = out.withColumn("gap", euclidean_sq(vx, vy, d))
+        out = out.withColumn("logit", F.lit(logit.sign) * g.poincare_from_parts(F.col("gap"), F.col("x2"), F.col("y2")) + F.col("b"))
     else:
         out = rows.withColumn("xy", g.minkowski_dot(vx, vy, d))
         out = out.withColumn("logit", F.lit(logit.sign) * g.lorentz_from_dot(F.col("xy"), logit.margin) + F.col("b"))
@@ -105,6 +112,8 @@ def summed_gradients(rows: DataFrame, logit: Logit, by: list[str] | None = None)
     take part in any number of rows.
     """
     by = by or []
+    if logit.unrolled is None:
+        return _summed_in_blocks(rows, logit, by)
     ready, gx, gy = row_gradients(scored(rows, logit), logit)
     side_x = F.struct(F.col("x").alias("id"), F.lit(True).alias("centre"))
     side_y = F.struct(F.col("t").alias("id"), F.lit(False).alias("centre"))
@@ -125,6 +134,41 @@ def summed_gradients(rows: DataFrame, logit: Logit, by: list[str] | None = None)
                        F.array(*[f"gy{i}" for i in range(d)]).alias("g_out"), "g_b", "n_in", "n_out", "xent", "pairs")
 
 
+def _summed_in_blocks(rows: DataFrame, logit: Logit, by: list[str]) -> DataFrame:
+    """As ``summed_gradients`` for wide vectors: sums per (vertex, side, block of coordinates), then one row per vertex."""
+    ready = _coefficients(scored(rows, logit), logit)
+    blocks = F.sequence(F.lit(0), F.lit(-(-logit.width // BLOCK) - 1))
+
+    def cut(b: Column) -> Column:
+        return F.struct(b.alias("block"), F.slice("vx", b * BLOCK + 1, BLOCK).alias("u"), F.slice("vy", b * BLOCK + 1, BLOCK).alias("v"))
+
+    scalars = ["err", "w", "xent", "label"]
+    sides = F.array(
+        F.struct(F.col("x").alias("id"), F.lit(True).alias("centre"), F.col("cxx").alias("ku"), F.col("cxy").alias("kv")),
+        F.struct(F.col("t").alias("id"), F.lit(False).alias("centre"), F.col("cyx").alias("ku"), F.col("cyy").alias("kv")))
+    pieces = ready.select(*by, sides.alias("sides"), *scalars, F.explode(F.transform(blocks, cut)).alias("cut"))
+    each = pieces.select(*by, "cut.*", *scalars, F.explode("sides").alias("side")).select(*by, "side.*", "block", "u", "v", *scalars)
+    coordinates = [F.sum(F.col("ku") * F.get("u", F.lit(i)) + F.col("kv") * F.get("v", F.lit(i))) for i in range(BLOCK)]
+    sums = each.groupBy(*by, "id", "centre", "block").agg(
+        F.array(*coordinates).alias("g"), F.sum("err").alias("err"), F.sum(F.col("w").cast("double")).alias("w"), F.sum("xent").alias("xent"),
+        F.sum(F.when(F.col("label") == 1.0, F.col("w").cast("double")).otherwise(F.lit(0.0))).alias("pairs"))
+
+    at_x, at_y = (F.col("block") == 0) & F.col("centre"), (F.col("block") == 0) & ~F.col("centre")
+    add = lambda cond, e: F.sum(F.when(cond, F.col(e)).otherwise(F.lit(0.0)))
+    # two sides of a fixed number of blocks
+    whole = sums.groupBy(*by, "id").agg(
+        F.sort_array(F.collect_list(F.struct("centre", "block", "g"))).alias("cuts"), add(at_y, "err").alias("g_b"), add(at_x, "w").alias("n_in"),
+        add(at_y, "w").alias("n_out"), add(at_x, "xent").alias("xent"), add(at_x, "pairs").alias("pairs"))
+
+    def side(centre: bool) -> Column:
+        own = F.filter("cuts", lambda c: c["centre"] == F.lit(centre))
+        found = F.slice(F.flatten(F.transform(own, lambda c: c["g"])), 1, logit.width)
+        return F.when(F.size(own) > 0, g.metric_transform(found) if logit.geometry == "lorentz" else found).otherwise(
+            F.array_repeat(F.lit(0.0), logit.width))
+
+    return whole.select(*by, "id", side(True).alias("g_in"), side(False).alias("g_out"), "g_b", "n_in", "n_out", "xent", "pairs")
+
+
 def nce_rows(batches: DataFrame, negatives: DataFrame, state: DataFrame) -> DataFrame:
     """Rows of mini-batches ``(batch_id, x, y)`` with the batch's negatives ``(batch_id, id)``."""
     ins = state.select(F.col("id").alias("x"), F.col("w_in").alias("vx"))

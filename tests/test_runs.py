@@ -104,9 +104,9 @@ def test_sweeps_at_small_settings(spark, small, tokens, labels):
     for r in batch:
         assert r["loss"] == pytest.approx(tr.train(pairs, replace(SHORT, batch_size=r["batch_size"])).log[-1]["loss"])
     window = sweeps.sweep_window(tokens, labels, SHORT, [1, 3], 2).collect()
-    size = sweeps.sweep_size(pairs, labels, SHORT, [2, 16], 2).collect()
+    size = sweeps.sweep_size(pairs, labels, SHORT, [2, 24], 2).collect()
     again = sweeps.repeat_embeddings(pairs, labels, SHORT, ["a", "b"], 2).collect()
-    assert {r["window"] for r in window} == {1, 3} and {r["size"] for r in size} == {2, 16} and {r["seed"] for r in again} == {"a", "b"}
+    assert {r["window"] for r in window} == {1, 3} and {r["size"] for r in size} == {2, 24} and {r["seed"] for r in again} == {"a", "b"}
     edges = pairs.select(F.col("x").alias("src"), F.col("y").alias("dst"))
     grid = sweeps.sweep_deepwalk_grid(edges, labels, SHORT, [2, 4], [1, 2], [4], 2).collect()
     assert {(r["size"], r["n_walks"], r["walk_length"]) for r in grid} == {(s, n, 4) for s in (2, 4) for n in (1, 2)}

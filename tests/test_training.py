@@ -1,6 +1,7 @@
 """Gradients against finite differences, and the training loop's promises."""
 import math
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +9,7 @@ from saddle.operators import nce
 from saddle.operators.corpus import cooccurrence
 from saddle.plans import training as tr
 from saddle.plans.tables import product_sentences
+from saddle.plans.training_sql import training_sql
 from saddle.storage import materialise
 
 
@@ -50,6 +52,43 @@ def test_equal_points_give_finite_gradients(spark):
             assert all(math.isfinite(c) for c in (*r["g_in"], *r["g_out"], r["g_b"]))
 
 
+@pytest.mark.parametrize("geometry", ["euclidean", "poincare", "lorentz"])
+def test_blocks_of_coordinates_give_the_same_sums(spark, monkeypatch, geometry):
+    """A remainder in the last block, a vertex on both sides and vertices on one side only."""
+    def vector(k):
+        v = [math.sin(k + i) / 7 for i in range(5)]
+        return [math.sqrt(1 + sum(a * a for a in v)), *v] if geometry == "lorentz" else v
+
+    rows = spark.createDataFrame([(k % 3, 1, (5 * k) % 4 + 2 * (k % 2), vector(k % 3), vector(9 + k), 0.1 * k, float(k % 2), 1.0 + k) for k in range(12)],
+                                 "run int, x bigint, t bigint, vx array<double>, vy array<double>, b double, label double, w double")
+    logit = nce.Logit(geometry, 5)
+    whole = {(r["run"], r["id"]): r for r in nce.summed_gradients(rows, logit, ["run"]).collect()}
+    monkeypatch.setattr(nce, "BLOCK", 2)
+    cut = {(r["run"], r["id"]): r for r in nce.summed_gradients(rows, logit, ["run"]).collect()}
+    assert cut.keys() == whole.keys() and len(cut) > 6
+    for key, r in cut.items():
+        for c in r.asDict():
+            assert r[c] == pytest.approx(whole[key][c], abs=1e-12), (key, c)
+
+
+@pytest.mark.parametrize("geometry", ["euclidean", "poincare", "lorentz"])
+def test_wide_vectors_against_sql(spark, geometry):
+    params = tr.Params(geometry=geometry, size=20, epochs=1, rounds=2, learning_rate=0.5)
+    rows = [(x, (x * k + k) % 40, k) for x in range(40) for k in (1, 2, 3) if x != (x * k + k) % 40]
+    run = tr.train(spark.createDataFrame(rows, "x bigint, y bigint, n bigint"), params)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE given (x BIGINT, y BIGINT, n BIGINT)")
+    con.executemany("INSERT INTO given VALUES (?, ?, ?)", rows)
+    want = {i: (w_in, w_out) for i, w_in, w_out in con.execute(f"WITH {training_sql(params, 'given')} SELECT id, w_in, w_out FROM st2").fetchall()}
+    got = {r["id"]: r for r in run.state.collect()}
+    assert got.keys() == want.keys()
+    start = {r["id"]: r["w_in"] for r in tr.initial_state(run.state.selectExpr("0 AS run", "id"), [params]).collect()}
+    assert any(list(start[i]) != pytest.approx(list(r["w_in"]), abs=1e-6) for i, r in got.items())
+    for i, r in got.items():
+        assert len(r["w_in"]) == params.logit.width
+        assert list(r["w_in"]) == pytest.approx(list(want[i][0]), abs=1e-9) and list(r["w_out"]) == pytest.approx(list(want[i][1]), abs=1e-9)
+
+
 @pytest.fixture(scope="module")
 def pairs(spark, small):
     return materialise(cooccurrence(product_sentences(spark, small), 2))
