@@ -4,7 +4,8 @@ Equal pairs are counted once and carry their count. An epoch runs in rounds; eac
 job: look up both vectors of every pair, add shared negatives, sum gradients per vertex, step on
 the manifold, write the new state. The state table is the only thing that passes from round to
 round, so a lost executor costs at most one round's tasks. State and pairs are stored by their keys,
-so a round moves target vectors and gradients only.
+so a round moves target vectors and gradients only. A round's state goes when the next is written; the pairs and
+negatives go with the last.
 """
 from __future__ import annotations
 
@@ -22,7 +23,7 @@ from saddle.operators.corpus import cooccurrence, learning_rate, mixed_schedule
 from saddle.operators.negatives import counted_negatives, negative_samples, noise_lines
 from saddle.operators.nce import Logit, summed_gradients
 from saddle.operators.sentences import random_walks, walk_tokens
-from saddle.storage import bucketed, materialise, shared_folder
+from saddle.storage import bucketed, drop, materialise, new_name, shared_folder
 
 
 @dataclass(frozen=True)
@@ -159,7 +160,8 @@ def train_many(pairs: DataFrame, runs: list[Params], init: DataFrame | None = No
             raise ValueError(f"runs trained together may differ in {', '.join(FREE)} only")
     if "round" not in pairs.columns:
         pairs = pairs.withColumn("round", F.floor(uniform(_seeds(runs, "round"), "x", "y") * params.rounds).cast("int"))
-    stored = bucketed(pairs, "run", "x", parts="round")
+    scratch = [new_name(), new_name()]  # pairs and negatives
+    stored = bucketed(pairs, "run", "x", parts="round", name=scratch[0])
 
     sizes = {r["run"]: r for r in stored.groupBy("run").agg(F.sum("n").alias("pairs"), F.count(F.lit(1)).alias("rows")).collect()}  # one row a run
     groups = [max(1, -(-(sizes[i]["rows"] if i in sizes else 0) // (p.rounds * p.batch_size))) for i, p in enumerate(runs)]
@@ -172,13 +174,14 @@ def train_many(pairs: DataFrame, runs: list[Params], init: DataFrame | None = No
     # weight a target meets per round on average: its own pairs and its draws as a negative
     met = counts.join(noise, ["run", "id"]).join(F.broadcast(whole), "run")  # one row a run
     expected = met.select("run", "id", ((F.col("freq") + F.col("weight") / F.col("whole") * drawn_pairs) / params.rounds).alias("e_out"))
-    state = bucketed(start.join(expected, ["run", "id"], "left"), "run", "id")
+    latest = new_name()
+    state = bucketed(start.join(expected, ["run", "id"], "left"), "run", "id", name=latest)
 
     steps = params.epochs * params.rounds
     negatives = None
     if not params.per_pair:
         asked = reduce(DataFrame.unionByName, [spark.range(start_step * n, steps * n).select(F.lit(i).alias("run"), F.col("id").alias("batch_id")) for i, n in enumerate(groups)])
-        negatives = _by_step(negative_samples(asked, noise, params.negatives, _seeds(runs, "neg"), by="run"), groups)
+        negatives = _by_step(negative_samples(asked, noise, params.negatives, _seeds(runs, "neg"), by="run"), groups, scratch[1])
 
     logs: list[list[dict]] = [[] for _ in runs]
     for at in range(start_step, steps):
@@ -188,7 +191,9 @@ def train_many(pairs: DataFrame, runs: list[Params], init: DataFrame | None = No
         rows = _round_rows(own, negatives, noise, state, runs, at, groups)
         moved = _update(state, summed_gradients(rows, params.logit, ["run"]), params, lr)
         target = None if save_to is None else f"{save_to}/step={at + 1:06d}"
-        written = bucketed(moved, "run", "id", path=target)
+        earlier, latest = latest, new_name()
+        written = bucketed(moved, "run", "id", path=target, name=latest)
+        drop(spark, earlier)
         totals = {r["run"]: r for r in written.groupBy("run").agg(F.sum("xent").alias("xent"), F.sum("pairs").alias("pairs")).collect()}  # one row a run
         spent = time.time() - began
         state = written.select("run", "id", "w_in", "w_out", "b", "e_out")
@@ -197,13 +202,15 @@ def train_many(pairs: DataFrame, runs: list[Params], init: DataFrame | None = No
             log.append({"epoch": at // params.rounds + 1, "step": at + 1, "lr": lr,
                         "loss": ((totals[i]["xent"] if i in totals else None) or 0.0) / max(done, 1.0), "pairs": done,
                         "pairs_per_second": done / max(spent, 1e-9)})
+    for name in scratch:
+        drop(spark, name)
     return [Trained(state.where(F.col("run") == i).drop("run"), p, log) for i, (p, log) in enumerate(zip(runs, logs))]
 
 
-def _by_step(drawn: DataFrame, groups: list[int]) -> DataFrame:
+def _by_step(drawn: DataFrame, groups: list[int], name: str) -> DataFrame:
     """Negatives ``(run, g, id, step)`` in one folder per step, so a round reads its own only."""
     spark = drawn.sparkSession
-    folder = f"{shared_folder(spark)}/negatives-{time.time_ns()}"
+    folder = f"{shared_folder(spark)}/{name}"
     split = drawn.withColumn("_n", _per_run(groups)).select("run", (F.col("batch_id") % F.col("_n")).alias("g"), "id", F.expr("cast(batch_id div _n AS int)").alias("step"))
     split.repartition("step", F.pmod(F.xxhash64("run", "g"), F.lit(_slices(spark)))).write.partitionBy("step").parquet(folder)
     return spark.read.schema(split.schema).parquet(folder)

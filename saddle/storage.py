@@ -37,7 +37,22 @@ def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(schema).parquet(target)
 
 
-def bucketed(df: DataFrame, *keys: str, parts: str | None = None, path: str | None = None) -> DataFrame:
+def new_name() -> str:
+    """A name for a table that ``drop`` can take away again."""
+    return f"saddle_{uuid.uuid4().hex}"
+
+
+def drop(spark: SparkSession, name: str) -> None:
+    """Take away what was written under ``new_name``: the table and its files in the shared folder. Files written to another path stay.
+
+    Call it only when nothing that reads the table is still to run.
+    """
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def bucketed(df: DataFrame, *keys: str, parts: str | None = None, path: str | None = None, name: str | None = None) -> DataFrame:
     """As ``materialise``, but the table remembers that it is hash partitioned by ``keys``.
 
     Joins and sums on the keys then move only the other side. ``parts`` names a column whose values
@@ -45,7 +60,7 @@ def bucketed(df: DataFrame, *keys: str, parts: str | None = None, path: str | No
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"saddle_{uuid.uuid4().hex}"
+    name = name or new_name()
     writer = df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).format("parquet")
     if parts:
         writer = writer.partitionBy(parts)

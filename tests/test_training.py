@@ -1,5 +1,7 @@
 """Gradients against finite differences, and the training loop's promises."""
 import math
+from pathlib import Path
+from urllib.parse import urlparse
 
 import duckdb
 import pytest
@@ -10,7 +12,7 @@ from saddle.operators.corpus import cooccurrence
 from saddle.plans import training as tr
 from saddle.plans.tables import product_sentences
 from saddle.plans.training_sql import training_sql
-from saddle.storage import materialise
+from saddle.storage import materialise, shared_folder
 
 
 def point(geometry, a, b):
@@ -144,6 +146,20 @@ def test_a_step_of_a_walk_moves_no_edges(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+def test_only_the_last_state_stays(spark, pairs, tmp_path):
+    """Neither tables nor files of earlier rounds, pairs and negatives are left; saved states are."""
+    def left():
+        return {t.name for t in spark.catalog.listTables() if t.name.startswith("saddle_")}, {p.name for p in Path(urlparse(shared_folder(spark)).path).glob("saddle_*")}
+
+    tables, folders = left()
+    run = tr.train(pairs, tr.Params(epochs=1, rounds=3))
+    now_tables, now_folders = left()
+    assert len(now_tables - tables) == 1 and now_tables - tables == now_folders - folders
+    assert run.state.where("w_in IS NOT NULL").count() > 0
+    tr.train(pairs, tr.Params(epochs=1, rounds=2), save_to=str(tmp_path / "kept"))
+    assert left()[1] == now_folders and tr.saved_state(spark, str(tmp_path / "kept"), 1)[0].count() == run.state.count()
+
+
 def test_resume_goes_on_where_it_stopped(spark, pairs, tmp_path):
     params = tr.Params(epochs=1, rounds=3)
     whole = tr.train(pairs, params, save_to=str(tmp_path / "a")).state
