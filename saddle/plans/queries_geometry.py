@@ -13,9 +13,10 @@ from saddle.plans.negatives_sql import batches_sql, negatives_sql
 from saddle.plans.registry import query, r, rs, vec_rows, vec_rows_sql
 from saddle.plans.tables import (
     EDGES, PRODUCT_VOCAB, VIEWS, WIDTH, product_vocab, start_sql, start_vectors, table, uniform_array_sql, vector_pairs,
-    vector_pairs_sql, view_edges,
+    vector_pairs_sql, view_edges, views,
 )
 from saddle.skew import lookup_join
+from saddle.storage import materialise
 
 D = WIDTH
 
@@ -87,10 +88,12 @@ _BLOCK = (f"{VIEWS}, {EDGES}, {PRODUCT_VOCAB}, {start_sql(2, 0.5)}, {batches_sql
 
 
 def _block(spark, sf):
-    state = start_vectors(spark, sf, 2, 0.5)
-    edges = view_edges(spark, sf).select(F.col("src").alias("x"), F.col("dst").alias("y"))
-    batches = make_batches(edges, 256, ["x", "y"])
-    negatives = negative_samples(batches, noise_distribution(product_vocab(spark, sf), id_col="token"), 5)
+    # written once each: every later step reads the small result
+    seen = materialise(views(spark, sf))
+    state = materialise(start_vectors(spark, sf, 2, 0.5, seen))
+    edges = view_edges(spark, sf, seen).select(F.col("src").alias("x"), F.col("dst").alias("y"))
+    batches = materialise(make_batches(edges, 256, ["x", "y"]))
+    negatives = materialise(negative_samples(batches, noise_distribution(product_vocab(spark, sf, seen), id_col="token"), 5))
     members = batches.select("batch_id", F.col("y").alias("id")).distinct()
     left = lookup_join(members, state, "id").select("batch_id", "id", F.col("w_in").alias("v"))
     right = lookup_join(negatives, state, "id").select("batch_id", "id", F.col("w_out").alias("v"))
