@@ -213,9 +213,10 @@ _MIX = f"""WITH {VIEWS}, {EDGES}, {OFFSET}, {GRAPH}, {CUSTOMER_SENTENCES}, {_pai
 
 @query("mixed_schedule", _MIX)
 def _mixed(spark, sf):
-    edges = view_graph(spark, sf).select(F.col("src").alias("x"), F.col("dst").alias("y"))
+    seen = materialise(views(spark, sf))
+    edges = view_graph(spark, sf, seen).select(F.col("src").alias("x"), F.col("dst").alias("y"))
     steps = edges.count() // 64
-    pairs = c.skipgram_pairs(product_sentences(spark, sf), 1).select("x", "y")
+    pairs = c.skipgram_pairs(product_sentences(spark, sf, seen), 1).select("x", "y")
     return c.mixed_schedule(edges, pairs, 64, steps, ["x", "y"])
 
 
@@ -245,8 +246,9 @@ def _negatives(spark, sf):
        f"CAST(floor({uniform_sql('neg', 'src', 'dst', 'draw')} * (SELECT max(hi) FROM noise)::DOUBLE) AS BIGINT) AS spot "
        "FROM edges, range(3) t(draw)) SELECT src, dst, draw, id FROM drawn JOIN noise ON spot >= hi - weight AND spot < hi WHERE id <> dst")
 def _negatives_pair(spark, sf):
-    noise = neg.noise_distribution(product_vocab(spark, sf), id_col="token")
-    out = neg.negative_samples_per_pair(view_edges(spark, sf), noise, 3, ["src", "dst"], "dst")
+    seen = materialise(views(spark, sf))
+    noise = neg.noise_distribution(product_vocab(spark, sf, seen), id_col="token")
+    out = neg.negative_samples_per_pair(view_edges(spark, sf, seen), noise, 3, ["src", "dst"], "dst")
     return out.select("src", "dst", "draw", "id")
 
 
