@@ -190,7 +190,8 @@ _KEPT = (f"{VIEWS}, {CUSTOMER_SENTENCES}, wcounts AS (SELECT token, count(*) AS
 def _kept_stream(spark, sf):
     """Frequent tokens are thinned first; windows run over what is kept."""
     tokens = materialise(product_sentences(spark, sf))
-    kept = c.subsample_tokens(tokens, materialise(c.token_counts(tokens)), 1e-3)
+    # written once: ranking samples its rows first, and each look would draw them anew
+    kept = materialise(c.subsample_tokens(tokens, materialise(c.token_counts(tokens)), 1e-3))
     pairs = c.skipgram_pairs_dynamic(c.stream_chunks(kept, 100), 5)
     return pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
 

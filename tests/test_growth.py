@@ -2,7 +2,15 @@
 import numpy as np
 import pytest
 
-from saddle.operators import linear
+from saddle.operators import corpus, linear
+
+
+def test_reach_is_drawn_once_a_token(spark):
+    """The hash stands below the window, where a token is one row, and not above it, where it is many pairs."""
+    stream = spark.range(500).selectExpr("id div 100 AS sentence_id", "id % 100 AS pos", "id * 13 % 17 AS token")
+    plan = corpus.skipgram_pairs_dynamic(stream, 5)._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan[:plan.rindex("Window [")], plan[plan.rindex("Window ["):]
+    assert "md5" not in above and "md5" in below
 
 
 @pytest.mark.parametrize("multinomial", [False, True])
