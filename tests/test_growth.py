@@ -2,9 +2,22 @@
 import numpy as np
 import pytest
 
+from saddle import skew
 from saddle.operators import corpus, linear
 
 
+
+
+def test_pairs_fill_tasks_by_their_number(spark, monkeypatch):
+    """Many tokens fill more tasks than the session asks for, with the same counts."""
+    tokens = spark.range(3000).selectExpr("id div 30 AS sentence_id", "id % 30 AS pos", "id * 7 % 11 AS token")
+    few = corpus.cooccurrence(tokens, 2)
+    monkeypatch.setattr(skew, "TASK_ROWS", 100)
+    many = corpus.cooccurrence(tokens, 2)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) and few.count() == 44
+    assert few.rdd.getNumPartitions() <= 4 and many.rdd.getNumPartitions() == 60
+
+
 def test_reach_is_drawn_once_a_token(spark):
     """The hash stands below the window, where a token is one row, and not above it, where it is many pairs."""
     stream = spark.range(500).selectExpr("id div 100 AS sentence_id", "id % 100 AS pos", "id * 13 % 17 AS token")
