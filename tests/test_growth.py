@@ -3,7 +3,7 @@ import numpy as np
 import pytest
 
 from saddle import skew
-from saddle.operators import corpus, linear
+from saddle.operators import corpus, graph, linear
 
 
 
@@ -18,6 +18,15 @@ def test_pairs_fill_tasks_by_their_number(spark, monkeypatch):
     assert few.rdd.getNumPartitions() <= 4 and many.rdd.getNumPartitions() == 60
 
 
+def test_edges_fill_tasks_by_their_number(spark, monkeypatch):
+    edges = spark.range(2000).selectExpr("id AS src", "(id + 1) % 2000 AS dst")
+    ends = spark.range(0, 2000, 1).where("id % 5 <> 0")
+    monkeypatch.setattr(skew, "TASK_ROWS", 100)
+    inner = graph.induced_subgraph(edges, ends)
+    assert sorted(map(tuple, inner.collect())) == [(i, i + 1) for i in range(1999) if i % 5 and (i + 1) % 5]
+    assert inner.rdd.getNumPartitions() == 20
+
+
 def test_reach_is_drawn_once_a_token(spark):
     """The hash stands below the window, where a token is one row, and not above it, where it is many pairs."""
     stream = spark.range(500).selectExpr("id div 100 AS sentence_id", "id % 100 AS pos", "id * 13 % 17 AS token")
