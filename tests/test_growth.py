@@ -4,6 +4,7 @@ import pytest
 
 from saddle import skew
 from saddle.operators import corpus, graph, linear
+from saddle.plans import training
 
 
 
@@ -44,3 +45,13 @@ def test_classes_lead_the_probabilities(multinomial):
     plain = np.exp(z) / np.exp(z).sum(axis=2, keepdims=True) if multinomial else 1 / (1 + np.exp(-z))
     found = linear._probabilities(x, w, multinomial)
     assert found.shape == (3, 50, 7) and np.allclose(np.moveaxis(found, 0, 2), plain, atol=1e-12)
+
+
+def test_training_counts_its_pairs_once(spark, monkeypatch):
+    """Sizes, noise, expected weights and ids come from one written count of the pairs."""
+    written, real = [], training.materialise
+    monkeypatch.setattr(training, "materialise", lambda df, *rest: (written.append(df.columns), real(df, *rest))[1])
+    pairs = spark.createDataFrame([(1, 2, 3), (2, 1, 3), (3, 1, 1)], "x bigint, y bigint, n bigint")  # 3 is a centre only
+    run = training.train(pairs, training.Params(epochs=1, rounds=1, negatives=1))
+    assert written.count(["run", "id", "freq", "rows"]) == 1
+    assert sorted(r["id"] for r in run.state.select("id").collect()) == [1, 2, 3] and run.log[0]["pairs"] == 7.0
