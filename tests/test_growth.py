@@ -1,9 +1,11 @@
 """Work and memory of a task that must not grow with the table, on rows built here."""
+from dataclasses import replace
+
 import numpy as np
 import pytest
 
 from saddle import skew
-from saddle.operators import corpus, graph, linear
+from saddle.operators import corpus, graph, linear, negatives
 from saddle.plans import training
 
 
@@ -55,3 +57,41 @@ def test_training_counts_its_pairs_once(spark, monkeypatch):
     run = training.train(pairs, training.Params(epochs=1, rounds=1, negatives=1))
     assert written.count(["run", "id", "freq", "rows"]) == 1
     assert sorted(r["id"] for r in run.state.select("id").collect()) == [1, 2, 3] and run.log[0]["pairs"] == 7.0
+
+
+def test_runs_share_their_pairs_and_draw_only_sets_they_meet(spark, monkeypatch):
+    """Pairs of all runs are stored once, and a run with more sets than its centres can meet draws those they meet."""
+    stored, asked = [], []
+    by_round, drawn = training._by_round, training.negative_samples
+    monkeypatch.setattr(training, "_by_round", lambda pairs, name: (stored.append(pairs.count()), by_round(pairs, name))[1])
+    monkeypatch.setattr(training, "negative_samples", lambda batches, *rest, **kw: (asked.append(batches.count()), drawn(batches, *rest, **kw))[1])
+    pairs = spark.range(400).selectExpr("id % 4 AS x", "id AS y", "1L AS n")
+    runs = [training.Params(epochs=1, rounds=1, negatives=2, batch_size=b, sets=3) for b in (1, 400)]
+    both = training.train_many(pairs, runs)
+    assert stored == [400] and asked[0] <= 4 * 3 + 1  # of 401 sets
+    for run, params in zip(both, runs):
+        alone = training.train(pairs, params)
+        assert run.log[0]["loss"] == pytest.approx(alone.log[0]["loss"]) and run.log[0]["pairs"] == 400.0
+
+
+def test_draws_are_hashed_once_and_step_by_step(spark, monkeypatch):
+    """No step hashes again, and no two steps run as one stage."""
+    written, real = [], negatives.materialise
+    monkeypatch.setattr(negatives, "materialise", lambda df: (written.append(df._jdf.queryExecution().optimizedPlan().toString()), real(df))[1])
+    noise = negatives.noise_distribution(spark.range(50).selectExpr("id AS idx", "id + 1 AS freq"))
+    got = negatives.negative_samples(spark.range(30).withColumnRenamed("id", "batch_id"), noise, 4)
+    steps = [plan for plan in written if "_slice" in plan]
+    assert len(steps) == 3 and not any("md5" in plan for plan in steps)
+    assert got.count() == 120 and got.select("batch_id", "id").distinct().count() == 120
+
+
+def test_widths_share_pairs_and_negatives(spark, monkeypatch):
+    stored, by_round = [], training._by_round
+    monkeypatch.setattr(training, "_by_round", lambda pairs, name: (stored.append(name), by_round(pairs, name))[1])
+    pairs = spark.range(100).selectExpr("id % 10 AS x", "id * 3 % 11 AS y", "1L AS n").groupBy("x", "y").sum("n").withColumnRenamed("sum(n)", "n")
+    params = training.Params(epochs=2, rounds=2, negatives=2)
+    found = training.train_widths(pairs, [params], [2, 3])
+    assert len(stored) == 1
+    for (run,), size in zip(found, (2, 3)):
+        alone = training.train(pairs, replace(params, size=size))
+        assert run.params.size == size and [r["loss"] for r in run.log] == pytest.approx([r["loss"] for r in alone.log])
