@@ -5,8 +5,8 @@ import numpy as np
 import pytest
 
 from saddle import skew
-from saddle.operators import corpus, graph, linear, negatives
-from saddle.plans import training
+from saddle.operators import corpus, graph, linear, negatives, sentences
+from saddle.plans import sweeps, training
 
 
 
@@ -85,11 +85,23 @@ def test_draws_are_hashed_once_and_step_by_step(spark, monkeypatch):
     assert got.count() == 120 and got.select("batch_id", "id").distinct().count() == 120
 
 
+def test_cut_pairs_are_made_once(spark):
+    """The pairs of every cut are those of its own walks, and all cuts come from one aggregation of pairs."""
+    edges = spark.range(60).selectExpr("id % 12 AS src", "(id * 5 + id div 12) % 12 AS dst")
+    walks = sentences.random_walks(edges.unionByName(edges.selectExpr("dst AS src", "src AS dst")), 3, 6, "w")
+    cuts = [(1, 3), (3, 3), (1, 6), (3, 6)]
+    made = sweeps.cut_pairs(walks, 2, cuts)
+    for i, (n, length) in enumerate(cuts):
+        own = corpus.cooccurrence(sentences.walk_tokens(sentences.walk_prefixes(walks, length, n)), 2)
+        assert sorted(map(tuple, made.where(made.run == i).select("x", "y", "n").collect())) == sorted(map(tuple, own.collect()))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("count") <= 2 * len(cuts)
+
+
 def test_widths_share_pairs_and_negatives(spark, monkeypatch):
     stored, by_round = [], training._by_round
     monkeypatch.setattr(training, "_by_round", lambda pairs, name: (stored.append(name), by_round(pairs, name))[1])
     pairs = spark.range(100).selectExpr("id % 10 AS x", "id * 3 % 11 AS y", "1L AS n").groupBy("x", "y").sum("n").withColumnRenamed("sum(n)", "n")
-    params = training.Params(epochs=2, rounds=2, negatives=2)
+    params = training.Params(epochs=1, rounds=1, negatives=2)
     found = training.train_widths(pairs, [params], [2, 3])
     assert len(stored) == 1
     for (run,), size in zip(found, (2, 3)):
