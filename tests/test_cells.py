@@ -37,3 +37,23 @@ def test_the_grid_follows_the_rows():
     assert cells.blocks_for(10, 1) == 1 and cells.blocks_for(10 ** 6, 1) == 5 and cells.blocks_for(10 ** 6, 12) == 2
     for rows in (10 ** 8, 10 ** 9, 10 ** 10):
         assert rows / cells.blocks_for(rows, 1) ** 2 <= cells.CELL_ROWS
+
+
+@pytest.mark.parametrize("geometry,size", [*[(g, 2) for g in nce.GEOMETRIES], ("lorentz", 18)])
+def test_batches_are_summed_where_their_rows_are_made(spark, monkeypatch, geometry, size):
+    """Pairs that come twice, equal points, vertices without a vector on either side, a batch without negatives and one of negatives only."""
+    monkeypatch.setattr(cells, "BATCHED", 16)
+    state = spark.createDataFrame([(i, vector(geometry, size, i), vector(geometry, size, i if i == 3 else i + 100), 0.1 * i) for i in range(20)],
+                                  "id bigint, w_in array<double>, w_out array<double>, b double")
+    pairs = [(k // 8, (7 * k) % 19, (5 * k + 1) % 20) for k in range(60)]
+    batches = spark.createDataFrame([*pairs, pairs[3], (1, 3, 3), (2, 99, 1), (2, 1, 99)], "batch_id bigint, x bigint, y bigint")
+    negatives = spark.createDataFrame([(b, (3 * b + 4 * i) % 20) for b in (0, 1, 2, 5, 6, 7, 90) for i in range(3)] + [(1, 99)], "batch_id bigint, id bigint")
+    logit = nce.Logit(geometry, size)
+    key = lambda df: {(r["batch_id"], r["id"]): r for r in df.collect()}
+    want = key(nce.nce_gradients(nce.nce_rows(batches, negatives, state), logit, 8))
+    summed = cells.batch_gradients(batches, negatives, state, logit, 8)
+    got = key(summed)
+    assert got.keys() == want.keys() and len(got) > 60 and "Aggregate" not in summed._jdf.queryExecution().optimizedPlan().toString()
+    for at, r in got.items():
+        for c in ("g_in", "g_out", "g_b"):
+            assert r[c] == pytest.approx(want[at][c], rel=1e-9, abs=1e-9), (at, c)
