@@ -3,8 +3,10 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from saddle import skew
+from saddle import ordering, skew
+from saddle.functions.uniform import _firsts, uniform, uniform_bin
 from saddle.operators import corpus, graph, linear, negatives, sentences
 from saddle.plans import sweeps, training
 
@@ -107,3 +109,46 @@ def test_widths_share_pairs_and_negatives(spark, monkeypatch):
     for (run,), size in zip(found, (2, 3)):
         alone = training.train(pairs, replace(params, size=size))
         assert run.params.size == size and [r["loss"] for r in run.log] == pytest.approx([r["loss"] for r in alone.log])
+
+
+@pytest.mark.parametrize("window", [1, 2, 5])
+def test_followers_cross_batches_and_ranges(spark, window):
+    """A key that fills ranges, keys of one row, a null key, null values and ranges of fewer rows than the window; all pairs by brute force."""
+    rows = [(0, at, at * 7 % 5) for at in range(40)] + [(k, 0, k) for k in range(1, 4)] + [(None, at, at % 2 or None) for at in range(6)] + [(9, at, at) for at in range(7)]
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "3", "spark.sql.shuffle.partitions": "24"}
+    before = {name: spark.conf.get(name) for name in held}
+    try:
+        for name, value in held.items():
+            spark.conf.set(name, value)
+        found = ordering.followers(spark.createDataFrame(rows[::-1], "key int, at int, v int"), ["key"], [F.col("at")], "v", window)
+        got = [tuple(r) for r in found.collect()]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    sentences_of = {}
+    for key, at, v in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1])):
+        sentences_of.setdefault(key, []).append(v)
+    want = [(s[i], s[i + k], k) for s in sentences_of.values() for k in range(1, window + 1) for i in range(len(s) - k)]
+    order = lambda r: tuple((v is None, v or 0) for v in r)
+    assert sorted(got, key=order) == sorted(want, key=order)
+
+
+def test_view_pairs_are_those_of_sentences(spark):
+    """The same counts as from numbered sentences, without a number or a window by customer."""
+    views = spark.range(400).selectExpr("id % 7 % 5 AS customer_id", "id * 13 % 17 AS product_id", "timestamp_seconds(id * 31 % 90) AS date_viewed")
+    plain = corpus.cooccurrence(sentences.customer_sentences(views), 3)
+    made = corpus.view_cooccurrence(views, 3)
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, plain.collect())) and made.count() > 100
+    assert "Window" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_few_bins_make_no_number(spark):
+    """Bins are those of the number, to the last digit, and no digest is converted for them."""
+    drawn = spark.range(3000).select(*[uniform_bin(n, "s", "id").alias(f"b{n}") for n in (1, 2, 3, 7, 8, 16, 40)],
+                                     *[F.floor(uniform("s", "id") * n).alias(f"f{n}") for n in (1, 2, 3, 7, 8, 16, 40)])
+    assert all(r[f"b{n}"] == r[f"f{n}"] for r in drawn.collect() for n in (1, 2, 3, 7, 8, 16, 40))
+    for n in range(2, 17):
+        for k, first in enumerate(_firsts(n), 1):
+            at = int(first, 16)
+            assert at / 2.0 ** 52 * n // 1 == k and (at - 1) / 2.0 ** 52 * n // 1 == k - 1
+    assert "conv(" not in spark.range(1).select(uniform_bin(8, "s", "id"))._jdf.queryExecution().optimizedPlan().toString()
