@@ -142,6 +142,21 @@ def test_long_sentences_are_kept_whole(spark, tmp_path, monkeypatch):
     assert sorted(tuple(r) for r in text.read_sentences(spark, path).collect()) == sorted(rows)
 
 
+def test_written_sessions_are_counted_by_their_text(spark, tmp_path):
+    """The query's result is whole sentences and how often each was written, sessions of one event left out."""
+    from datetime import datetime, timedelta
+
+    from saddle.plans import catalog
+
+    first = datetime(2024, 1, 1)
+    seen = [(1, 0, "view"), (1, 1, "buy"), (1, 20, "view"), (2, 0, "view"), (2, 2, "buy"), (3, 0, "buy"), (3, 0, "view"), (None, 0, "view"), (None, 5, "buy"),
+            (4, 0, None), (4, 1, None), (5, 0, "view"), (5, 1, None), (5, 2, "buy")]
+    rows = [(i, user, first + timedelta(hours=h), kind) for i, (user, h, kind) in enumerate(seen)]
+    spark.createDataFrame(rows, "event_id bigint, user_id bigint, ts timestamp_ntz, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["sentence"]: r["n"] for r in catalog.QUERIES["write_sentences"](spark, str(tmp_path)).collect()}
+    assert got == {"view buy": 4, "buy view": 1, None: 1}
+
+
 @pytest.mark.parametrize("body,sort", [("2 3\n7 1.0 2.0 3.0\n4 0.5 0.25 0\n", True), ("7  1.0   2.0 3.0\n4 0.5 0.25 0\n", True)])
 def test_embedding_text(spark, tmp_path, body, sort):
     (tmp_path / "e.emd").write_text(body)
