@@ -200,3 +200,29 @@ def test_classes_of_a_planted_graph_are_found(spark):
     data = run.vectors().withColumn("y", (F.col("id") >= 20).cast("int"))
     score = ev.cross_validate(ev.stratified_kfold(data, "y", "id", 2), ev.Linear(c=100.0), 2, "m")
     assert score.where("fold < 2").agg(F.avg("macro")).first()[0] > 0.75
+
+
+def test_deepwalk_query_runs_the_whole_job(spark, tmp_path, monkeypatch):
+    """Ten walks of 80 vertices from every vertex, window 5 and five epochs, as the reference has it."""
+    from datetime import datetime
+
+    from saddle.plans import catalog
+
+    class Stop(Exception):
+        pass
+
+    seen = {}
+
+    def caught(tokens, params, **kw):
+        seen.update(params=params, walks=tokens.groupBy("sentence_id").count().collect(), starts=tokens.where("pos = 0").groupBy("token").count().collect())
+        raise Stop
+
+    orders = spark.createDataFrame([(1, 1), (2, 2)], "o_orderkey bigint, o_custkey bigint")
+    lines = spark.createDataFrame([(o, p, datetime(2024, 1, o + p)) for o in (1, 2) for p in (1, 2)], "l_orderkey bigint, l_partkey bigint, l_shipdate timestamp_ntz")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(tr, "train_tokens", caught)
+    with pytest.raises(Stop):
+        catalog.QUERIES["train_deepwalk"](spark, str(tmp_path))
+    assert len(seen["walks"]) == 4 * 10 and {r["count"] for r in seen["walks"]} == {80} and {r["count"] for r in seen["starts"]} == {10}
+    assert (seen["params"].window, seen["params"].epochs, seen["params"].geometry) == (5, 5, "euclidean")
