@@ -152,3 +152,50 @@ def test_few_bins_make_no_number(spark):
             at = int(first, 16)
             assert at / 2.0 ** 52 * n // 1 == k and (at - 1) / 2.0 ** 52 * n // 1 == k - 1
     assert "conv(" not in spark.range(1).select(uniform_bin(8, "s", "id"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """The shuffle files of a job that wrote a table go with it, as do the tables of a block that is over."""
+    import time
+
+    from saddle import storage
+
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: sum(manager.getAllFiles().apply(i).getName().startswith("shuffle_") for i in range(manager.getAllFiles().size()))
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(2)
+    before = files()
+    with storage.passing(spark):
+        table = storage.materialise(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+        path = table.inputFiles()[0].rsplit("/", 1)[0]
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        assert len(table.collect()) == 7 and store.exists(folder)
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.2)
+    assert files() <= before and not store.exists(folder) and storage.CLEANUP not in spark.conf.getAll
+
+
+def test_training_leaves_its_state_only(spark):
+    """Noise, draws and all that makes the pairs go; the grid follows the rows that there are, not a bound."""
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from saddle.storage import materialise, shared_folder
+
+    folder = Path(urlparse(shared_folder(spark)).path)
+    left = {p.name for p in folder.iterdir()}
+    views = spark.range(400).selectExpr("id div 20 AS customer_id", "id * 7 % 31 AS product_id", "timestamp_seconds(id) AS date_viewed")
+    run = training.train(lambda: corpus.view_cooccurrence(materialise(views), 2), training.Params(epochs=1, rounds=2))
+    assert len({p.name for p in folder.iterdir()} - left) == 1 and run.state.count() == 31
+
+
+def test_the_grid_is_for_the_rows_that_are_met(spark, monkeypatch):
+    """A centre draws for the sets it meets, so its draws do not grow with its pairs."""
+    asked, real = [], training.blocks_for
+    monkeypatch.setattr(training, "blocks_for", lambda rows, runs: (asked.append(rows), real(rows, runs))[1])
+    pairs = spark.range(4000).selectExpr("id % 4 AS x", "id AS y", "1L AS n")
+    training.train(pairs, training.Params(epochs=1, rounds=1, negatives=5, sets=2))
+    assert asked == [4000 + 4 * 2 * 5]
