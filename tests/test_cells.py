@@ -57,3 +57,29 @@ def test_batches_are_summed_where_their_rows_are_made(spark, monkeypatch, geomet
     for at, r in got.items():
         for c in ("g_in", "g_out", "g_b"):
             assert r[c] == pytest.approx(want[at][c], rel=1e-9, abs=1e-9), (at, c)
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_packed_rows_are_dealt_whole(spark, monkeypatch, kind):
+    """Every row comes back with its nulls and repeats, and rows of a key are in one partition."""
+    monkeypatch.setattr(cells, "PACKED", 64)
+    rows = spark.range(3000).selectExpr("0 AS run", f"CAST(IF(id % 50 = 7, NULL, id % 37) AS {kind}) AS x", "id % 11 AS y", "id AS n")
+    dealt = cells.dealt_packed(rows, 5, "run", "x")
+    assert dealt.rdd.getNumPartitions() == 5 and dealt.schema == rows.schema
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, rows.collect()))
+    assert dealt.select("x", F.spark_partition_id().alias("part")).distinct().count() == rows.select("x").distinct().count()
+    assert cells.dealt_packed(rows.where("false"), 5, "run", "x").count() == 0
+
+
+def test_runs_with_own_starts_deal_their_pairs_once(spark, monkeypatch):
+    """Pairs that all runs train on travel once, however many runs there are."""
+    from saddle.plans import training
+
+    asked, real = [], training.dealt_packed
+    monkeypatch.setattr(training, "dealt_packed", lambda rows, *rest: (asked.append(rows.count()), real(rows, *rest))[1])
+    pairs = spark.range(60).selectExpr("id % 6 AS x", "id % 10 AS y", "1L AS n").groupBy("x", "y").agg(F.sum("n").alias("n"))
+    runs = [training.Params(epochs=1, rounds=2, negatives=2, seed=str(i)) for i in range(3)]
+    together = training.train_many(pairs, runs)
+    assert asked == [pairs.count()]
+    for run, params in zip(together, runs):
+        assert [r["loss"] for r in run.log] == pytest.approx([r["loss"] for r in training.train(pairs, params).log])
